@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that separates words: space, tab, line feed, VT, FF, CR.
 SPACES = " \t\n\x0b\x0c\r"
@@ -63,3 +65,33 @@ def pieces(column: pa.Array | pa.ChunkedArray, budget: int = 4 << 20) -> Iterato
         held += int(size) + 1
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def add_columns(docs: DataFrame, text: str, outputs: str, compute: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """docs with columns that ``compute`` makes of the string column ``text``.
+
+    outputs: the new columns as a schema string; compute gets a slice of the
+    column as an Arrow array of strings, nulls included, and returns one array
+    for each of them. A column of docs with the name of an output is replaced.
+    No shuffle; every batch is worked through in pieces of bounded size.
+    """
+    added = T.StructType.fromDDL(outputs)
+    taken = {f.name.lower() for f in added}
+    kept = [f for f in docs.schema if f.name.lower() not in taken]
+    width = len(kept)
+    names = [f.name for f in kept] + [f.name for f in added]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in pieces(batch.column(width)):
+                yield pa.RecordBatch.from_arrays([batch.column(i)[a:b] for i in range(width)] + compute(batch.column(width)[a:b]), names)
+
+    columns = [docs[f"`{f.name}`"] for f in kept] + [docs[f"`{text}`"].alias("__text")]
+    return docs.select(*columns).mapInArrow(run, T.StructType([*kept, *added]))
+
+
+def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """An Arrow list column whose rows are consecutive runs of values."""
+    offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from lexigrid.llm.simhash import op1_simhash_near_dedup
+from lexigrid.llm import decontaminate, simhash, substring_dedup
 
 QUERIES = {
-    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_benchmark_decontamination": decontaminate.ORACLE,
+    "op6_substring_dedup": substring_dedup.ORACLE,
+}
