@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexigrid.llm import decontaminate, simhash, substring_dedup
+from lexigrid.llm import bpe, decontaminate, simhash, substring_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
