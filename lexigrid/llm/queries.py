@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from lexigrid.llm import bpe, decontaminate, simhash, substring_dedup
+from lexigrid.llm import bpe, decontaminate, quality, secrets, simhash, substring_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op5_quality_rules": quality.op5_quality_rules,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_secret_scan": secrets.op8_secret_scan,
 }
 
+#: Where SQL can express the whole result; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.ORACLE,
     "op6_substring_dedup": substring_dedup.ORACLE,
+    "op8_secret_scan": secrets.ORACLE,
 }
