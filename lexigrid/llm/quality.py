@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from lexigrid.llm.common import crc_remainder, durable, table, words_of
 
 REPEAT_WINDOW = 8
-#: Shares the rules may test, and the quantiles of labelled texts that are tried as thresholds.
-SHARES = ("symbol_share", "dup_line_share", "repeat_share", "exclaim_share", "upper_share", "distinct_share")
-QUANTILES = (0.02, 0.08, 0.2, 0.8, 0.92, 0.98)
+#: Shares the rules may test, and the quantiles of each label's texts that are tried as thresholds.
+SHARES = ("symbol_share", "dup_line_share", "repeat_share", "exclaim_share", "upper_share", "distinct_pair_share")
+QUANTILES = {0: (0.1, 0.3, 0.5, 0.7, 0.9), 1: (0.005, 0.995)}
 
 
 def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -35,6 +35,8 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     step = step.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
     for by in (1, 2, 4):  # hashes of 2, 4, 8 words
         step = step.withColumn("__h", F.when(F.size("__h") > by, shifted(F.col("__h"), by)).otherwise(none))
+        if by == 1:  # pairs stay mostly distinct in long texts, where single words do not
+            step = step.withColumn("__pairs", F.size("__h")).withColumn("__distinct", F.size(F.array_distinct("__h")))
     twice = F.size(F.array_distinct("__h")) < F.size("__h")
     step = step.withColumn("__s", F.when(twice, F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     met = lambda p, i: (F.get("__s", i - 1)["h"] == p["h"]) | (F.get("__s", i + 1)["h"] == p["h"])
@@ -50,7 +52,6 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_repeat_words": F.coalesce(F.aggregate(covered, F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(0).cast("bigint")),
             "__exclaims": F.regexp_count("__text", F.lit("!")),
             "__upper": F.regexp_count("__text", F.lit("[A-Z]")),
-            "__distinct": F.size(F.array_distinct("__w")),
             "__n_lines": F.size("__lines"),
         }
     )
@@ -62,7 +63,7 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             "repeat_share": share("n_repeat_words", "n_words"),
             "exclaim_share": share("__exclaims", "word_chars"),
             "upper_share": share("__upper", "word_chars"),
-            "distinct_share": share("__distinct", "n_words"),
+            "distinct_pair_share": share("__distinct", "__pairs"),
         }
     )
     return shared.drop(*(c for c in shared.columns if c.startswith("__")))
@@ -100,7 +101,7 @@ def learn(labelled: DataFrame, label: str = "quality", key: str = "doc_id", min_
 
     labelled: the SHARES, the key and the label (0 or 1; other and null labels
     are left out). All rows count: they are grouped by which thresholds they
-    reach, which gives at most two classes, two folds and 7**6 cells however
+    reach, which gives at most two classes, two folds and 8**6 cells however
     many rows there are, and that table alone comes to the driver. A rule grows
     on two thirds of the rows by FOIL's gain and is pruned on the last third;
     it stays if it is right for ``min_precision`` of the rows that it covers in
@@ -108,8 +109,9 @@ def learn(labelled: DataFrame, label: str = "quality", key: str = "doc_id", min_
     give an empty list, which keeps everything.
     """
     usable = labelled.where(F.col(label).isin(0, 1))
-    found = usable.select(*(F.percentile_approx(s, F.array(*map(F.lit, QUANTILES)), 10000).alias(s) for s in SHARES)).first()
-    grid = {s: sorted(set(found[s] or [])) for s in SHARES}
+    at = lambda s, side: F.percentile_approx(F.when(F.col(label) == side, F.col(s)), F.array(*map(F.lit, QUANTILES[side])), 10000)
+    found = usable.select(*(at(s, side).alias(f"{s}{side}") for s in SHARES for side in QUANTILES)).first()
+    grid = {s: sorted({t for side in QUANTILES for t in found[f"{s}{side}"] or []}) for s in SHARES}
     reached = [sum((F.col(s) >= t).cast("int") for t in grid[s]) if grid[s] else F.lit(0) for s in SHARES]
     cells = (
         usable.select(F.col(label).cast("int").alias("label"), (crc_remainder(F.col(key), 3) == 0).alias("prune"), *(r.alias(s) for r, s in zip(reached, SHARES, strict=True)))
