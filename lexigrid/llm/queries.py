@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexigrid.llm import bpe, decontaminate, quality, secrets, simhash, substring_dedup
+from lexigrid.llm import bpe, decontaminate, licenses, quality, secrets, simhash, substring_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_secret_scan": secrets.op8_secret_scan,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 
 #: Where SQL can express the whole result; the others are tested against brute force.
@@ -18,4 +19,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.ORACLE,
     "op6_substring_dedup": substring_dedup.ORACLE,
     "op8_secret_scan": secrets.ORACLE,
+    "op10_license_scan": licenses.ORACLE,
 }
