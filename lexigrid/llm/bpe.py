@@ -16,7 +16,7 @@ from lexigrid.llm.common import add_columns, lists, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Distinct slices whose merges a Python worker remembers before it starts anew.
-CACHE_SLICES = 400_000
+CACHE_SLICES = 250_000
 
 # Classes of code points, and what they become once their neighbours are known.
 LETTER, NUMBER, OTHER, SPACE, BLANK, END = range(6)

@@ -50,7 +50,7 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")
 
 
-def pieces(column: pa.Array | pa.ChunkedArray, budget: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def pieces(column: pa.Array | pa.ChunkedArray, budget: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of an Arrow string column that hold about ``budget`` bytes each.
 
     One row larger than the budget is a range of its own, so the memory a task
