@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexigrid.llm import bpe, decontaminate, langid, licenses, quality, secrets, simhash, substring_dedup
+from lexigrid.llm import bpe, decontaminate, langid, licenses, ngram_lm, quality, secrets, simhash, substring_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_lm_scoring": ngram_lm.op9_lm_scoring,
     "op10_license_scan": licenses.op10_license_scan,
 }
 
