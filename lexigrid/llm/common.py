@@ -95,3 +95,18 @@ def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
     np.cumsum(sizes, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def meet(rows: DataFrame, groups: DataFrame, on: str, bound: int = 5000) -> DataFrame:
+    """Inner equi-join of rows with one row for each key, whatever a key's share of the rows.
+
+    groups: the key, its number of rows as n, and what to bring. A key with at
+    least 1 / bound of the rows is hot; there can be no more than ``bound`` of
+    them, so they are broadcast and their rows are not shuffled. The rest meet
+    by shuffle, where each key is a small part of a task.
+    """
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = groups.where(F.col("n") * bound >= total).drop("n")
+    cold = groups.where(F.col("n") * bound < total).drop("n")
+    apart = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on)
+    return rows.join(F.broadcast(hot), on).unionByName(apart)
