@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexigrid.llm import bpe, decontaminate, langid, licenses, ngram_lm, quality, secrets, simhash, substring_dedup
+from lexigrid.llm import bpe, decontaminate, langid, licenses, ngram_lm, pii, quality, secrets, simhash, substring_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op3_language_id": langid.op3_language_id,
+    "op4_pii": pii.op4_pii,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_byte_bpe": bpe.op7_byte_bpe,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,16 +11,29 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import durable, pieces, table
+from lexigrid.llm.common import durable, meet, pieces, table
 from lexigrid.llm.components import connected_components
+from lexigrid.llm.textbytes import mix
 
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
 #: A tile holds at least and at most so many fingerprints; in between it grows with their number.
 TILE_MIN, TILE_MAX, TILES_WANTED = 4096, 65536, 64
 
 
-def _fingerprints(texts: list[bytes], words_per_shingle: int) -> np.ndarray:
-    """One 64-bit fingerprint for each text; zero for a text without words."""
+def radius_for(similarity: float, bits: int) -> int:
+    """Differing bits to be expected of two sets of like size with this Jaccard similarity.
+
+    A bit differs with probability angle / pi, and the angle's cosine is the
+    shared part of both, 2 s / (1 + s).
+    """
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def _fingerprints(texts: list[bytes], words_per_shingle: int, lanes: int) -> np.ndarray:
+    """For each text ``lanes`` words of 64 bits; all zero for a text without words.
+
+    The first lane is of the shingles' XXH64, the others of bijections of it.
+    """
     digest, hashes, sizes = xxhash.xxh64_intdigest, [], []
     for text in texts:
         words = text.lower().split()  # of bytes: A-Z only, and ASCII white space
@@ -32,53 +46,77 @@ def _fingerprints(texts: list[bytes], words_per_shingle: int) -> np.ndarray:
             starts = [0, *ends[: n - 1].tolist()]
             hashes += [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words_per_shingle - 1 :] - 1).tolist(), strict=True)]
         sizes.append(n)
-    out, sizes = np.zeros(len(texts), dtype=np.uint64), np.array(sizes)
+    out, sizes = np.zeros((len(texts), lanes), dtype=np.uint64), np.array(sizes)
     some = np.flatnonzero(sizes)
     if len(some):
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        values = np.array(hashes, dtype=np.uint64)
         firsts = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
-        ones = np.add.reduceat(bits, firsts, axis=0, dtype=np.int64)
-        over = (2 * ones > sizes[some, None]).astype(np.uint8)
-        out[some] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
+        for lane in range(lanes):
+            lane_values = values if lane == 0 else mix(values ^ np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64)))
+            bits = np.unpackbits(lane_values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, firsts, axis=0, dtype=np.int64)
+            over = (2 * ones > sizes[some, None]).astype(np.uint8)
+            out[some, lane] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """(key, fp bigint): the SimHash of each whole text, one row for each row of docs."""
+def _binary(rows: np.ndarray) -> pa.Array:
+    """An Arrow column with the bytes of each row, big-endian."""
+    data, width = rows.astype(">u8").tobytes(), 8 * rows.shape[1]
+    offsets = pa.array(np.arange(0, len(data) + 1, width, dtype=np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets.buffers()[1], pa.py_buffer(data)])
+
+
+def _matrix(column: list[bytes] | pa.Array, lanes: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=">u8").astype(np.uint64).reshape(-1, lanes)
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = SHINGLE_WORDS, lanes: int = 1) -> DataFrame:
+    """(key, fp binary, ones int): the SimHash of each whole text and its bit count, one row for each row of docs."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in pieces(batch.column(1)):
                 texts = [x or b"" for x in batch.column(1)[a:b].cast(pa.binary()).to_pylist()]
-                yield pa.record_batch([batch.column(0)[a:b], pa.array(_fingerprints(texts, words_per_shingle).view(np.int64))], ["k", "fp"])
+                rows = _fingerprints(texts, words_per_shingle, lanes)
+                yield pa.record_batch([batch.column(0)[a:b], _binary(rows), pa.array(_ones(rows).astype(np.int32))], ["k", "fp", "ones"])
+
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, fp binary, ones int").withColumnRenamed("k", key)
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, fp bigint").withColumnRenamed("k", key)
 
+def _ones(rows: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
 
-def _close(a: np.ndarray, b: np.ndarray, radius: int, triangle: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+
+def _close(a: np.ndarray, b: np.ndarray, radius: int, triangle: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of positions within the radius, a strip of rows at a time.
 
     Both sides are ordered by bit count, so of each strip only the columns whose
     counts are within the radius are compared.
     """
-    counts_a, counts_b = np.bitwise_count(a), np.bitwise_count(b)
+    counts_a, counts_b = _ones(a), _ones(b)
+    columns = [np.ascontiguousarray(b[:, lane]) for lane in range(b.shape[1])]
     for r in range(0, len(a), 16):
-        rows = a[r : r + 16]
-        lo = np.searchsorted(counts_b, max(0, int(counts_a[r]) - radius), "left")
-        hi = np.searchsorted(counts_b, int(counts_a[r : r + 16][-1]) + radius, "right")
+        lo = np.searchsorted(counts_b, counts_a[r] - radius, "left")
+        hi = np.searchsorted(counts_b, counts_a[r : r + 16][-1] + radius, "right")
         lo = max(lo, r) if triangle else lo
         if lo < hi:
-            x, y = np.nonzero(np.bitwise_count(rows[:, None] ^ b[None, lo:hi]) <= radius)
+            apart = np.bitwise_count(a[r : r + 16, 0, None] ^ columns[0][None, lo:hi])
+            if len(columns) > 1:
+                apart = apart.astype(np.uint16)
+                for lane in range(1, len(columns)):
+                    apart += np.bitwise_count(a[r : r + 16, lane, None] ^ columns[lane][None, lo:hi])
+            x, y = np.nonzero(apart <= radius)
             if len(x):
-                yield r, x + r, y + lo
+                yield x + r, y + lo
 
 
 def _tile(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """The fingerprints ordered by bit count, and for each the position of its component's first."""
-    fps = fps[np.lexsort((fps, np.bitwise_count(fps)))]
+    fps = fps[np.lexsort((*fps.T, _ones(fps)))]
     label = np.arange(len(fps))
-    for _, x, y in _close(fps, fps, radius, triangle=True):
+    for x, y in _close(fps, fps, radius, triangle=True):
         for row in np.unique(x):
             met = np.unique(label[y[x == row]])
             met = np.union1d(met, label[row : row + 1])
@@ -87,54 +125,52 @@ def _tile(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return fps, label
 
 
-def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def linked(fps: DataFrame, radius: int = RADIUS, lanes: int = 1) -> DataFrame:
     """(node, root): fingerprints that are within the radius of another, by connected component.
 
-    fps: distinct values in a bigint column fp. Fingerprints are dealt to tiles
-    of like size in the order of their bit counts; a tile is compared with
-    itself and with those whose bit counts can be within the radius, and with
-    no other. Inside a tile only a spanning forest is kept, and between tiles one
-    edge for each pair of such trees, so a dense group makes few edges.
+    fps: distinct values in fp, with ones. Fingerprints are dealt to tiles of
+    like size in the order of their bit counts; a tile is compared with itself
+    and with those whose bit counts can be within the radius, and with no other.
+    Inside a tile only a spanning forest is kept, and between tiles one edge for
+    each pair of such trees, so a dense group makes few edges.
     """
-    ones = F.bit_count("fp").alias("ones")
-    histogram = {r.ones: r["count"] for r in fps.groupBy(ones).count().collect()}  # 65 rows at most
-    counts = [histogram.get(i, 0) for i in range(65)]
+    bits = 64 * lanes
+    histogram = {r.ones: r["count"] for r in fps.groupBy("ones").count().collect()}  # bits + 1 rows at most
+    counts = [histogram.get(i, 0) for i in range(bits + 1)]
     total = sum(counts)
     size = min(TILE_MAX, max(TILE_MIN, total // TILES_WANTED))
-    offsets = [sum(counts[:i]) for i in range(66 + radius)]
+    offsets = [0]
+    for i in range(bits + 1 + radius):
+        offsets.append(offsets[-1] + (counts[i] if i <= bits else 0))
     at = lambda values, i: F.element_at(F.array(*map(F.lit, values)), i + 1)
     share = F.shiftrightunsigned(F.xxhash64(F.lit("deal"), "fp"), 11) / F.lit(float(1 << 53))
-    dealt = fps.select("fp", F.expr("cast(bit_count(fp) as int)").alias("ones")).select(
-        "fp", F.floor((at(offsets, F.col("ones")) + F.floor(share * at(counts, F.col("ones")))) / size).alias("tile")
-    )
+    dealt = fps.select("fp", F.floor((at(offsets, F.col("ones")) + F.floor(share * at(counts, F.col("ones")))) / size).alias("tile"))
 
     def tile(key, frame):
-        values, label = _tile(frame["fp"].to_numpy().view(np.uint64), radius)
         import pandas as pd
 
-        return pd.DataFrame({"tile": [key[0]], "most": [int(np.bitwise_count(values[-1]))], "fps": [values.tobytes()], "label": [label.astype(np.uint16).tobytes()]})
+        values, label = _tile(_matrix(frame["fp"], lanes), radius)
+        return pd.DataFrame({"tile": [key[0]], "most": [int(_ones(values[-1:])[0])], "fps": [values.tobytes()], "label": [label.astype(np.uint16).tobytes()]})
 
     tiles = durable(dealt.groupBy("tile").applyInPandas(tile, "tile bigint, most int, fps binary, label binary"))
-
-    def edges(values_a, of_a, values_b, of_b) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(values_a[of_a].view(np.int64)), pa.array(values_b[of_b].view(np.int64))], ["a", "b"])
+    read = lambda data: np.frombuffer(data, np.uint64).reshape(-1, lanes)
 
     def inside(batches):
         for batch in batches:
             for fp, label in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-                values, label = np.frombuffer(fp, np.uint64), np.frombuffer(label, np.uint16)
+                values, label = read(fp), np.frombuffer(label, np.uint16)
                 rest = np.flatnonzero(label != np.arange(len(label)))
-                yield edges(values, rest, values, label[rest])
+                yield pa.record_batch([_binary(values[rest]), _binary(values[label[rest]])], ["a", "b"])
 
     def between(batches):
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                a, b = (np.frombuffer(row[i], np.uint64) for i in (0, 2))
+                a, b = read(row[0]), read(row[2])
                 of_a, of_b = (np.frombuffer(row[i], np.uint16).astype(np.int64) for i in (1, 3))
-                trees = [np.unique(of_a[x] << 16 | of_b[y]) for _, x, y in _close(a, b, radius, triangle=False)]
+                trees = [np.unique(of_a[x] << 16 | of_b[y]) for x, y in _close(a, b, radius, triangle=False)]
                 if trees:
                     trees = np.unique(np.concatenate(trees))
-                    yield edges(a, trees >> 16, b, trees & 0xFFFF)
+                    yield pa.record_batch([_binary(a[trees >> 16]), _binary(b[trees & 0xFFFF])], ["a", "b"])
 
     partners = F.expr("explode(sequence(tile + 1, last))")
     left = (
@@ -143,27 +179,29 @@ def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         .select(partners.alias("other"), F.col("fps").alias("fps_a"), F.col("label").alias("label_a"))
     )
     pairs = left.join(tiles.withColumnRenamed("tile", "other"), "other").select("fps_a", "label_a", "fps", "label")
-    both = "a bigint, b bigint"
+    both = "a binary, b binary"
     return connected_components(tiles.select("fps", "label").mapInArrow(inside, both).union(pairs.mapInArrow(between, both)))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = SHINGLE_WORDS, radius: int = RADIUS, lanes: int = 1) -> DataFrame:
     """(key, fingerprint, component_id) for each row of docs.
 
-    fingerprint: 16 hexadecimal digits; component_id: the least key reachable
-    over fingerprints that differ in at most ``radius`` bits. Texts without
-    words, null ones too, have fingerprint zero and are linked like any other.
-    A null key keeps its row and is no one's component_id unless the component
-    has none but nulls. Rows that repeat a key are rows of their own. Columns of
-    docs other than key and text are not read.
+    fingerprint: hexadecimal digits of ``lanes`` times 64 bits; component_id: the
+    least key reachable over fingerprints that differ in at most ``radius`` bits.
+    Texts without words, null ones too, have fingerprint zero and are linked like
+    any other. A null key keeps its row and is no one's component_id unless the
+    component has none but nulls. Rows that repeat a key are rows of their own.
+    Columns of docs other than key and text are not read. An empty table gives
+    an empty one.
     """
-    per_row = durable(fingerprints(docs, key, text, words_per_shingle))
-    distinct = durable(per_row.groupBy("fp").agg(F.min(key).alias("first")))
-    nodes = linked(distinct.select("fp"), radius)
+    per_row = durable(fingerprints(docs, key, text, words_per_shingle, lanes))
+    distinct = durable(per_row.groupBy("fp").agg(F.min(key).alias("first"), F.first("ones").alias("ones"), F.count("*").alias("n")))
+    nodes = linked(distinct.select("fp", "ones"), radius, lanes)
     firsts = nodes.join(distinct, nodes.node == distinct.fp).groupBy("root").agg(F.min("first").alias("least"))
-    least = nodes.join(firsts, "root").select(F.col("node").alias("fp"), "least")
-    classes = distinct.join(least, "fp", "left").select("fp", F.when(F.col("least").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
-    return per_row.join(classes, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = nodes.join(firsts, "root").select(F.col("node").alias("fp"), "least", F.lit(True).alias("tied"))
+    component = F.when(F.col("tied"), F.col("least")).otherwise(F.col("first")).alias("component_id")
+    classes = durable(distinct.join(least, "fp", "left").select("fp", "n", component))
+    return meet(per_row, classes, "fp").select(key, F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
