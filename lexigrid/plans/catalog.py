@@ -1,12 +1,15 @@
-"""The registered queries of the table operators and analyses."""
+"""All registered queries outside the corpus-preparation subpackage."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from lexigrid.plans import analyses, tables
+
+QUERIES = tables.QUERIES | analyses.QUERIES
+ORACLE_SQL = tables.ORACLE_SQL | analyses.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Keyword in context with its density: scan, search, arrays and aggregation at once."""
+    return QUERIES["kwic_density"](spark, sf_dir)
