@@ -97,7 +97,8 @@ def to_category(df: DataFrame, column: str, order: list[str]) -> DataFrame:
 
 
 def category_rank(column: Column, order: list[str]) -> Column:
-    return F.array_position(F.array(*map(F.lit, order)), column)
+    """The place of a value in the order, from 1; null for a null and for a value outside it."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, order)), column), F.lit(0).cast("bigint"))
 
 
 def detect_datetime(df: DataFrame, column: str, sample: int = 1000) -> list[tuple[str, int]]:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrid.plans import analyses, tables
+from lexigrid.plans import analyses, files, tables
 
-QUERIES = tables.QUERIES | analyses.QUERIES
-ORACLE_SQL = tables.ORACLE_SQL | analyses.ORACLE_SQL
+QUERIES = tables.QUERIES | files.QUERIES | analyses.QUERIES
+ORACLE_SQL = tables.ORACLE_SQL | files.ORACLE_SQL | analyses.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

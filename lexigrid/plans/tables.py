@@ -437,7 +437,7 @@ _cast("c_date", "orders", "o_orderkey", lambda df: F.col("o_orderdate").cast("da
 _cast("c_categorical", "customer", "c_custkey", lambda df: casts.category_rank(F.col("c_mktsegment"), ["MACHINERY", "BUILDING"]), "list_position(['MACHINERY', 'BUILDING'], c_mktsegment)")
 _cast("c_duration_text", "part", "p_partkey", lambda df: elapsed.from_text(F.concat(F.col("p_size").cast("string"), F.lit(":07.5"))), "cast(p_size AS bigint) * 60000000 + 7500000")
 _cast("c_duration_number", "part", "p_partkey", lambda df: elapsed.from_number(F.col("p_size"), "min"), "cast(p_size AS bigint) * 60000000")
-_cast("c_duration_to_number", "part", "p_partkey", lambda df: elapsed.to_number(F.col("p_size").cast("bigint") * 1_800_000_000, "h"), "p_size * 0.5")
+_cast("c_duration_to_number", "part", "p_partkey", lambda df: elapsed.to_number(F.col("p_size").cast("bigint") * 1_800_000_000, "h"), "cast(p_size AS double) / 2")
 _cast("c_duration_datetime", "events", "event_id", lambda df: elapsed.from_timestamp(F.col("ts")), "epoch_us(ts) % 86400000000")
 _cast("c_duration_to_text", "part", "p_partkey", lambda df: elapsed.to_text(F.col("p_size").cast("bigint") * 61_500_000, "h:mm:ss"), "((p_size * 61500) // 3600000) || ':' || lpad(cast(((p_size * 61500) // 60000) % 60 AS varchar), 2, '0') || ':' || lpad(cast(((p_size * 61500) // 1000) % 60 AS varchar), 2, '0')")
 
