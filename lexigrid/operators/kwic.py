@@ -30,12 +30,18 @@ def search_pattern(search: str, regex: bool = False, whole_word: bool = False, c
     return unicode_pattern(body, ignore_case=not case_sensitive)
 
 
-def _context(text: Column, tokens: int, left: bool, ignore_punctuation: bool) -> Column:
-    """The last or first so many tokens with what separates them from the match."""
+def _context(near: Column, whole: Column, tokens: int, ignore_punctuation: bool, reach: int) -> Column:
+    """The first so many tokens with what comes before each; on the left both texts are read backwards.
+
+    near: the first ``reach`` characters of whole. The context is sought there,
+    and in the whole only where it could go on behind them.
+    """
     token = r"\w+" if ignore_punctuation else r"(?:\w+|[\p{P}\p{S}])"
     gap = r"\W*" if ignore_punctuation else r"\s*"
-    pattern = rf"(?U)((?:{token}{gap}){{0,{tokens}}})$" if left else rf"(?U)^((?:{gap}{token}){{0,{tokens}}})"
-    return F.regexp_extract(text, pattern, 1)
+    body = rf"(?:{gap}{token}){{0,{tokens}}}"
+    found = lambda text: F.regexp_extract(text, f"(?U)^({body})", 1)
+    open_end = (F.length(near) >= reach) & F.rlike(near, F.lit(f"(?U)^{body}{gap}$"))
+    return F.when(open_end, found(whole)).otherwise(found(near))
 
 
 def concordance(df: DataFrame, text: str, search: str, left: int = 10, right: int = 10, regex: bool = False, whole_word: bool = False, case_sensitive: bool = False, ignore_punctuation: bool = True) -> DataFrame:
@@ -46,11 +52,19 @@ def concordance(df: DataFrame, text: str, search: str, left: int = 10, right: in
     """
     t = F.col(text)
     pattern = search_pattern(search, regex, whole_word, case_sensitive)
-    before = lambda m: F.substring(t, F.lit(1), m["start"])
-    after = lambda m: t.substr(m["end"] + 1, F.length(t))
+    reach_left, reach_right = 32 * left + 64, 32 * right + 64
+    before = lambda m, n: F.reverse(t.substr(F.greatest(m["start"] - n, F.lit(0)) + 1, F.least(m["start"], n)))
+    after = lambda m, n: t.substr(m["end"] + 1, n)
+
+    def placed(m: Column) -> Column:
+        return F.struct(
+            m.alias("m"),
+            F.reverse(_context(before(m, F.lit(reach_left)), before(m, m["start"]), left, ignore_punctuation, reach_left)).alias("a"),
+            _context(after(m, F.lit(reach_right)), after(m, F.length(t)), right, ignore_punctuation, reach_right).alias("b"),
+        )
 
-    def hit(m: Column) -> Column:
-        a, b = _context(before(m), left, True, ignore_punctuation), _context(after(m), right, False, ignore_punctuation)
+    def hit(p: Column) -> Column:
+        m, a, b = p["m"], p["a"], p["b"]
         return F.struct(
             a.alias("left_context"),
             m["value"].alias("matched_text"),
@@ -63,7 +77,7 @@ def concordance(df: DataFrame, text: str, search: str, left: int = 10, right: in
         )
 
     found = df.where(~is_empty(t, T.StringType()) & F.rlike(t, F.lit(pattern)))
-    return found.withColumn("__m", matches(t, pattern)).where(F.size("__m") > 0).withColumn("hits", F.transform("__m", hit)).drop("__m")
+    return found.withColumn("__m", matches(t, pattern)).where(F.size("__m") > 0).withColumn("hits", F.transform(F.transform("__m", placed), hit)).drop("__m")
 
 
 def concordance_tokens(df: DataFrame, text: str, tokens: str, search: str, left: int = 10, right: int = 10) -> DataFrame:
