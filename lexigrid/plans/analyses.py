@@ -389,7 +389,7 @@ def topic_segment_lengths(spark, d):
     return df.agg(*topics.segment_lengths("n"))
 
 
-@query("topic_vectorizer_choice", "SELECT 0.0 AS share, false AS dictionary")
+@query("topic_vectorizer_choice", "SELECT cast(0 AS double) AS share, false AS dictionary")
 def topic_vectorizer_choice(spark, d):
     return topics.unspaced_share(load(spark, d, "documents"), "text")
 
