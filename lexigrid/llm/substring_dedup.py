@@ -46,6 +46,18 @@ def _of_rows(words: WordTable, window: int) -> Iterator[tuple[int, int, int]]:
             yield row, a, b - window + 1
 
 
+def _addresses(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The hash, in two lanes, of the whole sequence of words of each row that has a window; white space has no part in it."""
+    for batch in batches:
+        for lo, hi in pieces(batch.column(1)):
+            words = _table(batch.column(1)[lo:hi])
+            rows = np.array([row for row, _, _ in _of_rows(words, window)], dtype=np.int64)
+            if len(rows):
+                lanes = [mix(rolling(words.hashes(i), words.first[rows], words.first[rows + 1], i, words=True)) for i in (0, 1)]
+                blobs = pa.array([x.tobytes() for x in np.stack(lanes, axis=1)], pa.binary())
+                yield pa.record_batch([batch.column(0)[lo:hi].take(pa.array(rows)), blobs], ["k", "blob"])
+
+
 def _distinct_marks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Each row's distinct marks, with a hash of the row's whole sequence of words."""
     for batch in batches:
@@ -137,7 +149,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     same words also share the least hash of their inner half-size runs (their
     mark), so marks are counted first, some four for 50 words, and only windows
     whose mark occurs in two different texts are counted by their own hash: the
-    others cannot occur in two. An exact copy of a text with a smaller key goes
+    others cannot occur in two. Texts with the same sequence of words are copies,
+    whatever white space parts them: a copy of a text with a smaller key goes
     whole and is not counted again. No group is gathered: counts and least keys
     are partial aggregates; marks and copies that hold over 1 / HOT_BOUND of the
     rows are known by a broadcast of that size, and their windows are salted.
@@ -145,7 +158,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     kind = docs.schema[key].dataType.simpleString()
     named = docs.select(key, text).where(F.col(key).isNotNull())
 
-    addresses = durable(named.select(F.col(key).alias("k"), F.sha2(text, 256).alias("blob")).where("blob is not null"))
+    addresses = durable(named.mapInArrow(lambda it: _addresses(it, window), f"k {kind}, blob binary"))
     groups = durable(addresses.groupBy("blob").agg(F.min("k").alias("least"), F.max("k").alias("most"), F.count("*").alias("n")).where("least < most").drop("most"))
     copies = meet(addresses, groups, "blob", HOT_BOUND).where("least < k").select(F.col("k").alias(key)).distinct().withColumn("__copy", F.lit(True))
 

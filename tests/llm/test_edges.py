@@ -135,6 +135,14 @@ def test_substring_dedup(spark, docs, empty):
     assert {r.kept for r in substring_dedup.remove_repeats(spark.createDataFrame(alone, "doc_id bigint, text string")).collect()} == {passage}
 
 
+def test_substring_dedup_of_copies_in_other_white_space(spark):
+    words = [f"p{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, "\r\n".join(words) + "\n"), (3, "  ".join(words)), (4, " ".join(words[:49])), (5, "\t".join(words[:49]))]
+    found = by_id(substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert {d: r.kept for d, r in found.items()} == {1: " ".join(words), 2: "", 3: "", 4: " ".join(words[:49]), 5: " ".join(words[:49])}
+    assert [(s.start, s.end) for s in found[2].removed] == [(0, 60)]
+
+
 def test_bpe(spark, docs, empty):
     path = bpe.rank_file(spark)
     coded = bpe.decode(bpe.encode(docs, path), path)
