@@ -16,7 +16,7 @@ from lexigrid.llm.components import connected_components
 from lexigrid.llm.textbytes import mix
 
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
-#: A tile holds at least and at most so many fingerprints; in between it grows with their number.
+#: A tile is meant for at least and at most so many fingerprints, and in between grows with their number. They are dealt by hash, so it can hold more.
 TILE_MIN, TILE_MAX, TILES_WANTED = 4096, 65536, 64
 
 
@@ -150,7 +150,7 @@ def linked(fps: DataFrame, radius: int = RADIUS, lanes: int = 1) -> DataFrame:
         import pandas as pd
 
         values, label = _tile(_matrix(frame["fp"], lanes), radius)
-        return pd.DataFrame({"tile": [key[0]], "most": [int(_ones(values[-1:])[0])], "fps": [values.tobytes()], "label": [label.astype(np.uint16).tobytes()]})
+        return pd.DataFrame({"tile": [key[0]], "most": [int(_ones(values[-1:])[0])], "fps": [values.tobytes()], "label": [label.astype(np.uint32).tobytes()]})
 
     tiles = durable(dealt.groupBy("tile").applyInPandas(tile, "tile bigint, most int, fps binary, label binary"))
     read = lambda data: np.frombuffer(data, np.uint64).reshape(-1, lanes)
@@ -158,7 +158,7 @@ def linked(fps: DataFrame, radius: int = RADIUS, lanes: int = 1) -> DataFrame:
     def inside(batches):
         for batch in batches:
             for fp, label in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-                values, label = read(fp), np.frombuffer(label, np.uint16)
+                values, label = read(fp), np.frombuffer(label, np.uint32)
                 rest = np.flatnonzero(label != np.arange(len(label)))
                 yield pa.record_batch([_binary(values[rest]), _binary(values[label[rest]])], ["a", "b"])
 
@@ -166,11 +166,11 @@ def linked(fps: DataFrame, radius: int = RADIUS, lanes: int = 1) -> DataFrame:
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 a, b = read(row[0]), read(row[2])
-                of_a, of_b = (np.frombuffer(row[i], np.uint16).astype(np.int64) for i in (1, 3))
-                trees = [np.unique(of_a[x] << 16 | of_b[y]) for x, y in _close(a, b, radius, triangle=False)]
+                of_a, of_b = (np.frombuffer(row[i], np.uint32).astype(np.int64) for i in (1, 3))
+                trees = [np.unique(of_a[x] << 32 | of_b[y]) for x, y in _close(a, b, radius, triangle=False)]
                 if trees:
                     trees = np.unique(np.concatenate(trees))
-                    yield pa.record_batch([_binary(a[trees >> 16]), _binary(b[trees & 0xFFFF])], ["a", "b"])
+                    yield pa.record_batch([_binary(a[trees >> 32]), _binary(b[trees & 0xFFFFFFFF])], ["a", "b"])
 
     partners = F.expr("explode(sequence(tile + 1, last))")
     left = (

@@ -64,6 +64,24 @@ def test_simhash_several_tiles_agree_with_one(spark, monkeypatch):
     assert all(whole[a.to_bytes(8, "big")] == whole[b.to_bytes(8, "big")] for a, b in pairs)
 
 
+def test_simhash_tiles_of_more_than_65536(spark, monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    # the pairs have the most ones, so they are the last in the first tile and all there is in the second
+    pairs = []
+    for _ in range(200):
+        bits = rng.permutation(64)
+        a = sum(1 << int(i) for i in bits[:53])
+        pairs.append((a, a | 1 << int(bits[53])))
+    every = np.unique(np.concatenate((rng.integers(0, 1 << 64, 65_700, dtype=np.uint64), np.array(pairs, dtype=np.uint64).ravel())))
+    monkeypatch.setattr(simhash, "TILE_MIN", 65_950)
+    monkeypatch.setattr(simhash, "TILE_MAX", 65_950)
+    frame = pd.DataFrame({"fp": [int(v).to_bytes(8, "big") for v in every], "ones": np.bitwise_count(every).astype(np.int32)})
+    found = {int.from_bytes(r.node, "big"): int.from_bytes(r.root, "big") for r in simhash.linked(spark.createDataFrame(frame, "fp binary, ones int")).collect()}
+    assert found == {x: min(p) for p in pairs for x in p}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(40)] + [(None, 3), (5, 5), (5, 6), (5, 6)]
     star = [(100, i) for i in range(101, 160)]
