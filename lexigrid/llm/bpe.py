@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -11,12 +12,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexigrid.llm.common import add_columns, lists, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Distinct slices whose merges a Python worker remembers before it starts anew.
-CACHE_SLICES = 250_000
+CACHE_SLICES = 100_000
+#: Bytes of text, and as many token ids, that a worker has in hand at once, unless one text is larger.
+PIECE_BYTES = 1 << 18
 
 # Classes of code points, and what they become once their neighbours are known.
 LETTER, NUMBER, OTHER, SPACE, BLANK, END = range(6)
@@ -205,8 +209,8 @@ class Tokenizer:
         by_id = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             by_id[rank] = token
-        self.sizes = np.array([len(t) for t in by_id], dtype=np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.sizes = np.array([len(t) for t in by_id], dtype=np.int32)
+        self.starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
         self.bytes = np.frombuffer(b"".join(by_id), dtype=np.uint8)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,9 +218,8 @@ class Tokenizer:
         points = np.frombuffer("".join([t + "\n" for t in texts]).encode("utf-32-le"), dtype=np.uint32)
         stops = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))) - 1
         starts = slice_starts(points, stops)
-        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-        place = np.concatenate(([0], np.cumsum(width)))
         data = "".join([t + "\n" for t in texts]).encode()
+        place = np.append(np.flatnonzero((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80), len(data))
         real = np.ones(len(points), dtype=bool)
         real[stops] = False
         bounds = place[np.append(starts, len(points))]
@@ -234,8 +237,14 @@ class Tokenizer:
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the ids, one behind the other."""
         sizes = self.sizes[ids]
-        shift = np.repeat(self.starts[ids] - (np.cumsum(sizes) - sizes), sizes)
-        return self.bytes[shift + np.arange(len(shift))]
+        shift = np.repeat(self.starts[ids] - (np.cumsum(sizes, dtype=np.int32) - sizes), sizes)
+        return self.bytes[shift + np.arange(len(shift), dtype=np.int32)]
+
+    def decode_rows(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """A binary Arrow column of rows that have ``counts`` ids each."""
+        byte_ends = np.concatenate(([0], np.cumsum(self.sizes[ids])))[np.concatenate(([0], np.cumsum(counts)))]
+        buffers = [None, pa.py_buffer(byte_ends.astype(np.int32)), pa.py_buffer(self.decode(ids))]
+        return pa.Array.from_buffers(pa.binary(), len(counts), buffers)
 
 
 _loaded: dict[str, Tokenizer] = {}
@@ -247,44 +256,55 @@ def _tokenizer(path: str) -> Tokenizer:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """docs with ids (array<int>) and ends (array<int>) of each whole text's tokens.
 
     path: a rank file that every executor has; it is a parameter, as tokenizers
     are never part of this library. ends[i] is where token i ends, in bytes of
-    the text's UTF-8. Null and empty texts have no tokens. Special tokens are
-    ordinary text. Other columns stay; ones named ids or ends are replaced.
+    the text's UTF-8, so a run of tokens can be decoded or cut by itself. Null
+    and empty texts have no tokens. Special tokens are ordinary text. Other
+    columns stay; ones named ids or ends are replaced. Rows that repeat are
+    encoded alike; an empty table gives an empty one.
+
+    decoded: also adds decoded (binary), what the ids stand for, in the same
+    pass. A worker has PIECE_BYTES of text in hand at once; a longer text is
+    alone, and then its memory follows its length.
     """
 
     def compute(texts: pa.Array) -> list[pa.Array]:
-        ids, ends, counts = _tokenizer(path).encode([t or "" for t in texts.to_pylist()])
-        return [lists(ids, counts), lists(ends.astype(np.int32), counts)]
+        tokenizer = _tokenizer(path)
+        ids, ends, counts = tokenizer.encode([t or "" for t in texts.to_pylist()])
+        out = [lists(ids, counts), lists(ends.astype(np.int32), counts)]
+        return [*out, tokenizer.decode_rows(ids, counts)] if decoded else out
 
-    return add_columns(docs, text, "ids array<int>, ends array<int>", compute)
+    return add_columns(docs, text, "ids array<int>, ends array<int>" + ", decoded binary" * decoded, compute, PIECE_BYTES)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """tokens with decoded (binary): the bytes that the ids stand for; null ids give no bytes."""
+    """tokens with decoded (binary): the bytes that the ids stand for; null and empty ids give no bytes.
+
+    Rows are taken together up to PIECE_BYTES ids. Other columns stay; one named
+    decoded is replaced.
+    """
     kept = [f for f in tokens.schema if f.name.lower() != "decoded"]
     width = len(kept)
     names = [f.name for f in kept] + ["decoded"]
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(width)
-            for lo in range(0, batch.num_rows, 500):
-                part = rows[lo : lo + 500]
-                tokenizer = _tokenizer(path)
+            held = np.cumsum(pc.list_value_length(batch.column(width)).fill_null(0).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < batch.num_rows:
+                before = held[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(held, before + PIECE_BYTES, "right")))
+                part = batch.column(width)[lo:hi]
                 counts = pc.list_value_length(part).fill_null(0).to_numpy(zero_copy_only=False)
                 flat = part.flatten().to_numpy(zero_copy_only=False)
-                data = tokenizer.decode(flat)
-                byte_ends = np.concatenate(([0], np.cumsum(tokenizer.sizes[flat])))[np.concatenate(([0], np.cumsum(counts)))]
-                buffers = [None, pa.py_buffer(byte_ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]
-                yield pa.RecordBatch.from_arrays([batch.column(i)[lo : lo + 500] for i in range(width)] + [pa.Array.from_buffers(pa.binary(), len(part), buffers)], names)
+                yield pa.RecordBatch.from_arrays([batch.column(i)[lo:hi] for i in range(width)] + [_tokenizer(path).decode_rows(flat, counts)], names)
+                lo = hi
 
     columns = [tokens[f"`{f.name}`"] for f in kept] + [tokens[f"`{ids}`"].alias("__ids")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + (", " if kept else "") + "decoded binary"
-    return tokens.select(*columns).mapInArrow(run, schema)
+    return tokens.select(*columns).mapInArrow(run, T.StructType([*kept, T.StructField("decoded", T.BinaryType())]))
 
 
 def rank_file(spark: SparkSession) -> str:
@@ -296,7 +316,7 @@ def rank_file(spark: SparkSession) -> str:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = rank_file(spark)
-    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

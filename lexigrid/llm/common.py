@@ -69,26 +69,30 @@ def pieces(column: pa.Array | pa.ChunkedArray, budget: int = 1 << 20) -> Iterato
         yield start, len(sizes)
 
 
-def add_columns(docs: DataFrame, text: str, outputs: str, compute: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+def add_columns(docs: DataFrame, text: str, outputs: str, compute: Callable[[pa.Array], list[pa.Array]], budget: int = 1 << 20) -> DataFrame:
     """docs with columns that ``compute`` makes of the string column ``text``.
 
     outputs: the new columns as a schema string; compute gets a slice of the
     column as an Arrow array of strings, nulls included, and returns one array
     for each of them. A column of docs with the name of an output is replaced.
-    No shuffle; every batch is worked through in pieces of bounded size.
+    No shuffle; every batch is worked through in pieces of about ``budget``
+    bytes of text. The text goes to Python once, also where it is kept.
     """
     added = T.StructType.fromDDL(outputs)
     taken = {f.name.lower() for f in added}
     kept = [f for f in docs.schema if f.name.lower() not in taken]
     width = len(kept)
     names = [f.name for f in kept] + [f.name for f in added]
+    at = next((i for i, f in enumerate(kept) if f.name.lower() == text.lower() and f.dataType == T.StringType()), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in pieces(batch.column(width)):
-                yield pa.RecordBatch.from_arrays([batch.column(i)[a:b] for i in range(width)] + compute(batch.column(width)[a:b]), names)
+            for a, b in pieces(batch.column(at), budget):
+                yield pa.RecordBatch.from_arrays([batch.column(i)[a:b] for i in range(width)] + compute(batch.column(at)[a:b]), names)
 
-    columns = [docs[f"`{f.name}`"] for f in kept] + [docs[f"`{text}`"].alias("__text")]
+    columns = [docs[f"`{f.name}`"] for f in kept]
+    if at == width:
+        columns.append(docs[f"`{text}`"].cast("string").alias("__text"))
     return docs.select(*columns).mapInArrow(run, T.StructType([*kept, *added]))
 
 
