@@ -1,30 +1,37 @@
-"""LM scoring: smoothed word n-grams as a weighted backoff automaton."""
+"""LM scoring: smoothed word n-grams as a weighted backoff automaton.
+
+No process ever holds the whole model. Texts are taken in blocks; a block sends
+its distinct n-grams to where all blocks' are counted, gets the counts back,
+and is scored by the part of the automaton that its own n-grams reach.
+"""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexigrid.llm.common import crc_remainder, durable, pieces, table
-from lexigrid.llm.textbytes import WordTable
+from lexigrid.llm.common import crc_remainder, pieces, table
+from lexigrid.llm.textbytes import WordTable, mix
 
-ORDER = 3
-#: Size bounds of the broadcast automaton: words with arcs of their own, and states of two or three words.
-VOCABULARY, STATES = 200_000, 200_000
-END, UNKNOWN, START = 0, 1, 2
-DISCOUNT = 0.4
+ORDER = 2
+#: Weight of the shorter history's estimate, in occurrences.
+CONCENTRATION = 64.0
+#: Bytes of text in a block, unless one text is larger, and bytes of n-grams that are counted together.
+BLOCK_BYTES, COUNTED_BYTES = 8 << 20, 16 << 20
+END, START = mix(np.array([1, 2], dtype=np.uint64))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _tokens(texts: pa.Array) -> tuple[WordTable, np.ndarray]:
-    words = WordTable([(t or b"").lower() for t in texts.cast(pa.binary()).to_pylist()])
-    return words, words.hashes()
+def _words(texts: pa.Array | pa.ChunkedArray) -> WordTable:
+    return WordTable([(t or b"").lower() for t in texts.cast(pa.binary()).to_pylist()])
 
 
 def count_words(texts: DataFrame, text: str = "t") -> DataFrame:
@@ -36,47 +43,74 @@ def count_words(texts: DataFrame, text: str = "t") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in pieces(batch.column(0), 2 << 20):
-                found, n = np.unique(_tokens(batch.column(0)[a:b])[1], return_counts=True)
+            for a, b in pieces(batch.column(0), BLOCK_BYTES):
+                found, n = np.unique(_words(batch.column(0)[a:b]).hashes(), return_counts=True)
                 yield pa.record_batch([pa.array(np.append(found, np.uint64(0)).view(np.int64)), pa.array(np.append(n, b - a))], ["h", "n"])
 
     return texts.select(text).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+class Block:
+    """The n-grams of some texts, each text with START before and END behind it.
+
+    For each order from 1 on: hashes, sorted and distinct; at, a place where each
+    occurs; number, for each place which n-gram ends there, -1 if its text has
+    not so many words yet. Places of all texts lie behind each other.
+    """
+
+    def __init__(self, words: WordTable, order: int):
+        self.sizes = np.diff(words.first)
+        self.ends = np.cumsum(self.sizes + 2) - 1
+        tokens = np.full(int((self.sizes + 2).sum()), END, dtype=np.uint64)
+        inner = np.ones(len(tokens), dtype=bool)
+        inner[self.ends] = inner[self.ends - self.sizes - 1] = False
+        tokens[self.ends - self.sizes - 1] = START
+        tokens[inner] = words.hashes()
+        since = np.arange(len(tokens)) - np.repeat(self.ends - self.sizes - 1, self.sizes + 2)
+        self.hashes, self.at, self.number = [], [], []
+        codes = tokens
+        for k in range(order):
+            if k:
+                codes = np.concatenate((codes[:1], mix(codes[:-1] * _STEP + tokens[1:])))
+            places = np.flatnonzero(since >= k)
+            found, first, inverse = np.unique(codes[places], return_index=True, return_inverse=True)
+            number = np.full(len(tokens), -1, dtype=np.int32)
+            number[places] = inverse
+            self.hashes.append(found)
+            self.at.append(places[first])
+            self.number.append(number)
+
+    def counts(self, training: np.ndarray) -> list[np.ndarray]:
+        """How often each n-gram occurs in the block's training texts."""
+        weight = np.repeat(training, self.sizes + 2)
+        return [np.bincount(n[n >= 0], weights=weight[n >= 0], minlength=len(h)).astype(np.uint64) for n, h in zip(self.number, self.hashes, strict=True)]
+
+
 @dataclass
 class Automaton:
-    """States are histories of up to ORDER - 1 words, from the empty one (0) on.
+    """The states and arcs that a block's n-grams can reach; state 0 is the empty history.
 
-    vocabulary: sorted word hashes, and ids for them. An arc is a state and a
-    word id in one 64-bit number; arcs are sorted by it and have a log10 weight
-    and a state to go to. Where a state has no arc for a word, its failure arc
-    leads, at a weight, to the state of the history without its first word; the
-    empty state has an arc for every word id.
+    An arc is a state and a word of the block in one number; arcs are sorted by
+    it and have a log10 weight and a state to go to. Where a state has no arc
+    for a word, its failure arc leads, at a weight, to the state of the history
+    without its first word; the empty state has an arc for every word.
     """
 
-    hashes: np.ndarray
-    ids: np.ndarray
-    counts: np.ndarray
     arcs: np.ndarray
     weights: np.ndarray
     targets: np.ndarray
     failure: np.ndarray
     penalty: np.ndarray
     start: int
-    unseen: float
-
-    def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word ids, UNKNOWN outside the vocabulary, and counts, -1 outside it."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        hit = self.hashes[at] == hashes
-        return np.where(hit, self.ids[at], UNKNOWN), np.where(hit, self.counts[at], -1)
+    words: int
+    order: int
 
-    def traverse(self, ids: np.ndarray, sizes: np.ndarray, stretch: int = 512) -> np.ndarray:
-        """Log10 probabilities of texts, given as word ids behind each other.
+    def traverse(self, ids: np.ndarray, sizes: np.ndarray, stretch: int = 128) -> np.ndarray:
+        """Log10 probabilities of texts, given as word numbers behind each other.
 
         One pass from left to right over all texts in step, each with its state
         and its sum. Long texts are walked as stretches side by side: a state is
-        fixed by the last ORDER - 1 words, so a stretch first reads those before
+        fixed by the last order - 1 words, so a stretch first reads those before
         it, at no weight, and then is where the whole walk would be.
         """
         if not len(ids):
@@ -84,7 +118,7 @@ class Automaton:
         parts = -(-sizes // stretch)
         text = np.repeat(np.arange(len(sizes)), parts)
         place = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
-        warm = np.where(place > 0, ORDER - 1, 0)
+        warm = np.where(place > 0, self.order - 1, 0)
         begin = (np.cumsum(sizes) - sizes)[text] + place * stretch - warm
         lengths = np.minimum(stretch, sizes[text] - place * stretch) + warm
         order = np.argsort(-lengths, kind="stable")
@@ -98,7 +132,7 @@ class Automaton:
             counts = (step >= warm[:n]).astype(np.float64)
             pending = np.arange(n)
             while len(pending):
-                wanted = now[pending] << 20 | word[pending]
+                wanted = now[pending] * self.words + word[pending]
                 at = np.minimum(np.searchsorted(self.arcs, wanted), len(self.arcs) - 1)
                 hit = self.arcs[at] == wanted
                 done = pending[hit]
@@ -110,205 +144,174 @@ class Automaton:
         return np.bincount(text[order], weights=total, minlength=len(sizes))
 
 
-def _build(words: list[tuple[int, int]], grams: np.ndarray, n: np.ndarray, all_tokens: int, distinct: int) -> Automaton:
-    """words: hash and count of the vocabulary, the end first; grams: rows of ORDER ids, 0-padded by -1.
+def build(block: Block, counts: list[np.ndarray], denominator: float, concentration: float) -> Automaton:
+    """The automaton for a block, given how often each of its n-grams occurs in all training texts.
 
-    Absolute discounting by the history's own count, interpolated with the next
-    shorter history; what rarer n-grams had goes to the failure arc. Single
-    words have add-one estimates, and the words outside the vocabulary share
-    theirs through the UNKNOWN arc.
+    p(w | h) = (c(hw) + m p(w | h')) / (c(h) + m), with h' the history without
+    its first word and m the concentration; without a history
+    (c(w) + 1) / denominator, so an unseen word has the one share that is left
+    for it. An n-gram that was not seen costs its history's failure arc
+    m / (c(h) + m), which is the same number.
     """
-    if len(words) + 3 >= 1 << 20:
-        raise ValueError("word ids take 20 bits")
-    counts = np.array([c for _, c in words], dtype=np.float64)
-    denominator = all_tokens + distinct + 1.0
-    # arcs of the empty state: every word id
-    ids = np.concatenate(([END], np.arange(START + 1, START + len(words)))) if words else np.array([END])
-    p1 = np.zeros(START + max(1, len(words)))
-    p1[ids] = (counts + 1) / denominator if len(counts) else 1 / denominator
-    p1[UNKNOWN] = max(1 - p1[ids].sum(), 1 / denominator)
-    state_of: dict[tuple[int, ...], int] = {(): 0, (START,): 1}
-    failure, penalty = [0, 0], [0.0, 0.0]
-    by_history: dict[tuple[int, ...], list[tuple[int, float]]] = {}
-    seen = {(int(w),): c for w, c in zip(ids, counts, strict=False)}
-    seen[(START,)] = counts[0] if len(counts) else 0
-    for row, count in zip(grams.tolist(), n.tolist(), strict=True):
-        gram = tuple(x for x in row if x >= 0)
-        by_history.setdefault(gram[:-1], []).append((gram[-1], count))
-        if len(gram) < ORDER:
-            seen[gram] = count
-    # histories become states; a longer one needs the one without its first word
-    for history in sorted(by_history, key=lambda h: (len(h), h)):
-        for cut in range(len(history) - 1, -1, -1):
-            if history[cut:] not in state_of:
-                state_of[history[cut:]] = len(failure)
-                failure.append(0)
-                penalty.append(0.0)
-    suffix = lambda h: next(state_of[h[i:]] for i in range(1, len(h) + 1) if h[i:] in state_of)
-    for history, number in state_of.items():
-        if history:
-            failure[number] = suffix(history)
-    goes = lambda h: next(state_of[h[i:]] for i in range(len(h) + 1) if len(h) - i < ORDER and h[i:] in state_of)
-    probability = {((), int(w)): float(p1[w]) for w in (*ids.tolist(), UNKNOWN)}
-    lower = lambda h, w: probability[h, w] if (h, w) in probability else share[h] * lower(h[1:], w) if h in share else lower(h[1:], w)
-    share: dict[tuple[int, ...], float] = {}
-    arcs = [(0 << 20 | w, math.log10(p), goes((w,)) if w not in (END, UNKNOWN) else 0) for ((_, w), p) in probability.items()]
-    for history, state in sorted(state_of.items(), key=lambda x: len(x[0])):
-        follow = by_history.get(history)
-        if history and follow:
-            total = max(sum(c for _, c in follow), seen.get(history, 0))
-            share[history] = 1 - sum(c - DISCOUNT for _, c in follow) / total
-            for w, c in follow:
-                probability[history, w] = (c - DISCOUNT) / total + share[history] * lower(history[1:], w)
-                arcs.append((state << 20 | w, math.log10(probability[history, w]), goes(history + (w,)) if w != END else 0))
-            penalty[state] = math.log10(share[history])
-    arcs.sort()
-    hashes = np.array([h for h, _ in words], dtype=np.int64).view(np.uint64)
-    by_hash = np.argsort(hashes)
-    column = lambda i, kind: np.array([a[i] for a in arcs], dtype=kind)
-    return Automaton(hashes[by_hash], ids[by_hash] if len(words) else ids[:0], counts[by_hash].astype(np.int64), column(0, np.int64), column(1, np.float64), column(2, np.int64), np.array(failure), np.array(penalty), state_of[(START,)], math.log10(1 / denominator))
-
-
-def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
-    """The rows of greatest n, as many as fit ``limit`` without parting like frequencies.
-
-    Frequencies are alike if 32 times their binary logarithm has the same whole
-    part, so the driver sees 2,048 bins at most and nothing is sorted.
+    c = [n.astype(np.float64) for n in counts]
+    width = len(block.hashes[0])
+    p = (c[0] + 1) / denominator
+    states = [np.zeros(1, dtype=np.int64)]  # of each order's n-grams, as histories
+    failure, penalty = [np.zeros(1, dtype=np.int64)], [np.zeros(1)]
+    total = 1
+    for k in range(len(c) - 1):
+        some = c[k] > 0
+        states.append(np.where(some, total + np.cumsum(some) - 1, 0))
+        total += int(some.sum())
+        failure.append(states[k][block.number[k - 1][block.at[k][some]]] if k else np.zeros(int(some.sum()), dtype=np.int64))
+        penalty.append(np.log10(concentration / (c[k][some] + concentration)))
+    goes = lambda k, n: states[k + 1][n] if k + 1 < len(states) else (states[k][block.number[k - 1][block.at[k][n]]] if k else np.zeros(len(n), dtype=np.int64))
+    every = np.arange(width)
+    arcs, weights, targets = [every], [np.log10(p)], [goes(0, every)]
+    for k in range(1, len(c)):
+        here = block.at[k]
+        history = block.number[k - 1][here - 1]
+        p = (c[k] + concentration * p[block.number[k - 1][here]]) / (c[k - 1][history] + concentration)
+        seen = np.flatnonzero(c[k] > 0)
+        arcs.append(states[k][history[seen]] * width + block.number[0][here[seen]])
+        weights.append(np.log10(p[seen]))
+        targets.append(goes(k, seen))
+    keys = np.concatenate(arcs)
+    order = np.argsort(keys)
+    first = np.searchsorted(block.hashes[0], START)
+    join = lambda x: np.concatenate(x)[order]
+    return Automaton(keys[order], join(weights), join(targets), np.concatenate(failure), np.concatenate(penalty), int(states[1][first]) if len(c) > 1 else 0, width, len(c))
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Unsigned integers in as few bytes each as the largest needs, all lowest bytes first."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches of (k, train, t) in blocks, each with a name: its task, its turn and its texts.
+
+    The name is the same whenever the same rows are read in the same order.
     """
-    level = F.floor(32 * F.log2("n"))
-    held, least = 0, None
-    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
-        held += row["count"]
-        if held > limit:
-            break
-        least = row.level
-    return counts.where(level >= least) if least is not None else counts.where(F.lit(False))
-
+    part, turn = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for a, b in pieces(batch.column(2), block_bytes):
+            rows = batch.slice(a, b - a)
+            digest = xxhash.xxh3_64(f"{part} {turn}")
+            for value in rows.column(2).cast(pa.binary()).to_pylist():
+                digest.update(value)
+            turn += 1
+            yield digest.intdigest() - (1 << 63), rows
+
+
+def _n_grams(batches: Iterator[pa.RecordBatch], order: int, bits: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Of each block, order and range of hashes: the n-grams as differences, and their training counts."""
+    shift = np.uint64(64 - bits)
+    for name, rows in _blocks(batches, block_bytes):
+        block = Block(_words(rows.column(2)), order)
+        counts = block.counts(rows.column(1).to_numpy(zero_copy_only=False))
+        for k, (hashes, n) in enumerate(zip(block.hashes, counts, strict=True)):
+            ranges, cuts = np.unique(hashes >> shift if bits else np.zeros(len(hashes), dtype=np.uint64), return_index=True)
+            parts = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(hashes)], strict=True))
+            yield pa.record_batch(
+                [
+                    pa.array([name] * len(ranges), pa.int64()),
+                    pa.array([k] * len(ranges), pa.int32()),
+                    pa.array(ranges.astype(np.int64)),
+                    pa.array([_pack(np.diff(hashes[a:b], prepend=np.uint64(0))) for a, b in parts], pa.binary()),
+                    pa.array([_pack(n[a:b]) for a, b in parts], pa.binary()),
+                ],
+                ["block", "k", "range", "grams", "counts"],
+            )
+
+
+def _totals(rows: pa.Table) -> pa.Table:
+    """For each block's n-grams of one order and range how often they occur in all blocks."""
+    grams = [np.cumsum(_unpack(x), dtype=np.uint64) for x in rows["grams"].to_pylist()]
+    counts = np.concatenate([_unpack(x) for x in rows["counts"].to_pylist()])
+    _, inverse = np.unique(np.concatenate(grams), return_inverse=True)
+    total = np.bincount(inverse, weights=counts).astype(np.uint64)[inverse]
+    cuts = np.cumsum([0, *map(len, grams)])
+    packed = [_pack(total[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return pa.table([rows["block"], rows["k"], rows["range"], pa.array(packed, pa.binary())], ["block", "k", "range", "totals"])
+
+
+def _scores(texts: pa.Table, answers: pa.Table, order: int, denominator: float, concentration: float) -> pa.Table:
+    """The scores of a block's texts."""
+    block = Block(_words(texts["t"]), order)
+    parts: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.uint64)] for _ in range(order)]
+    for row in answers.sort_by([("k", "ascending"), ("range", "ascending")]).select(["k", "totals"]).to_pylist():
+        parts[row["k"]].append(_unpack(row["totals"]))
+    counts = [np.concatenate(x) for x in parts]
+    if [len(c) for c in counts] != [len(h) for h in block.hashes]:
+        raise RuntimeError("the rows to score were read in another order the second time; write them as a table first")
+    model = build(block, counts, denominator, concentration)
+    predicted = np.ones(len(block.number[0]), dtype=bool)
+    predicted[block.ends - block.sizes - 1] = False
+    ids = block.number[0][predicted].astype(np.int64)
+    sizes = block.sizes + 1
+    firsts = np.cumsum(sizes) - sizes
+    n = counts[0][ids].astype(np.float64)
+    return pa.table(
+        [
+            texts["k"],
+            texts["train"],
+            pa.array(sizes),
+            pa.array(np.add.reduceat((n > 0).astype(np.int64), firsts)),
+            pa.array(np.add.reduceat(np.log10((n + 1) / denominator), firsts)),
+            pa.array(model.traverse(ids, sizes)),
+        ],
+        ["k", "train", "n_tokens", "n_known", "base_score", "score"],
+    )
 
-def _count_grams(texts: DataFrame, model: Automaton) -> DataFrame:
-    """(gram bigint, n): bigrams and trigrams of vocabulary words, START and END.
 
-    Ids are packed, 20 bits each; bit 62 marks a trigram.
-    """
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            for a, b in pieces(batch.column(0), 2 << 20):
-                words, hashes = _tokens(batch.column(0)[a:b])
-                sizes = np.diff(words.first)
-                ids = _with_ends(model.lookup(hashes)[0], sizes, START)
-                usable = ids != UNKNOWN
-                two = (usable[:-1] & usable[1:]) & (ids[:-1] != END)
-                pairs = ids[:-1] << 20 | ids[1:]
-                three = two[:-1] & two[1:]
-                codes = np.concatenate((pairs[two], (pairs[:-1] << 20 | ids[2:])[three] | 1 << 62))
-                found, n = np.unique(codes, return_counts=True)
-                yield pa.record_batch([pa.array(found), pa.array(n)], ["gram", "n"])
-
-    return texts.select("t").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _with_ends(ids: np.ndarray, sizes: np.ndarray, start: int | None = None) -> np.ndarray:
-    """Texts' ids with END behind each, and ``start`` before each if given."""
-    extra = 1 if start is None else 2
-    ends = np.cumsum(sizes + extra)
-    out = np.full(ends[-1] if len(ends) else 0, END, dtype=np.int64)
-    inner = np.ones(len(out), dtype=bool)
-    inner[ends - 1] = False
-    if start is not None:
-        inner[ends - sizes - 2] = False
-        out[ends - sizes - 2] = start
-    out[inner] = ids
-    return out
-
-
-def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, states: int = STATES) -> DataFrame:
+def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, concentration: float = CONCENTRATION, block_bytes: int = BLOCK_BYTES, counted_bytes: int = COUNTED_BYTES) -> DataFrame:
     """(key, training, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs.
 
-    Texts where ``training`` is true are learned from. Tokens are words, lower
-    case A to Z, then one end. Null and empty texts are an end alone. base_score:
-    the sum of log10((c + 1) / (N + V + 1)) with c the token's count, N all and V
-    the distinct training tokens. score: log10 probability by the automaton.
-
-    Counts cover every training text. The automaton is broadcast and of bounded
-    size: the most frequent words up to ``vocabulary`` and the most frequent
-    bigrams and trigrams of theirs up to ``states``. Words outside it
-    have a probability through the UNKNOWN arc, and their exact counts, for
-    base_score, from a join by word: each is rarer than any in the vocabulary,
-    so no join key is hot. Nothing is left out of either score.
+    Texts where ``training`` is true are learned from; where it is null they are
+    not. Tokens are words, lower case A to Z, then one end. Null and empty texts
+    are an end alone. base_score: the sum of log10((c + 1) / (N + V + 1)) with c
+    the token's count, N all and V the distinct training tokens. score: log10
+    probability by the automaton of n-grams up to ``order``. Rows that repeat
+    are scored alike, whatever their key; an empty table gives an empty one;
+    other columns of docs are not read. Without training texts every token has
+    probability 1.
+
+    Every word and n-gram of every training text is in the model, so it grows
+    with the corpus; words and n-grams are told apart by 64-bit hashes. A block
+    sends each of its distinct n-grams once, with its training count, to the
+    range of hashes it falls in, so no n-gram, however frequent, makes a range
+    larger than the others; what comes back is a count for each, and meets the
+    block's texts there. docs is read three times and must give the same rows
+    in the same order, as a table or a checkpoint does; otherwise it raises.
     """
     kind = docs.schema[key].dataType
-    rows = docs.select(F.col(key).alias("k"), training.alias("train"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    learn = rows.where("train")
-    counts = durable(count_words(learn))
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = [(r.h, r.n) for r in most_frequent(counts.where("h <> 0"), vocabulary).collect()]
-    top.sort(key=lambda x: (-x[1], x[0]))
-    ends = counts.where("h = 0").select("n").first()
-    words = [(0, ends.n if ends else 0), *top]
-    small = _build(words, np.zeros((0, ORDER), np.int64), np.zeros(0), sums.n, sums.v)
-    counted = durable(_count_grams(learn, small).where("n > 1"))
-    grams = most_frequent(counted, states).toPandas().sort_values("gram")
-    codes = grams["gram"].to_numpy(dtype=np.int64)
-    triple, low = codes >> 62 & 1, codes & ~(1 << 62)
-    part = lambda by: low >> by & 0xFFFFF
-    table_of = np.stack([np.where(triple, part(40), -1), part(20), part(0)], axis=1)
-    model = _build(words, table_of, grams["n"].to_numpy(dtype=np.float64), sums.n, sums.v)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(training, F.lit(False)).alias("train"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    sums = count_words(rows.where("train")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    bits = max(0, int(2 * size // counted_bytes).bit_length())
     denominator = float(sums.n + sums.v + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            for a, b in pieces(batch.column(2), 2 << 20):
-                words, hashes = _tokens(batch.column(2)[a:b])
-                sizes = np.diff(words.first)
-                ids, known = model.lookup(hashes)
-                firsts = words.first[:-1]
-                add = lambda x: np.concatenate(([0.0], np.cumsum(x)))[words.first[1:]] - np.concatenate(([0.0], np.cumsum(x)))[firsts]
-                inside = known > 0
-                logs = np.where(inside, np.log10((np.maximum(known, 0) + 1.0) / denominator), 0.0)
-                end = math.log10((max(0, int(model.counts[model.hashes == 0][0])) + 1) / denominator)
-                base = np.array([math.fsum(logs[x:y]) + end for x, y in zip(firsts.tolist(), words.first[1:].tolist(), strict=True)])
-                rare, times, owner = [], [], []
-                for row, (x, y) in enumerate(zip(firsts.tolist(), words.first[1:].tolist(), strict=True)):
-                    found, n = np.unique(hashes[x:y][~inside[x:y]], return_counts=True)
-                    rare.append(found)
-                    times.append(n)
-                    owner.append(len(found))
-                total = model.traverse(_with_ends(ids, sizes), sizes + 1)
-                hits = add(inside.astype(np.float64)).astype(np.int64) + (model.counts[model.hashes == 0][0] > 0)
-                offsets = pa.array(np.concatenate(([0], np.cumsum(owner))).astype(np.int32))
-                blank = np.zeros(0, np.uint64)
-                yield pa.record_batch(
-                    [
-                        batch.column(0)[a:b], batch.column(1)[a:b], pa.array(sizes + 1), pa.array(hits), pa.array(base), pa.array(total),
-                        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([blank, *rare]).view(np.int64))),
-                        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *times]))),
-                    ],
-                    ["k", "train", "n_tokens", "n_known", "base", "score", "rare", "times"],
-                )
-
-    shape = T.StructType([T.StructField("k", kind), *T.StructType.fromDDL("train boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>, times array<bigint>")])
-    # a row's place is its name from here on; the checkpoint keeps it the same
-    scored = durable(rows.mapInArrow(run, shape).withColumn("row", F.monotonically_increasing_id()))
-    missing = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), "x.times")
-    found = missing.join(counts.where(F.col("h") != 0), "h", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))
-    rest = found.groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((F.col("n") + 1.0) / F.lit(denominator))).alias("more"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"),
-    )
-    return scored.drop("rare", "times").join(rest, "row", "left").select(
-        F.col("k").alias(key),
-        F.col("train").alias("training"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(sums.n).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+    named = T.StructType([T.StructField("block", T.LongType()), T.StructField("k", kind), *T.StructType.fromDDL("train boolean, t string")])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, part in _blocks(batches, block_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, block)), *part.columns], ["block", "k", "train", "t"])
+
+    grams = rows.mapInArrow(lambda it: _n_grams(it, order, bits, block_bytes), "block bigint, k int, range bigint, grams binary, counts binary")
+    answers = grams.groupBy("k", "range").applyInArrow(_totals, "block bigint, k int, range bigint, totals binary")
+    texts = rows.mapInArrow(name, named)
+    shape = T.StructType([T.StructField("k", kind), *T.StructType.fromDDL("train boolean, n_tokens bigint, n_known bigint, base_score double, score double")])
+    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _scores(a, b, order, denominator, concentration), shape)
+    return scored.select(F.col("k").alias(key), F.col("train").alias("training"), "n_tokens", "n_known", F.lit(sums.n).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

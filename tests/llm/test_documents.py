@@ -6,12 +6,15 @@ import hashlib
 import math
 import re
 from collections import Counter, defaultdict
+from functools import lru_cache
 from zlib import crc32
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lexigrid.llm import ngram_lm
 from lexigrid.llm.queries import ORACLE_SQL, QUERIES
 from tests.oracle import assert_same, connect
 
@@ -152,13 +155,33 @@ def test_op9_counts_and_base_score(spark, tiny, documents):
     for d, ws in tokens.items():
         row = found[d]
         assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (held[d], len(ws), sum(count[w] > 0 for w in ws), n)
-        # (N + 1) (V + 1) is what the contract's formula divides by
         assert math.isclose(row.base_score, sum(math.log10((count[w] + 1) / (n + 1 * (v + 1))) for w in ws), rel_tol=1e-9)
         assert row.score < 0
     unseen = [d for d in tokens if held[d]]
     assert sum(found[d].score for d in unseen) > sum(found[d].base_score for d in unseen)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_op9_score_is_that_of_a_plain_backoff_model(spark, tiny, documents, order):
+    held = {d: crc32(str(d).encode()) % 7 == 2 for d, _, _ in documents}
+    texts = {d: [None, *WORD.findall(lower(t or "")), ""] for d, t, _ in documents}
+    count = Counter(tuple(ws[i : i + k]) for d, ws in texts.items() if not held[d] for k in range(1, order + 1) for i in range(len(ws) - k + 1))
+    single = [n for g, n in count.items() if len(g) == 1 and g != (None,)]
+
+    def p(history, w):
+        if not history:
+            return (count[w,] + 1) / (sum(single) + len(single) + 1)
+        return (count[*history, w] + 64.0 * p(history[1:], w)) / (count[history] + 64.0)
+
+    p = lru_cache(None)(p)
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    learned = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    for row in ngram_lm.score(docs, learned, order=order, block_bytes=1 << 16, counted_bytes=1 << 15).collect():
+        ws = texts[row.doc_id]
+        want = sum(math.log10(p(tuple(ws[max(0, i - order + 1) : i]), ws[i])) for i in range(1, len(ws)))
+        assert math.isclose(row.score, want, rel_tol=1e-9)
+
+
 def test_pipeline_stages(spark, tiny):
     columns = spark.read.parquet(f"{tiny}/documents.parquet").columns
     docs = spark.read.parquet(f"{tiny}/documents.parquet").cache()

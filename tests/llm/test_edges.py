@@ -191,32 +191,52 @@ def test_language_model(spark, docs, empty):
     rows = by_id(found)
     assert found.count() == len(TEXTS) and rows[1].n_tokens == 1 and rows[4].n_tokens == 30_001 and rows[4].n_known == 30_001
     assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows.values())
+    assert [r.score for r in found.where("doc_id = 5").collect()] == [rows[5].score] * 2
     assert ngram_lm.score(empty, F.lit(True)).count() == 0
-    unlearned = by_id(ngram_lm.score(docs, F.lit(False)))
-    assert unlearned[5].n_known == 0 and math.isclose(unlearned[5].base_score, 0.0, abs_tol=1e-9)
-    capped = by_id(ngram_lm.score(docs, F.lit(True), vocabulary=50))
-    assert {d: (r.n_known, round(r.base_score, 6)) for d, r in capped.items()} == {d: (r.n_known, round(r.base_score, 6)) for d, r in rows.items()}
+    unlearned = by_id(ngram_lm.score(docs, F.lit(None).cast("boolean")))
+    assert unlearned[5].n_known == 0 and unlearned[5].base_score == unlearned[5].score == 0.0 and not unlearned[5].training
+    small = by_id(ngram_lm.score(docs, F.lit(True), block_bytes=300, counted_bytes=1 << 10))
+    assert {d: (r.n_known, round(r.base_score, 6), round(r.score, 6)) for d, r in small.items()} == {d: (r.n_known, round(r.base_score, 6), round(r.score, 6)) for d, r in rows.items()}
+
+
+def _model(texts, order=3):
+    from lexigrid.llm.textbytes import WordTable
+
+    block = ngram_lm.Block(WordTable([t.encode() for t in texts]), order)
+    counts = block.counts(np.ones(len(texts), dtype=bool))
+    words = counts[0][block.hashes[0] != ngram_lm.START]
+    return block, ngram_lm.build(block, counts, float(words.sum() + len(words) + 1), 2.0)
 
 
 def test_automaton_is_a_probability_distribution():
-    words = [(0, 5), (11, 7), (12, 4), (13, 3)]  # ids: the end 0, then 3, 4, 5
-    grams = np.array([[-1, 2, 3], [-1, 3, 4], [-1, 4, 0], [2, 3, 4], [3, 4, 0], [3, 4, 5]])
-    model = ngram_lm._build(words, grams, np.array([4.0, 3, 2, 3, 2, 1]), 19, 4)
-    for history in ([], [3], [3, 4], [5], [1, 4]):
-        whole = [np.array([*history, w]) for w in (0, 1, 3, 4, 5)]
+    from lexigrid.llm.textbytes import WordTable
+
+    texts = [b"a b c a b", b"b c", b"c c a d", b"", b"unseen"]
+    block = ngram_lm.Block(WordTable(texts), 3)
+    counts = block.counts(np.array([True, True, True, True, False]))
+    words = counts[0][block.hashes[0] != ngram_lm.START]
+    model = ngram_lm.build(block, counts, float(words.sum() + (words > 0).sum() + 1), 2.0)
+    start, end = (int(np.searchsorted(block.hashes[0], x)) for x in (ngram_lm.START, ngram_lm.END))
+    predicted = [i for i in range(len(block.hashes[0])) if i != start]
+    inner = [i for i in predicted if i != end]
+    for history in [[], *([i] for i in inner), *([i, j] for i in inner for j in inner)]:
         before = model.traverse(np.array(history, dtype=np.int64), np.array([len(history)]))[0] if history else 0.0
-        assert math.isclose(sum(10 ** (model.traverse(x, np.array([len(x)]))[0] - before) for x in whole), 1.0, rel_tol=1e-9)
+        whole = sum(10 ** (model.traverse(np.array([*history, w]), np.array([len(history) + 1]))[0] - before) for w in predicted)
+        assert math.isclose(whole, 1.0, rel_tol=1e-9)
 
 
 def test_automaton_walks_long_texts_in_stretches():
-    words = [(0, 5), (11, 7), (12, 4), (13, 3)]
-    grams = np.array([[-1, 2, 3], [-1, 3, 4], [-1, 4, 0], [2, 3, 4], [3, 4, 0], [3, 4, 5]])
-    model = ngram_lm._build(words, grams, np.array([4.0, 3, 2, 3, 2, 1]), 19, 4)
-    ids = np.random.default_rng(1).choice([1, 3, 4, 5], 5000)
+    block, model = _model(["a b c a b", "b c", "c c a d"])
+    ids = np.random.default_rng(1).integers(0, len(block.hashes[0]), 5000)
     sizes = np.array([3000, 0, 1, 1999])
     assert np.allclose(model.traverse(ids, sizes), model.traverse(ids, sizes, stretch=10_000))
 
 
+def test_packed_numbers():
+    for values in ([], [0], [255, 256], [1 << 63, 3, 0]):
+        assert ngram_lm._unpack(ngram_lm._pack(np.array(values, dtype=np.uint64))).tolist() == values
+
+
 def test_licenses(spark, docs, empty):
     assert licenses.untriggered() == []
     found = licenses.scan_licenses(docs)
