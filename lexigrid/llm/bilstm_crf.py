@@ -71,8 +71,8 @@ class BiLstmCrf:
             path.append(b[np.arange(len(path[-1])), path[-1]])
         return np.stack(path[::-1], axis=1)
 
-    def train(self, symbols: np.ndarray, tags: np.ndarray, rate: float = 0.01) -> float:
-        """One Adam step on the mean negative log-likelihood of the tags; returns it."""
+    def gradients(self, symbols: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """The mean negative log-likelihood of the tags, and its gradient by each parameter."""
         keep: dict = {}
         e = self.scores(symbols, keep).astype(np.float64)
         steps, batch, k = e.shape
@@ -117,6 +117,11 @@ class BiLstmCrf:
             grads["w" + s], grads["c" + s] = d_w, d_c0
         grads["embed"] = np.zeros_like(self.p["embed"])
         np.add.at(grads["embed"], symbols.T, d_x)
+        return float((whole - gold).mean()), grads
+
+    def train(self, symbols: np.ndarray, tags: np.ndarray, rate: float = 0.01) -> float:
+        """One Adam step on the mean negative log-likelihood of the tags; returns it."""
+        loss, grads = self.gradients(symbols, tags)
         self.steps += 1
         for name, grad in grads.items():
             grad = np.clip(grad, -5, 5).astype(np.float32)
@@ -124,4 +129,4 @@ class BiLstmCrf:
             m += 0.1 * (grad - m)
             v += 0.001 * (grad * grad - v)
             self.p[name] -= rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.999**self.steps)) + 1e-8)
-        return float((whole - gold).mean())
+        return loss

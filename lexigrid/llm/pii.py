@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.llm.bilstm_crf import BiLstmCrf
-from lexigrid.llm.common import add_columns, table
+from lexigrid.llm.common import add_columns, shared_folder, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters of a window, between the starts of two, and the longest span the model may add.
-WINDOW, STRIDE, LONGEST = 96, 48, 44
-#: Bounds of the training sample and of the training itself.
-SAMPLE_TEXTS, STEPS, BATCH = 1200, 260, 48
+#: Characters of a window, and between the starts of two.
+WINDOW, STRIDE = 96, 48
+#: Bounds of the training sample, in windows of text, and of the training itself.
+SAMPLE_WINDOWS, STEPS, BATCH = 3000, 420, 64
 
 # The base patterns. A digit before the start would have been in the match.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -115,17 +118,15 @@ def _window_starts(size: int, triggers: np.ndarray) -> np.ndarray:
 
 
 def _fits(kind: int, text: str) -> bool:
-    """The exact check of a span that the model adds, with looser separators than the base patterns."""
+    """What every span that the model adds must have; its shape is the model's to judge."""
     found = _digits(text)
     if kind == 0:
-        return bool(re.fullmatch(r"[\w.%+-]+\x20?@\x20?[\w-]+(?:\.[\w-]+)+", text)) and not text.startswith(".")
+        name, _, domain = text.partition("@")
+        return bool(name.strip()) and "." in domain.strip(".")
     if kind == 1:
-        parts = re.fullmatch(r"([0-9]{1,3})(?:\[\.\]|\(\.\)|\x20?\.\x20?)([0-9]{1,3})(?:\[\.\]|\(\.\)|\x20?\.\x20?)([0-9]{1,3})(?:\[\.\]|\(\.\)|\x20?\.\x20?)([0-9]{1,3})", text)
-        return bool(parts) and all(int(x) <= 255 for x in parts.groups())
-    if kind == 2:
-        return bool(re.fullmatch(r"[0-9]{4}(?:[\x20./_-]?[0-9]{2,6})+", text)) and 14 <= len(found) <= 19 and luhn(found)
-    shape = re.fullmatch(r"(?:\+|00)?[0-9]{0,4}[\x20.-]?\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}(?:[\x20./-]?[0-9]{2,4}){1,3}", text)
-    return bool(shape) and 10 <= len(found) <= 15 and len(re.findall(r"[\x20./()-]+", text)) >= 2 and not re.match(r"[12][0-9]{3}-[01][0-9]-", text)
+        numbers = re.findall(r"[0-9]+", text)
+        return len(numbers) == 4 and all(len(x) < 4 and int(x) <= 255 for x in numbers)
+    return 13 <= len(found) <= 19 if kind == 2 else 8 <= len(found) <= 15
 
 
 def _spans_of(path: np.ndarray) -> list[Span]:
@@ -145,41 +146,49 @@ def _spans_of(path: np.ndarray) -> list[Span]:
     return out
 
 
-def _added(texts: list[str], bases: list[list[Span]], model: BiLstmCrf) -> list[list[Span]]:
-    """Spans of the model: overlapping windows are decoded, then reconciled over each text.
+def _windows(symbols: np.ndarray) -> list[int]:
+    """Starts of the windows to decode."""
+    return _window_starts(len(symbols), np.flatnonzero((symbols == 3) | (symbols == 10))).tolist()
+
+
+def _fit_window(values: np.ndarray, start: int) -> np.ndarray:
+    part = values[start : start + WINDOW]
+    return np.pad(part, (0, WINDOW - len(part)))
+
 
-    A span that touches a window's inner edge is left to the window that holds
-    it whole. Of those that overlap, the one found by more windows stays, then
-    the one farther from its window's edges, the longer, the earlier. Spans that
-    fail the exact check or overlap a base span go.
+def paths(texts: list[str], model: BiLstmCrf) -> list[np.ndarray]:
+    """The tag of every character: overlapping windows are decoded, then reconciled over each text.
+
+    Where two windows overlap, each speaks for the half that lies deeper in it,
+    so a span that no window holds whole comes out in one piece.
     """
-    pieces, where = [], []
+    cut, where, out = [], [], []
     for row, text in enumerate(texts):
         symbols = _symbols(text)
-        for start in _window_starts(len(symbols), np.flatnonzero((symbols == 3) | (symbols == 10))).tolist():
-            part = symbols[start : start + WINDOW]
-            pieces.append(np.pad(part, (0, WINDOW - len(part))))
-            where.append((row, start, len(symbols)))
-    votes: list[dict[Span, tuple[int, int]]] = [{} for _ in texts]
-    for lo in range(0, len(pieces), 512):
-        paths = model.decode(np.stack(pieces[lo : lo + 512]))
-        for (row, start, size), path in zip(where[lo : lo + 512], paths, strict=True):
-            for a, kind, b in _spans_of(path) if path.any() else []:
-                a, b = a + start, min(b + start, size)
-                stop = min(start + WINDOW, size)
-                if b <= a or b - a > LONGEST or (a == start and start) or (b == stop and stop < size):
-                    continue
-                n, room = votes[row].get((a, kind, b), (0, 0))
-                votes[row][a, kind, b] = (n + 1, max(room, min(a - start, stop - b)))
+        out.append(np.zeros(len(symbols), dtype=np.int64))
+        starts = _windows(symbols)
+        for i, start in enumerate(starts):
+            met = i > 0 and start - starts[i - 1] == STRIDE
+            meets = i + 1 < len(starts) and starts[i + 1] - start == STRIDE
+            shared = (WINDOW - STRIDE) // 2
+            cut.append(_fit_window(symbols, start))
+            where.append((row, start, start + shared * met, min(start + WINDOW - shared * meets, len(symbols))))
+    for lo in range(0, len(cut), 512):
+        for (row, start, a, b), path in zip(where[lo : lo + 512], model.decode(np.stack(cut[lo : lo + 512])), strict=True):
+            out[row][a:b] = path[a - start : b - start]
+    return out
+
+
+def _added(texts: list[str], bases: list[list[Span]], model: BiLstmCrf) -> list[list[Span]]:
+    """Spans of the model that overlap no base span, cut no word or number, and have what their kind must have."""
     out = []
-    for text, base, found in zip(texts, bases, votes, strict=True):
-        taken = list(base)
-        for span, _ in sorted(found.items(), key=lambda x: (-x[1][0], -x[1][1], x[0][0] - x[0][2], x[0])):
-            a, kind, b = span
-            cut = text[a - 1 : a].isalnum() or text[b : b + 1].isalnum()
-            if not cut and all(b <= s or a >= e for s, _, e in taken) and _fits(kind, text[a:b]):
-                taken.append(span)
-        out.append(sorted(set(taken) - set(base)))
+    for text, base, path in zip(texts, bases, paths(texts, model), strict=True):
+        found = []
+        for a, kind, b in _spans_of(path):
+            cut = text[max(0, a - 1) : a].isalnum() or text[b : b + 1].isalnum()
+            if not cut and all(b <= s or a >= e for s, _, e in base) and _fits(kind, text[a:b]):
+                found.append((a, kind, b))
+        out.append(found)
     return out
 
 
@@ -194,64 +203,116 @@ def _example(rng: np.random.Generator, word) -> tuple[str, int]:
     if kind == 1:
         return pick(".", ".", "[.]", " . ").join(byte() for _ in range(4)), 1
     if kind == 2:
-        return pick("", "", " ", "-", ".").join(d(4) for _ in range(4)), 2
+        return pick(pick("", "", " ", "-", ".").join(d(4) for _ in range(4)), f"{d(4)} {d(6)} {d(5)}", d(int(rng.integers(14, 20)))), 2
     if kind == 3:
-        return pick(f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}"), 3
-    return pick(d(4), f"{d(1)}.{d(2)}", f"20{d(2)}-0{d(1)}-1{d(1)}", f"{d(8)}", "".join(pick(*"0123456789abcdef") for _ in range(40)), f"{d(3)},{d(3)}", f"@{word()}", f"v{d(1)}.{d(1)}.{d(1)}"), -1
+        return pick(f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"00{d(2)} {d(3)} {d(7)}"), 3
+    hexes = lambda n: "".join(pick(*"0123456789abcdef") for _ in range(n))
+    return pick(d(int(rng.integers(1, 8))), f"{d(1)}.{d(2)}", f"20{d(2)}-0{d(1)}-1{d(1)}", f"20{d(2)}", hexes(40), hexes(int(rng.integers(12, 33))), f"{d(3)},{d(3)}", f"@{word()}", f"v{d(1)}.{d(1)}.{d(1)}", f"version {d(1)}.{d(1)}.", f"{d(2)}:{d(2)}:{d(2)}", f"{d(3)}x{d(3)}"), -1
+
+
+def made_up(rng: np.random.Generator, word) -> tuple[str, list[Span]]:
+    """A line of words with a made-up span or a number that is none."""
+    made, kind = _example(rng, word)
+    head = (" ".join(word() for _ in range(rng.integers(0, 9))) + " ")[-60:]
+    line = head + made + rng.choice([" ", ".", ", ", "\n", "%%% ", " | "]) + " ".join(word() for _ in range(14))
+    return line[: max(WINDOW, len(head) + len(made))], [(len(head), kind, len(head) + len(made))] if kind >= 0 else []
+
+
+def labelled_spans(text: str) -> list[Span]:
+    """What a text teaches: its base spans, and numbers that would be cards but for the check digit, as a slip of one digit makes."""
+    base = base_spans(text)
+    cards = [(m.start(), 2, m.end()) for m in _CARD.finditer(text) if 14 <= len(_digits(m[0])) <= 19]
+    return sorted({*base, *(c for c in cards if all(c[2] <= s or c[0] >= e for s, _, e in base))})
 
 
-def train(docs: DataFrame, text: str = "text", sample_texts: int = SAMPLE_TEXTS, steps: int = STEPS, seed: int = 7) -> BiLstmCrf:
-    """A tagger fitted on labelled spans of a bounded sample.
+def sample(docs: DataFrame, text: str = "text", sample_windows: int = SAMPLE_WINDOWS) -> list[str]:
+    """At most ``sample_windows`` different windows of text, those of least hash among all windows of all texts.
 
-    About ``sample_texts`` texts with a digit or an at sign, by hash, give real
-    windows whose labels are their base spans, and words for made-up spans in
-    other formats. With no such texts the words are made up too.
+    Windows are cut from whole texts on the executors; a batch sends on its own
+    least hashes only, so the driver sees no more than the bound.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[int, str] = {}
+            for value in batch.column(0).to_pylist():
+                for start in _windows(_symbols(value)):
+                    part = value[start : start + WINDOW]
+                    found[xxhash.xxh3_64_intdigest(part.encode("utf-8", "replace")) >> 1] = part
+                if len(found) > 4 * sample_windows:
+                    found = dict(sorted(found.items())[:sample_windows])
+            kept = sorted(found.items())[:sample_windows]
+            yield pa.record_batch([pa.array([h for h, _ in kept], pa.int64()), pa.array([w for _, w in kept], pa.string())], ["h", "w"])
+
     usable = docs.select(F.col(text).alias("t")).where(F.rlike(F.col("t"), F.lit("[0-9@]")))
-    n = usable.count()
-    share = int(min(1.0, sample_texts / max(1, n)) * ((1 << 53) - 1))
-    texts = sorted(r.t for r in usable.where(F.shiftrightunsigned(F.xxhash64(F.lit("pii"), "t"), 11) <= share).limit(4 * sample_texts).collect())
+    cut = usable.mapInArrow(run, "h bigint, w string").groupBy("h").agg(F.min("w").alias("w"))
+    return [r.w for r in cut.orderBy("h").limit(sample_windows).collect()]
+
+
+def fit(windows: list[str], steps: int = STEPS, seed: int = 7) -> BiLstmCrf:
+    """A tagger trained on windows, as labelled_spans has them, and as many made-up lines of their words."""
     rng = np.random.default_rng(seed)
-    windows, labels = [], []
-    plain = []
-    for t in texts:
-        symbols = _symbols(t)
-        tags = _tags(len(symbols), base_spans(t))
-        for start in _window_starts(len(symbols), np.flatnonzero((symbols == 3) | (symbols == 10))).tolist()[:12]:
-            windows.append(np.pad(symbols[start : start + WINDOW], (0, max(0, WINDOW - len(symbols) + start))))
-            labels.append(np.pad(tags[start : start + WINDOW], (0, max(0, WINDOW - len(symbols) + start))))
-        plain += [w.strip(".,|!?;:#*$%&") for w in t[:2000].split()[:80] if not _TRIGGER.search(w)]
-    plain = [w for w in plain if w] or ["lorem", "ipsum", "dolor", "sit", "amet", "elit"]
+    plain = [w for t in windows for x in t.split()[1:-1] if not _TRIGGER.search(x) and (w := x.strip(".,|!?;:#*$%&"))]
+    plain = plain or ["lorem", "ipsum", "dolor", "sit", "amet", "elit"]
     word = lambda: plain[rng.integers(len(plain))]
+    real = [(t, labelled_spans(t)) for t in windows]
     model = BiLstmCrf(SYMBOLS, TAGS, seed=seed)
     for step in range(steps):
-        xs, ys = [], []
-        for i in range(BATCH):
-            if windows and i % 2:
-                k = rng.integers(len(windows))
-                xs.append(windows[k])
-                ys.append(labels[k])
-                continue
-            made, kind = _example(rng, word)
-            head = " ".join(word() for _ in range(rng.integers(0, 9))) + " "
-            line = head[-60:] + made + rng.choice([" ", ".", ", ", "\n", "%%% ", " | "]) + " ".join(word() for _ in range(14))
-            at = len(head[-60:])
-            spans = [(at, kind, at + len(made))] if kind >= 0 else []
-            tags = _tags(len(line), spans)
-            xs.append(np.pad(_symbols(line)[:WINDOW], (0, max(0, WINDOW - len(line)))))
-            ys.append(np.pad(tags[:WINDOW], (0, max(0, WINDOW - len(line)))))
-        model.train(np.stack(xs), np.stack(ys), rate=0.012 if step < steps * 2 // 3 else 0.004)
+        lines = [real[rng.integers(len(real))] if real and i % 3 == 0 else made_up(rng, word) for i in range(BATCH)]
+        xs = np.stack([_fit_window(_symbols(t), 0) for t, _ in lines])
+        ys = np.stack([_fit_window(_tags(len(t), spans), 0) for t, spans in lines])
+        model.train(xs, ys, rate=0.012 if step < steps * 2 // 3 else 0.003)
     model.moments = {}
     return model
 
 
-def find_pii(docs: DataFrame, model: BiLstmCrf, text: str = "text") -> DataFrame:
+def train(docs: DataFrame, text: str = "text", sample_windows: int = SAMPLE_WINDOWS, steps: int = STEPS, seed: int = 7) -> BiLstmCrf:
+    """A tagger fitted on labelled spans of a bounded sample, see sample; a table without digits and at signs gives one of made-up lines alone.
+
+    Its parameters are kept as a table in the shared folder, named by what they
+    were fitted on, so a second call on the same sample does not train again.
+    """
+    windows = sample(docs, text, sample_windows)
+    spark = docs.sparkSession
+    name = xxhash.xxh3_128_hexdigest(repr((windows, steps, seed, BATCH, WINDOW)).encode("utf-8", "replace"))
+    place = f"{shared_folder(spark)}/pii-{name}"
+    shape = "name string, data binary"
+    model = BiLstmCrf(SYMBOLS, TAGS, seed=seed)
+    try:
+        stored = {r.name: bytes(r.data) for r in spark.read.schema(shape).parquet(place).collect()}
+    except AnalysisException:
+        stored = {}
+    if set(stored) != set(model.p):
+        model = fit(windows, steps, seed)
+        rows = [(k, v.astype(np.float32).tobytes()) for k, v in model.p.items()]
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("overwrite").parquet(place)
+        return model
+    model.p = {k: np.frombuffer(stored[k], dtype=np.float32).reshape(v.shape) for k, v in model.p.items()}
+    model.moments = {}
+    return model
+
+
+def _redacted(text: str, spans: list[Span]) -> str:
+    parts, at = [], 0
+    for start, kind, end in sorted(spans, key=lambda x: (x[0], x[2])):
+        if start >= at:
+            parts += [text[at:start], f"<{KINDS[kind].upper()}>"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+def find_pii(docs: DataFrame, model: BiLstmCrf, text: str = "text", redact: bool = False) -> DataFrame:
     """docs with base and added: arrays of (start, kind, end), code points, end exclusive.
 
     base: the exact patterns' spans; added: the model's, none of which overlaps
-    one of those. Whole texts are read; null and empty texts have no spans.
-    Windows without a digit or an at sign are not decoded, as no kind can do
-    without. Spans are ordered by start, then kind as in KINDS.
+    one of those. Whole texts are read, however long; null and empty texts have
+    no spans. Windows without a digit or an at sign are not decoded, as no kind
+    can do without. Spans are ordered by start, then kind as in KINDS. Rows that
+    repeat are treated alike; an empty table gives an empty one; columns of docs
+    named base or added are replaced.
+
+    redact: also replaces each span in the text by its kind in angle brackets;
+    overlapping ones as one, by the first's name. A null text stays null.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = np.array(KINDS, dtype=object)
@@ -264,43 +325,19 @@ def find_pii(docs: DataFrame, model: BiLstmCrf, text: str = "text") -> DataFrame
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), spans)
 
     def compute(texts: pa.Array) -> list[pa.Array]:
-        values = [t or "" for t in texts.to_pylist()]
-        bases = [base_spans(t) for t in values]
-        some = [i for i, t in enumerate(values) if _TRIGGER.search(t)]
+        values = texts.to_pylist()
+        bases = [base_spans(t or "") for t in values]
+        some = [i for i, t in enumerate(values) if t and _TRIGGER.search(t)]
         added: list[list[Span]] = [[] for _ in values]
         for i, spans in zip(some, _added([values[i] for i in some], [bases[i] for i in some], shared.value), strict=True):
             added[i] = spans
-        return [column(bases), column(added)]
+        out = [column(bases), column(added)]
+        if redact:
+            out.append(pa.array([t and _redacted(t, x + y) for t, x, y in zip(values, bases, added, strict=True)], pa.string()))
+        return out
 
     span = "array<struct<start: bigint, kind: string, end: bigint>>"
-    return add_columns(docs, text, f"base {span}, added {span}", compute)
-
-
-def redact(found: DataFrame, text: str = "text") -> DataFrame:
-    """found with each span of base and added replaced by its kind in angle brackets.
-
-    Overlapping spans of different kinds are replaced as one, by the first's name.
-    """
-
-    def compute(batches):
-        for batch in batches:
-            names = batch.schema.names
-            columns = {n: batch.column(i) for i, n in enumerate(names)}
-            out = []
-            for value, base, added in zip(*(columns[n].to_pylist() for n in (text, "base", "added")), strict=True):
-                spans = sorted((s["start"], s["end"], s["kind"]) for s in [*(base or []), *(added or [])])
-                if spans:
-                    parts, at = [], 0
-                    for start, end, kind in spans:
-                        if start >= at:
-                            parts += [value[at:start], f"<{kind.upper()}>"]
-                        at = max(at, end)
-                    value = "".join([*parts, value[at:]])
-                out.append(value)
-            columns[text] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
-
-    return found.mapInArrow(compute, found.schema)
+    return add_columns(docs, text, f"base {span}, added {span}" + f", `{text}` string" * redact, compute)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,12 +9,13 @@ from collections import Counter, defaultdict
 from functools import lru_cache
 from zlib import crc32
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexigrid.llm import ngram_lm
+from lexigrid.llm import ngram_lm, pii
 from lexigrid.llm.queries import ORACLE_SQL, QUERIES
 from tests.oracle import assert_same, connect
 
@@ -109,6 +110,34 @@ def test_op4_base_by_plain_patterns(spark, tiny, documents):
         assert set(said) <= set(row.spans.split(","))
 
 
+def test_op4_spans_that_the_model_alone_finds(spark, small):
+    """Held-out lines and texts: the sample is of documents with even ids, and the lines' words of those with odd ones."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    model = pii.train(spark.read.parquet(f"{small}/documents.parquet").where("doc_id % 2 = 0"))
+    rng = np.random.default_rng(99)
+    words = [w for d, t in texts.items() if d % 2 for w in t.split()[:40] if w.isalpha()]
+    lines = [pii.made_up(rng, lambda: words[rng.integers(len(words))]) for _ in range(800)]
+    real = [(t, pii.labelled_spans(t)) for d, t in texts.items() if d % 2]
+    for cases in (lines, real):
+        found = [set(pii._spans_of(path)) for path in pii.paths([t for t, _ in cases], model)]
+        right = sum(len(f & set(s)) for f, (_, s) in zip(found, cases, strict=True))
+        assert right / sum(map(len, found)) >= 0.9 and right / sum(len(s) for _, s in cases) >= 0.9
+    asked = spark.createDataFrame([(1, "please call 555-123-4567 or write"), (2, "pay with 4000.1234.5678.9010 then"), (3, "version 3.0 of 2024, 120,000 copies")], "doc_id bigint, text string")
+    added = {r.doc_id: [s.kind for s in r.added] for r in pii.find_pii(asked, model).collect() if not r.base}
+    assert added == {1: ["phone"], 2: ["card"], 3: []}
+
+
+def test_op4_adds_spans(spark, small):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    more = 0
+    for d, row in rows(spark, small, "op4_pii").items():
+        said = set(filter(None, row.spans.split(",")))
+        extra = said - {f"{k}:{a}:{b}" for k, a, b in personal(texts[d] or "")}
+        assert len(said) == row.n_email + row.n_ip + row.n_card + row.n_phone + len(extra)
+        more += len(extra)
+    assert more > 0
+
+
 def test_op5_statistics(spark, tiny, documents):
     found = rows(spark, tiny, "op5_quality_rules")
     for d, text, _ in documents:

@@ -121,6 +121,8 @@ def test_language_id(spark, docs, empty):
 
 def test_pii(spark, docs, empty):
     model = pii.train(docs, steps=20)
+    again = pii.train(docs, steps=20)
+    assert all((model.p[k] == again.p[k]).all() for k in model.p)
     found = pii.find_pii(docs, model)
     assert found.count() == len(TEXTS) and pii.find_pii(empty, pii.train(empty, steps=1)).count() == 0
     for row in found.collect():
@@ -128,8 +130,48 @@ def test_pii(spark, docs, empty):
         assert all(b <= s.start or a >= s.end for s in row.added for a, b in spans)
     rows = by_id(found)
     assert [s.kind for s in rows[5].base] == ["email", "phone"] and rows[1].base == []
-    assert by_id(pii.redact(found))[5].text == "Mail <EMAIL> or call <PHONE>, then rest."
-    assert by_id(pii.redact(found))[1].text is None
+    redacted = by_id(pii.find_pii(docs, model, redact=True))
+    assert redacted[5].text == "Mail <EMAIL> or call <PHONE>, then rest."
+    assert redacted[1].text is None and redacted[2].text == ""
+
+
+def test_pii_sample_is_bounded_and_the_same_however_the_rows_lie(spark, docs):
+    some = pii.sample(docs, sample_windows=3)
+    assert len(some) == 3 and some == pii.sample(docs.repartition(5), sample_windows=3) and all(len(w) <= pii.WINDOW for w in some)
+
+
+def test_tagger_gradients():
+    from lexigrid.llm.bilstm_crf import BiLstmCrf
+
+    rng = np.random.default_rng(2)
+    model = BiLstmCrf(7, 5, embed=3, hidden=4, seed=1)
+    model.p = {k: rng.standard_normal(v.shape) * 0.5 for k, v in model.p.items()}
+    x, y = rng.integers(0, 7, (3, 6)), rng.integers(0, 5, (3, 6))
+    _, grads = model.gradients(x, y)
+    for name, grad in grads.items():
+        for _ in range(4):
+            at = tuple(int(rng.integers(n)) for n in grad.shape)
+            old, side = model.p[name][at], []
+            for step in (1e-3, -1e-3):
+                model.p[name][at] = old + step
+                side.append(model.gradients(x, y)[0])
+            model.p[name][at] = old
+            assert math.isclose((side[0] - side[1]) / 2e-3, grad[at], rel_tol=2e-2, abs_tol=2e-3), name
+
+
+def test_tagger_path_is_the_best_of_all():
+    from itertools import product
+
+    from lexigrid.llm.bilstm_crf import BiLstmCrf
+
+    rng = np.random.default_rng(3)
+    model = BiLstmCrf(5, 3, embed=3, hidden=4, seed=2)
+    model.p["trans"], model.p["first"] = rng.standard_normal((3, 3)), rng.standard_normal(3)
+    x = rng.integers(0, 5, (2, 5))
+    e = model.scores(x)
+    for row in range(2):
+        value = lambda path: model.p["first"][path[0]] + sum(e[t, row, k] for t, k in enumerate(path)) + sum(model.p["trans"][a, b] for a, b in zip(path, path[1:], strict=False))  # noqa: E731, B023
+        assert tuple(model.decode(x)[row]) == max(product(range(3), repeat=5), key=value)
 
 
 def test_quality(spark, docs, empty):
