@@ -44,7 +44,7 @@ def count_words(texts: DataFrame, text: str = "t") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in pieces(batch.column(0), BLOCK_BYTES):
-                found, n = np.unique(_words(batch.column(0)[a:b]).hashes(), return_counts=True)
+                found, n = np.unique(_words(batch.column(0)[a:b]).hashes(1), return_counts=True)
                 yield pa.record_batch([pa.array(np.append(found, np.uint64(0)).view(np.int64)), pa.array(np.append(n, b - a))], ["h", "n"])
 
     return texts.select(text).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
@@ -65,7 +65,7 @@ class Block:
         inner = np.ones(len(tokens), dtype=bool)
         inner[self.ends] = inner[self.ends - self.sizes - 1] = False
         tokens[self.ends - self.sizes - 1] = START
-        tokens[inner] = words.hashes()
+        tokens[inner] = words.hashes(1)
         since = np.arange(len(tokens)) - np.repeat(self.ends - self.sizes - 1, self.sizes + 2)
         self.hashes, self.at, self.number = [], [], []
         codes = tokens

@@ -21,6 +21,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes whose hashes are worked out at once, and a value for each byte and the next.
+CHUNK = 1 << 18
+_PAIRS = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+
+
 class Powers:
     """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
 
@@ -73,9 +78,22 @@ class WordTable:
         self.joined = joined
 
     def hashes(self, lane: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        values = self.data.astype(np.uint64) + np.uint64(1)
-        return mix(rolling(values, self.starts, self.ends, lane, words=False))
+        """A 64-bit hash of each word, some CHUNK bytes at a time.
+
+        The second lane hashes a byte with the next, not alone: bytes alone make
+        polynomials modulo 2**64 that agree for some made-up long words.
+        """
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        cuts = np.unique(np.append(np.searchsorted(self.starts, np.arange(0, len(self.data), CHUNK)), len(self.starts)))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            lo, hi = self.starts[i], self.ends[j - 1]
+            if lane:
+                following = self.data[lo + 1 : hi + 1]
+                values = _PAIRS[self.data[lo:hi] | np.where(_SPACE[following], 0, following).astype(np.uint16) << 8]
+            else:
+                values = self.data[lo:hi].astype(np.uint64) + np.uint64(1)
+            out[i:j] = mix(rolling(values, self.starts[i:j] - lo, self.ends[i:j] - lo, lane, words=False))
+        return out
 
 
 def window_hashes(word_hashes: np.ndarray, size: int, lane: int = 0) -> np.ndarray:

@@ -274,6 +274,19 @@ def test_automaton_walks_long_texts_in_stretches():
     assert np.allclose(model.traverse(ids, sizes), model.traverse(ids, sizes, stretch=10_000))
 
 
+def test_word_hashes_tell_apart_what_polynomials_of_bytes_do_not():
+    from lexigrid.llm.textbytes import WordTable
+
+    a, b = b"a", b"b"
+    while len(a) < 4096:
+        a, b = a + b, b + a
+    words = WordTable([a + b"\n" + b, b"x " * 300_000 + b"yy " + a + b" end"])
+    lanes = words.hashes(0), words.hashes(1)
+    assert lanes[0][0] == lanes[0][1] and lanes[1][0] != lanes[1][1]
+    for lane in lanes:
+        assert lane[0] == lane[-2] and len(set(lane[2:300_002].tolist())) == 1
+
+
 def test_packed_numbers():
     for values in ([], [0], [255, 256], [1 << 63, 3, 0]):
         assert ngram_lm._unpack(ngram_lm._pack(np.array(values, dtype=np.uint64))).tolist() == values
