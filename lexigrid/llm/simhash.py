@@ -18,43 +18,53 @@ from lexigrid.llm.textbytes import mix
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
 #: A tile is meant for at least and at most so many fingerprints, and in between grows with their number. They are dealt by hash, so it can hold more.
 TILE_MIN, TILE_MAX, TILES_WANTED = 4096, 65536, 64
+#: Texts in a block whose similarity is confirmed.
+BLOCK = 1024
 
 
-def radius_for(similarity: float, bits: int) -> int:
-    """Differing bits to be expected of two sets of like size with this Jaccard similarity.
+def radius_for(similarity: float, bits: int, deviations: float = 3.0) -> int:
+    """Differing bits of two sets with this Jaccard similarity, at most, but for chances beyond so many deviations.
 
     A bit differs with probability angle / pi, and the angle's cosine is the
     shared part of both, 2 s / (1 + s).
     """
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
-def _fingerprints(texts: list[bytes], words_per_shingle: int, lanes: int) -> np.ndarray:
-    """For each text ``lanes`` words of 64 bits; all zero for a text without words.
-
-    The first lane is of the shingles' XXH64, the others of bijections of it.
-    """
-    digest, hashes, sizes = xxhash.xxh64_intdigest, [], []
+def _shingles(texts: list[bytes], words_per_shingle: int, repeats: bool = True) -> list[np.ndarray]:
+    """The XXH64 of each text's shingles, in order, or the different ones by value."""
+    digest, out = xxhash.xxh64_intdigest, []
     for text in texts:
         words = text.lower().split()  # of bytes: A-Z only, and ASCII white space
         n = max(1, len(words) - words_per_shingle + 1) if words else 0
-        if n == 1:
-            hashes.append(digest(b" ".join(words), SEED))
-        elif n:
+        joined = b" ".join(words)
+        if n <= 1:
+            hashes = [digest(joined, SEED)] * n
+        else:
             ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-            joined = b" ".join(words)
             starts = [0, *ends[: n - 1].tolist()]
-            hashes += [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words_per_shingle - 1 :] - 1).tolist(), strict=True)]
-        sizes.append(n)
-    out, sizes = np.zeros((len(texts), lanes), dtype=np.uint64), np.array(sizes)
+            hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words_per_shingle - 1 :] - 1).tolist(), strict=True)]
+        values = np.array(hashes, dtype=np.uint64)
+        out.append(values if repeats else np.unique(values))
+    return out
+
+
+def _fingerprints(shingles: list[np.ndarray], lanes: int) -> np.ndarray:
+    """For each text ``lanes`` words of 64 bits; all zero for a text without words.
+
+    The first lane is of the shingles' XXH64, the others of bijections of it.
+    """
+    sizes = np.fromiter(map(len, shingles), dtype=np.int64, count=len(shingles))
+    out = np.zeros((len(sizes), lanes), dtype=np.uint64)
     some = np.flatnonzero(sizes)
     if len(some):
-        values = np.array(hashes, dtype=np.uint64)
+        values = np.concatenate(shingles)
         firsts = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
         for lane in range(lanes):
             lane_values = values if lane == 0 else mix(values ^ np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64)))
             bits = np.unpackbits(lane_values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, firsts, axis=0, dtype=np.int64)
+            ones = np.add.reduceat(bits, firsts, axis=0, dtype=np.int32)
             over = (2 * ones > sizes[some, None]).astype(np.uint8)
             out[some, lane] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
     return out
@@ -71,7 +81,7 @@ def _matrix(column: list[bytes] | pa.Array, lanes: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=">u8").astype(np.uint64).reshape(-1, lanes)
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = SHINGLE_WORDS, lanes: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = SHINGLE_WORDS, lanes: int = 1, repeats: bool = True) -> DataFrame:
     """(key, fp binary, ones int): the SimHash of each whole text and its bit count, one row for each row of docs."""
     kind = docs.schema[key].dataType.simpleString()
 
@@ -79,7 +89,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
         for batch in batches:
             for a, b in pieces(batch.column(1)):
                 texts = [x or b"" for x in batch.column(1)[a:b].cast(pa.binary()).to_pylist()]
-                rows = _fingerprints(texts, words_per_shingle, lanes)
+                rows = _fingerprints(_shingles(texts, words_per_shingle, repeats), lanes)
                 yield pa.record_batch([batch.column(0)[a:b], _binary(rows), pa.array(_ones(rows).astype(np.int32))], ["k", "fp", "ones"])
 
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, fp binary, ones int").withColumnRenamed("k", key)
@@ -117,11 +127,12 @@ def _tile(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     fps = fps[np.lexsort((*fps.T, _ones(fps)))]
     label = np.arange(len(fps))
     for x, y in _close(fps, fps, radius, triangle=True):
-        for row in np.unique(x):
-            met = np.unique(label[y[x == row]])
-            met = np.union1d(met, label[row : row + 1])
-            if len(met) > 1:
-                label[np.isin(label, met)] = met[0]
+        ends = np.stack((label[x], label[y]))
+        ends = ends[:, ends[0] != ends[1]]  # the longer a dense group has been met, the fewer are left
+        for i, j in np.unique(ends, axis=1).T.tolist():
+            a, b = sorted((label[i], label[j]))
+            if a != b:
+                label[label == b] = a
     return fps, label
 
 
@@ -183,7 +194,87 @@ def linked(fps: DataFrame, radius: int = RADIUS, lanes: int = 1) -> DataFrame:
     return connected_components(tiles.select("fps", "label").mapInArrow(inside, both).union(pairs.mapInArrow(between, both)))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = SHINGLE_WORDS, radius: int = RADIUS, lanes: int = 1) -> DataFrame:
+def _packed(rows: pa.Table) -> pa.Table:
+    """A block's fingerprints in the order of their bit counts, and their shingle sets one behind the other."""
+    fps = _matrix(rows["fp"].to_pylist(), len(rows["fp"][0].as_py()) // 8)
+    order = np.argsort(_ones(fps), kind="stable")
+    sets = rows["shingles"].to_pylist()
+    sets = [sets[i] for i in order.tolist()]
+    ends = np.cumsum([len(x) // 4 for x in sets])
+    found = [fps[order].tobytes(), ends.astype(np.int64).tobytes(), b"".join(sets)]
+    return pa.table([rows["root"][:1], rows["block"][:1], rows["blocks"][:1], *(pa.array([x], pa.binary()) for x in found)], ["root", "block", "blocks", "fps", "ends", "sets"])
+
+
+def _confirm(row: pa.Table, radius: int, lanes: int, similarity: float) -> pa.Table:
+    """A spanning forest of the links between two blocks' texts, or inside one.
+
+    Candidates are asked for their sets' similarity from the closest
+    fingerprints on, and only while their trees are not one yet.
+    """
+    one = {name: row[name][0].as_py() for name in row.column_names}
+    fps = [np.frombuffer(one[f"fps{side}"], np.uint64).reshape(-1, lanes) for side in "ab"]
+    sets = [np.split(np.frombuffer(one[f"sets{side}"], np.uint32), np.frombuffer(one[f"ends{side}"], np.int64)[:-1]) for side in "ab"]
+    same = one["block"] == one["other"]
+    met = [(x, y) for x, y in _close(*fps, radius, triangle=same)]
+    x, y = (np.concatenate([np.zeros(0, np.int64), *(m[i] for m in met)]) for i in (0, 1))
+    if same:
+        x, y = x[x < y], y[x < y]
+    order = np.argsort(np.bitwise_count(fps[0][x] ^ fps[1][y]).sum(axis=1), kind="stable")
+    tree = np.arange(len(fps[0]) + (0 if same else len(fps[1])))
+
+    def top(i: int) -> int:
+        while tree[i] != i:
+            tree[i] = i = tree[tree[i]]
+        return i
+
+    kept = []
+    for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        a, b = top(i), top(j + (0 if same else len(fps[0])))
+        if a != b:
+            left, right = sets[0][i], sets[1][j]
+            shared = len(np.intersect1d(left, right, assume_unique=True))
+            if shared >= similarity * (len(left) + len(right) - shared):
+                tree[max(a, b)] = min(a, b)
+                kept.append((i, j))
+    i, j = (np.array([k[side] for k in kept], dtype=np.int64) for side in (0, 1))
+    return pa.table([_binary(fps[0][i]), _binary(fps[1][j])], ["a", "b"])
+
+
+def confirmed(docs: DataFrame, candidates: DataFrame, key: str, text: str, words_per_shingle: int, radius: int, lanes: int, similarity: float) -> DataFrame:
+    """(node, root): candidates linked anew, where their sets of shingles have the exact Jaccard similarity.
+
+    candidates: fp, root and first, the key of a row with that fingerprint. The
+    candidates of a component are dealt to blocks of about BLOCK texts, and each
+    block meets each, so a task has two blocks however large the component.
+    """
+    wanted = candidates.select(F.col("first").alias(key), "root", "fp")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in pieces(batch.column(0)):
+                part = batch.slice(a, b - a)
+                shingles = _shingles([x or b"" for x in part.column(0).cast(pa.binary()).to_pylist()], words_per_shingle, repeats=False)
+                own = part.column(2).to_pylist()
+                again = _binary(_fingerprints(shingles, lanes)).to_pylist()
+                same = [i for i, (x, y) in enumerate(zip(own, again, strict=True)) if x == y]
+                hashes = [np.unique(shingles[i].astype(np.uint32)).tobytes() for i in same]
+                yield pa.record_batch([part.column(1).take(pa.array(same, pa.int64())), pa.array([own[i] for i in same], pa.binary()), pa.array(hashes, pa.binary())], ["root", "fp", "shingles"])
+
+    texts = docs.select(key, F.col(text).alias("t")).join(wanted, key).select("t", "root", "fp")
+    found = durable(texts.mapInArrow(sets, "root binary, fp binary, shingles binary").dropDuplicates(["fp"]))
+    sizes = found.groupBy("root").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    placed = meet(found, durable(sizes), "root").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "fp"), "blocks"))
+    packs = durable(placed.groupBy("root", "block").applyInArrow(_packed, "root binary, block bigint, blocks bigint, fps binary, ends binary, sets binary"))
+    side = lambda s: [F.col(c).alias(c + s) for c in ("fps", "ends", "sets")]
+    left = packs.select("root", "block", F.expr("explode(sequence(block, blocks - 1))").alias("other"), *side("a"))
+    both = left.join(packs.select("root", F.col("block").alias("other"), *side("b")), ["root", "other"])
+    edges = both.groupBy("root", "other", "block").applyInArrow(lambda row: _confirm(row, radius, lanes, similarity), "a binary, b binary")
+    return connected_components(edges)
+
+
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = SHINGLE_WORDS, radius: int = RADIUS, lanes: int = 1, similarity: float | None = None
+) -> DataFrame:
     """(key, fingerprint, component_id) for each row of docs.
 
     fingerprint: hexadecimal digits of ``lanes`` times 64 bits; component_id: the
@@ -193,10 +284,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     component has none but nulls. Rows that repeat a key are rows of their own.
     Columns of docs other than key and text are not read. An empty table gives
     an empty one.
+
+    similarity: with it, fingerprints are of the different shingles of a text,
+    and close ones are linked only if their texts' sets of shingles have at
+    least this Jaccard similarity, which is worked out exactly (by 32-bit
+    hashes); equal fingerprints are linked without. Fingerprints that only rows
+    with null keys have are then linked to no other.
     """
-    per_row = durable(fingerprints(docs, key, text, words_per_shingle, lanes))
+    per_row = durable(fingerprints(docs, key, text, words_per_shingle, lanes, repeats=similarity is None))
     distinct = durable(per_row.groupBy("fp").agg(F.min(key).alias("first"), F.first("ones").alias("ones"), F.count("*").alias("n")))
     nodes = linked(distinct.select("fp", "ones"), radius, lanes)
+    if similarity is not None:
+        candidates = nodes.join(distinct, nodes.node == distinct.fp).select("fp", "root", "first")
+        nodes = confirmed(docs, candidates, key, text, words_per_shingle, radius, lanes, similarity)
     firsts = nodes.join(distinct, nodes.node == distinct.fp).groupBy("root").agg(F.min("first").alias("least"))
     least = nodes.join(firsts, "root").select(F.col("node").alias("fp"), "least", F.lit(True).alias("tied"))
     component = F.when(F.col("tied"), F.col("least")).otherwise(F.col("first")).alias("component_id")

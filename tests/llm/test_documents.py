@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexigrid.llm import ngram_lm, pii
+from lexigrid.llm import ngram_lm, pii, simhash
 from lexigrid.llm.queries import ORACLE_SQL, QUERIES
 from tests.oracle import assert_same, connect
 
@@ -211,6 +211,38 @@ def test_op9_score_is_that_of_a_plain_backoff_model(spark, tiny, documents, orde
         assert math.isclose(row.score, want, rel_tol=1e-9)
 
 
+def shingle_set(text):
+    words = WORD.findall(lower(text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_duplicates_against_exact_similarity(spark, small):
+    """Pairs of 0.8 or more of five-word shingles, against all pairs of documents that share a shingle."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    sets = {r.doc_id: shingle_set(r.text) for r in docs.collect()}
+    at = defaultdict(list)
+    for d, shingles in sets.items():
+        for s in shingles:
+            at[s].append(d)
+    shared = Counter((a, b) for ids in at.values() for i, a in enumerate(ids) for b in ids[i + 1 :])
+    similar = {p for p, n in shared.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+    root = {d: d for d in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in sorted(similar):
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    found = simhash.near_duplicates(docs, words_per_shingle=5, lanes=4, radius=simhash.radius_for(0.8, 256), similarity=0.8)
+    component = {r.doc_id: r.component_id for r in found.collect()}
+    assert len(similar) > 50
+    assert sum(component[a] == component[b] for a, b in similar) >= 0.98 * len(similar)
+    assert all(top(d) == top(c) for d, c in component.items() if sets[d])
+
+
 def test_pipeline_stages(spark, tiny):
     columns = spark.read.parquet(f"{tiny}/documents.parquet").columns
     docs = spark.read.parquet(f"{tiny}/documents.parquet").cache()

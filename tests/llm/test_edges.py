@@ -50,6 +50,19 @@ def test_simhash(docs, empty):
     assert rows[7].component_id == 6 and rows[None].fingerprint != "0" * 16
 
 
+def test_confirmed_near_duplicates(spark, docs, empty, monkeypatch):
+    args = {"words_per_shingle": 2, "lanes": 4, "radius": 120, "similarity": 0.8}
+    assert simhash.near_duplicates(empty, **args).count() == 0
+    assert simhash.near_duplicates(docs, **args).count() == len(TEXTS)
+    words = [f"w{i}" for i in range(41)]
+    texts = [(9, " ".join(words)), (4, " ".join(words[:37])), (5, " ".join(words[:30])), (6, " ".join(words[:15])), (None, " ".join(words[1:])), (7, "other"), (4, "other text")]
+    for block in (1024, 1):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        found = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string"), **args).collect()}
+        # 40 and 36 shingles share 36, 36 and 29 share 29, 40 and 29 are too far apart but meet through the second
+        assert found == {(9, 4), (4, 4), (5, 4), (6, 6), (None, None), (7, 7)}
+
+
 def test_simhash_several_tiles_agree_with_one(spark, monkeypatch):
     rng = np.random.default_rng(3)
     values = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
