@@ -16,7 +16,7 @@ from lexigrid.llm.common import crc_remainder, durable, table, words_of
 
 REPEAT_WINDOW = 8
 #: Shares the rules may test, and the quantiles of each label's texts that are tried as thresholds.
-SHARES = ("symbol_share", "dup_line_share", "repeat_share", "exclaim_share", "upper_share", "distinct_pair_share")
+SHARES = ("symbol_share", "dup_line_share", "repeat_share", "exclaim_share", "upper_share", "run_share")
 QUANTILES = {0: (0.1, 0.3, 0.5, 0.7, 0.9), 1: (0.005, 0.995)}
 
 
@@ -33,10 +33,10 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     none = F.array().cast("array<bigint>")
     step = docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__w", words_of(F.col("__text")))
     step = step.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
+    next_is_equal = F.zip_with(F.slice("__h", F.lit(1), F.size("__h") - 1), F.slice("__h", F.lit(2), F.size("__h") - 1), lambda x, y: x == y)
+    step = step.withColumn("__runs", F.when(F.size("__h") > 1, F.size(F.filter(next_is_equal, lambda x: x))).otherwise(0))
     for by in (1, 2, 4):  # hashes of 2, 4, 8 words
         step = step.withColumn("__h", F.when(F.size("__h") > by, shifted(F.col("__h"), by)).otherwise(none))
-        if by == 1:  # pairs stay mostly distinct in long texts, where single words do not
-            step = step.withColumn("__pairs", F.size("__h")).withColumn("__distinct", F.size(F.array_distinct("__h")))
     twice = F.size(F.array_distinct("__h")) < F.size("__h")
     step = step.withColumn("__s", F.when(twice, F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     met = lambda p, i: (F.get("__s", i - 1)["h"] == p["h"]) | (F.get("__s", i + 1)["h"] == p["h"])
@@ -63,12 +63,16 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             "repeat_share": share("n_repeat_words", "n_words"),
             "exclaim_share": share("__exclaims", "word_chars"),
             "upper_share": share("__upper", "word_chars"),
-            "distinct_pair_share": share("__distinct", "__pairs"),
+            "run_share": share("__runs", "n_words"),
         }
     )
     return shared.drop(*(c for c in shared.columns if c.startswith("__")))
 
 
+#: A statistic, whether it reaches or misses a threshold, and which.
+Test = tuple[str, bool, int]
+
+
 @dataclass(frozen=True)
 class Rule:
     """A conjunction of (statistic, whether at least or below, threshold)."""
@@ -96,6 +100,61 @@ class DecisionList:
         return out
 
 
+class _Cells:
+    """Counts of rows by label, by part, and by how many thresholds of each statistic they reach."""
+
+    def __init__(self, rows: list):
+        self.rows = rows
+
+    def where(self, *tests: Test) -> _Cells:
+        return _Cells([c for c in self.rows if all((c[name] > i) == up for name, up, i in tests)])
+
+    def without(self, tests: list[Test]) -> _Cells:
+        return _Cells([c for c in self.rows if not all((c[name] > i) == up for name, up, i in tests)])
+
+    def part(self, prune: bool) -> _Cells:
+        return _Cells([c for c in self.rows if c["prune"] == prune])
+
+    def counts(self) -> tuple[int, int]:
+        """Rows to reject, and rows to keep."""
+        bad = sum(c["count"] for c in self.rows if c["label"] == 0)
+        return bad, sum(c["count"] for c in self.rows) - bad
+
+
+def _gain(before: tuple[int, int], after: tuple[int, int]) -> float:
+    """FOIL's gain: rows to reject that stay covered, times the bits by which they became purer."""
+    (p0, n0), (p, n) = before, after
+    return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
+
+
+def _worth(counts: tuple[int, int]) -> float:
+    p, n = counts
+    return (p - n) / (p + n) if p + n else -1.0
+
+
+def grow(cells: _Cells, tests: list[Test], start: Test, most: int) -> list[Test]:
+    """start and further tests, each the one of greatest gain, until no row to keep is covered or none gains."""
+    chosen, now = [start], cells.where(start)
+    while len(chosen) < most and now.counts()[1]:
+        gain, best = max(((_gain(now.counts(), now.where(t).counts()), t) for t in tests), key=lambda x: x[0])
+        if gain <= 1e-9:
+            break
+        chosen.append(best)
+        now = now.where(best)
+    return chosen
+
+
+def prune(cells: _Cells, chosen: list[Test]) -> list[Test]:
+    """The rule without the tests whose loss does not make it worth less on these rows."""
+    worth = lambda some: _worth(cells.where(*some).counts())
+    while len(chosen) > 1:
+        shorter = max(([t for t in chosen if t != drop] for drop in chosen), key=worth)
+        if worth(shorter) < worth(chosen):
+            break
+        chosen = shorter
+    return chosen
+
+
 def learn(labelled: DataFrame, label: str = "quality", key: str = "doc_id", min_precision: float = 0.95, min_covered: int = 5, max_rules: int = 8, max_tests: int = 3) -> DecisionList:
     """Sequential covering of the rows with label 0.
 
@@ -103,66 +162,42 @@ def learn(labelled: DataFrame, label: str = "quality", key: str = "doc_id", min_
     are left out). All rows count: they are grouped by which thresholds they
     reach, which gives at most two classes, two folds and 8**6 cells however
     many rows there are, and that table alone comes to the driver. A rule grows
-    on two thirds of the rows by FOIL's gain and is pruned on the last third;
-    it stays if it is right for ``min_precision`` of the rows that it covers in
-    each part, at least ``min_covered`` in all. No labels, or none of a class,
-    give an empty list, which keeps everything.
+    on two thirds of the rows by FOIL's gain, from the first test of greatest
+    gain on, and is pruned on the last third; it stays if it is right for
+    ``min_precision`` of the rows that it covers in each part, at least
+    ``min_covered`` in all. If it does not, the next best first test is tried;
+    when none is left, the list ends. No labels, or none of a class, give an
+    empty list, which keeps everything.
     """
     usable = labelled.where(F.col(label).isin(0, 1))
     at = lambda s, side: F.percentile_approx(F.when(F.col(label) == side, F.col(s)), F.array(*map(F.lit, QUANTILES[side])), 10000)
     found = usable.select(*(at(s, side).alias(f"{s}{side}") for s in SHARES for side in QUANTILES)).first()
     grid = {s: sorted({t for side in QUANTILES for t in found[f"{s}{side}"] or []}) for s in SHARES}
     reached = [sum((F.col(s) >= t).cast("int") for t in grid[s]) if grid[s] else F.lit(0) for s in SHARES]
-    cells = (
+    left = _Cells(
         usable.select(F.col(label).cast("int").alias("label"), (crc_remainder(F.col(key), 3) == 0).alias("prune"), *(r.alias(s) for r, s in zip(reached, SHARES, strict=True)))
         .groupBy("label", "prune", *SHARES)
         .count()
         .collect()
     )
     tests = [(s, up, i) for s in SHARES for i in range(len(grid[s])) for up in (True, False)]
-    holds = lambda cell, test: (cell[test[0]] > test[2]) == test[1]
-    count = lambda rows, bad: sum(c["count"] for c in rows if (c["label"] == 0) == bad)
+
+    def next_rule() -> list[Test] | None:
+        parts = left.part(False), left.part(True)
+        gains = {t: _gain(parts[0].counts(), parts[0].where(t).counts()) for t in tests}
+        for start in sorted((t for t in tests if gains[t] > 1e-9), key=lambda t: -gains[t]):
+            chosen = prune(parts[1], grow(parts[0], tests, start, max_tests))
+            covered = [part.where(*chosen).counts() for part in parts]
+            right = all(p >= min_precision * (p + n) for p, n in covered)
+            if right and covered[0][0] and sum(map(sum, covered)) >= min_covered:
+                return chosen
+        return None
 
     rules: list[Rule] = []
-    left = cells
-    while len(rules) < max_rules:
-        grow = [c for c in left if not c["prune"]]
-        chosen: list = []
-        now = grow
-        while len(chosen) < max_tests and count(now, False):
-            p0, n0 = count(now, True), count(now, False)
-            best, gain = None, 0.0
-            for test in tests:
-                kept = [c for c in now if holds(c, test)]
-                p, n = count(kept, True), count(kept, False)
-                if p and (g := p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))) > gain + 1e-9:
-                    best, gain = test, g
-            if best is None:
-                break
-            chosen.append(best)
-            now = [c for c in now if holds(c, best)]
-        if not chosen or not count(now, True):
-            break
-        prune = [c for c in left if c["prune"]]
-
-        def worth(some: list, rows: list = prune) -> float:
-            kept = [c for c in rows if all(holds(c, t) for t in some)]
-            p, n = count(kept, True), count(kept, False)
-            return (p - n) / (p + n) if p + n else -1.0
-
-        while len(chosen) > 1:
-            shorter = max(([t for t in chosen if t != drop] for drop in chosen), key=worth)
-            if worth(shorter) < worth(chosen):
-                break
-            chosen = shorter
-        kept = [c for c in left if all(holds(c, t) for t in chosen)]
-        parts = [[c for c in kept if c["prune"] == side] for side in (False, True)]
-        right = [count(part, True) / max(1, count(part, True) + count(part, False)) for part in parts]
-        covered = count(kept, True) + count(kept, False)
-        if right[0] < min_precision or (parts[1] and right[1] < min_precision) or covered < min_covered:
-            break
-        rules.append(Rule(tuple((s, up, float(grid[s][i])) for s, up, i in chosen), count(kept, True) / covered, covered))
-        left = [c for c in left if not all(holds(c, t) for t in chosen)]
+    while len(rules) < max_rules and (chosen := next_rule()) is not None:
+        bad, good = left.where(*chosen).counts()
+        rules.append(Rule(tuple((s, up, float(grid[s][i])) for s, up, i in chosen), bad / (bad + good), bad + good))
+        left = left.without(chosen)
     return DecisionList(rules)
 
 
@@ -170,15 +205,14 @@ def judge_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     """The key with the statistics, base_failed and kept, one row for each row of docs.
 
     base_failed: fewer than 20 words, or over 30 % of the words in repeated
-    windows. kept: false if base_failed, else the learned list's verdict. Texts
-    that no rule covers are kept. Null keys have no labels, but are judged.
+    windows. kept: false if base_failed, else the learned list's verdict; the
+    list is learned from the labelled texts that pass the base. Texts that no
+    rule covers are kept. Null keys have no labels, but are judged.
     """
-    statistics = durable(text_statistics(docs.select(key, text), text).drop(text))
+    statistics = durable(text_statistics(docs.select(key, text), text).drop(text).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))))
     known = labels.select(F.col(key).alias("__key"), F.col(label).alias("__label"))
-    labelled = statistics.join(known, F.col(key) == F.col("__key")).withColumnRenamed("__label", label)
-    rules = learn(labelled, label, key)
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return statistics.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & rules.verdict())
+    labelled = statistics.where("not base_failed").join(known, F.col(key) == F.col("__key")).withColumnRenamed("__label", label)
+    return statistics.withColumn("kept", ~F.col("base_failed") & learn(labelled, label, key).verdict())
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

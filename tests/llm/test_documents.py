@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexigrid.llm import ngram_lm, pii, simhash
+from lexigrid.llm import ngram_lm, pii, quality, simhash
 from lexigrid.llm.queries import ORACLE_SQL, QUERIES
 from tests.oracle import assert_same, connect
 
@@ -162,6 +162,17 @@ def test_op5_agrees_with_the_labels(spark, small):
     assert sum(good) / len(good) > 0.95
 
 
+def test_op5_rejects_what_labels_call_bad(spark, small):
+    """Held out: rules of the labels of even documents, judged by those of the odd."""
+    docs, labels = (spark.read.parquet(f"{small}/{name}.parquet") for name in ("documents", "labels"))
+    kept = {r.doc_id: r for r in quality.judge_quality(docs, labels.where("doc_id % 2 = 0")).where("not base_failed").collect()}
+    asked = [(kept[r.doc_id].kept, r.quality) for r in labels.where("doc_id % 2 = 1").collect() if r.doc_id in kept]
+    rejected = [q for k, q in asked if not k]
+    assert rejected.count(0) >= 0.9 * len(rejected) and rejected.count(0) >= 0.7 * sum(q == 0 for _, q in asked)
+    found = rows(spark, small, "op5_quality_rules")
+    assert any(not r.kept and not r.base_failed for r in found.values())
+
+
 def test_op7_against_the_library(spark, tiny, documents):
     import public_tokenizers
     import tiktoken

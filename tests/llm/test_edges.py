@@ -196,6 +196,36 @@ def test_quality(spark, docs, empty):
     assert quality.judge_quality(empty, labels).count() == 0
 
 
+def test_quality_rules_grow_and_are_pruned_as_an_exhaustive_search_says():
+    from math import log2
+
+    rng = np.random.default_rng(4)
+    cells = []
+    for prune in (False, True):
+        for _ in range(300):
+            a, b, c = (int(x) for x in rng.integers(0, 4, 3))
+            bad = a > 1 and b > 2 if rng.random() > 0.05 else rng.random() < 0.3
+            cells.append({"label": 0 if bad else 1, "prune": prune, "a": a, "b": b, "c": c, "count": int(rng.integers(1, 4))})
+    every = quality._Cells(cells)
+    tests = [(s, up, i) for s in "abc" for i in range(3) for up in (True, False)]
+    holds = lambda r, some: all((r[s] > i) is up for s, up, i in some)
+    count = lambda prune, some: [sum(r["count"] for r in cells if r["prune"] == prune and holds(r, some) and r["label"] == k) for k in (0, 1)]
+
+    def gain(some, test):
+        (p0, n0), (p, n) = count(False, some), count(False, [*some, test])
+        return p * (log2(p / (p + n)) - log2(p0 / (p0 + n0))) if p else 0.0
+
+    start = max(tests, key=lambda t: gain([], t))
+    grown = quality.grow(every.part(False), tests, start, 3)
+    for i in range(1, len(grown)):
+        assert gain(grown[:i], grown[i]) == max(gain(grown[:i], t) for t in tests) > 0
+    assert {("a", True, 1), ("b", True, 2)} <= set(grown)
+    worth = lambda some: (lambda p, n: (p - n) / (p + n))(*count(True, some))
+    pruned = quality.prune(every.part(True), [*grown[:2], ("c", True, 0)])
+    assert set(pruned) <= {*grown[:2], ("c", True, 0)} and worth(pruned) >= worth([*grown[:2], ("c", True, 0)])
+    assert len(pruned) == 1 or all(worth([t for t in pruned if t != drop]) < worth(pruned) for drop in pruned)
+
+
 def test_substring_dedup(spark, docs, empty):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(1, f"start {passage} end"), (2, f"{passage}\tother"), (3, " ".join(passage.split()[5:])), (4, passage[: passage.index(" p49")]), (5, passage), (5, passage), (None, passage), (6, None), (7, passage + " tail " + passage)]
