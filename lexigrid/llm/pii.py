@@ -280,7 +280,9 @@ def train(docs: DataFrame, text: str = "text", sample_windows: int = SAMPLE_WIND
     model = BiLstmCrf(SYMBOLS, TAGS, seed=seed)
     try:
         stored = {r.name: bytes(r.data) for r in spark.read.schema(shape).parquet(place).collect()}
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         stored = {}
     if set(stored) != set(model.p):
         model = fit(windows, steps, seed)

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import table
+from lexigrid.llm.common import durable, meet, shared_folder, table
 
 FINDINGS = "array<struct<start: bigint, kind_no: int, kind: string, end: bigint>>"
 LEDGER = f"blob string, rules array<string>, findings {FINDINGS}"
@@ -70,6 +71,10 @@ def addresses(versions: DataFrame, text: str = "text") -> DataFrame:
     return versions.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
 
+def _names(rules: tuple[SecretRule, ...]) -> Column:
+    return F.array(*(F.lit(r.name) for r in rules))
+
+
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, text: str = "text", rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     """Ledger rows (blob, rules, findings) for the pairs of blob and rule version not in the ledger.
 
@@ -79,31 +84,64 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, text: str
     the ledger table. Copies meet after map-side aggregation.
     """
     texts = addresses(versions, text).select("blob", F.coalesce(F.col(text), F.lit("")).alias("t")).dropDuplicates(["blob"])
-    names = F.array(*(F.lit(r.name) for r in rules))
     if ledger is None:
-        todo = texts.withColumn("rules", names)
+        todo = texts.withColumn("rules", _names(rules))
     else:
         seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
-        todo = texts.join(seen, "blob", "left").withColumn("rules", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("rules") > 0)
+        todo = texts.join(seen, "blob", "left").withColumn("rules", F.array_except(_names(rules), F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("rules") > 0)
     none = F.array().cast(FINDINGS)
     found = [F.when(F.array_contains("rules", r.name), _spans(F.col("t"), r, i)).otherwise(none) for i, r in enumerate(rules)]
     return todo.select("blob", "rules", F.array_sort(F.concat(*found)).alias("findings"))
 
 
-def findings_of_paths(versions: DataFrame, ledger: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def findings_of_paths(versions: DataFrame, ledger: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     """(key, blob, findings) for each row of versions: what the ledger says of its blob.
 
-    A blob the ledger does not know has no findings. Rows of the ledger for one
-    blob are joined together; they are as many as it had scans.
+    Only what the given versions of the rules found counts, each span once,
+    ordered by start, then by the order of the rules. A blob the ledger does not
+    know has no findings. Rows of the ledger for one blob are joined together;
+    they are as many as it had scans. A blob with very many paths is met by
+    broadcast, see ``meet``.
+    """
+    number = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)))
+    version = F.create_map(*(F.lit(x) for r in rules for x in (r.kind, r.name)))
+    current = F.filter("findings", lambda f: F.array_contains("rules", F.try_element_at(version, f["kind"])))
+    known = ledger.where(F.size("findings") > 0).select("blob", F.explode(current).alias("f"))
+    known = known.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct(F.col("f.start"), F.try_element_at(number, F.col("f.kind")).alias("kind_no"), F.col("f.kind"), F.col("f.end")))).alias("found"))
+    paths = durable(addresses(versions, text).select(key, "blob"))
+    groups = durable(paths.groupBy("blob").agg(F.count("*").alias("n")).join(known, "blob", "left"))
+    return meet(paths, groups, "blob").select(key, "blob", F.coalesce("found", F.array().cast(FINDINGS)).alias("findings"))
+
+
+def ledger_place(spark: SparkSession) -> str:
+    """Where the ledger table is: in the shared folder, unless the session names another place."""
+    return spark.conf.get("lexigrid.secrets.ledger", None) or f"{shared_folder(spark)}/secret-ledger"
+
+
+def read_ledger(spark: SparkSession, place: str) -> DataFrame | None:
+    """The ledger table, None where there is none yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(place)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def scan_versions(versions: DataFrame, place: str, key: str = "doc_id", text: str = "text", rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
+    """findings_of_paths by the ledger at ``place``, after a scan of what it has not seen, which is added to it.
+
+    A run that fails leaves the ledger as it was; two at once may scan a blob
+    twice, which changes no finding.
     """
-    known = ledger.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias("findings"))
-    paths = addresses(versions, text).select(key, "blob")
-    return paths.join(known, "blob", "left").select(key, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+    spark = versions.sparkSession
+    scan_unseen(versions, read_ledger(spark, place), text, rules).write.mode("append").parquet(place)
+    return findings_of_paths(versions, spark.read.schema(LEDGER).parquet(place), key, text, rules)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = findings_of_paths(docs, scan_unseen(docs))
+    found = scan_versions(docs, ledger_place(spark))
     of = lambda *kinds: F.filter("findings", lambda f: f["kind"].isin(*kinds))
     spell = lambda spans: F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
     return found.select(
