@@ -18,18 +18,24 @@ ORDER = 4
 #: Bounds of the training and of the calibration sample: texts of each language.
 SAMPLE_TEXTS = 600
 UNDETERMINED = "und"
+#: Length classes, by the binary logarithm of the number of characters, and calibration texts that make a class.
+CLASSES, CLASS_TEXTS = 16, 20
 _BITS = np.uint64(16)
 
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    """Of every code point its lower-case form in 16 bits if it is a letter, else a space."""
-    out = np.full(0x110000, 0x20, dtype=np.uint64)
+    """Of every code point its lower-case form in 16 bits if it is a letter, else a space.
+
+    Letters above U+FFFF share the private codes from U+E000 on, which no letter has.
+    """
+    out = np.full(0x110000, 0x20, dtype=np.uint16)
     for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
             low = c.lower()
-            out[i] = (ord(low) if len(low) == 1 else i) & 0xFFFF
+            point = ord(low) if len(low) == 1 else i
+            out[i] = point if point < 0x10000 else 0xE000 + point % 6400
     return out
 
 
@@ -40,7 +46,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     texts without letters have no codes.
     """
     closed = "".join([t + "\n" for t in texts])
-    chars = _letters()[np.frombuffer(closed.encode("utf-32-le"), dtype=np.uint32)]
+    chars = _letters()[np.frombuffer(closed.encode("utf-32-le"), dtype=np.uint32)].astype(np.uint64)
     owner = np.repeat(np.arange(len(texts)), np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
     space = chars == 0x20
     keep = ~space
@@ -71,7 +77,7 @@ class LanguageModel:
     log_p: list[np.ndarray]
     log_backoff: list[np.ndarray]
     unseen: np.ndarray
-    limit: np.ndarray
+    limit: np.ndarray  # the greatest cross-entropy that is not rejected, by language and length class
 
     def _find(self, order: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = self.keys[order - 1]
@@ -148,19 +154,22 @@ def _fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageModel:
         [np.log(x)[o].astype(np.float32) for x, o in zip(p, order, strict=True)],
         [np.log(x)[o].astype(np.float32) for x, o in zip(backoff, order, strict=True)],
         np.log(unseen).astype(np.float32),
-        np.full(len(languages), np.inf),
+        np.full((len(languages), CLASSES), np.inf),
     )
 
 
-def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_texts: int = SAMPLE_TEXTS, slack: float = 0.35) -> LanguageModel | None:
+def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_texts: int = SAMPLE_TEXTS, quantile: float = 0.998, slack: float = 0.15) -> LanguageModel | None:
     """A model of the languages in ``lang``; None if no row has both a language and a letter.
 
     The classifier is fitted on a bounded sample: about ``sample_texts`` whole
     texts of each language, by hash, and calibrated on as many others. Rows are
-    parted by the crc32 of the key. Rejection is calibrated on the second part:
-    a language's limit is the greatest cross-entropy among its texts there,
-    raised by ``slack``. Null languages, null texts and texts without letters
-    are left out. The sample is counted on the executors.
+    parted by the crc32 of the key. Rejection is calibrated on the second part,
+    for each language and length class: the limit is the ``quantile`` of the
+    cross-entropies of its texts that are recognised, raised by ``slack``. A
+    class of fewer than CLASS_TEXTS has the limit of the next longer, widened as
+    chance is wider in shorter texts; a language without any class has one of all
+    its texts, and none without texts. Null languages, null texts and texts
+    without letters are left out. The sample is counted on the executors.
     """
     usable = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("t"), crc_remainder(F.col(key), 2).alias("side"), F.xxhash64(F.lit("sample"), key, text).alias("deal"))
     sizes = usable.groupBy("lang", "side").count().collect()
@@ -195,9 +204,17 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
         arrays[name] = values[order], rows["n"].to_numpy()[order]
     model = _fit(arrays)
     second = sample.where((F.col("side") != 0) | F.col("lang").isin(lonely)).where(F.col("lang").isin(model.languages))
-    judged = _score(second.select("lang", "t"), "t", model).where("length(t) >= 200 and lang = lang_pred").groupBy("lang").agg(F.max("cross_entropy").alias("most")).collect()
-    for row in judged:
-        model.limit[model.languages.index(row.lang)] = row.most * (1 + slack)
+    judged = _score(second.select("lang", "t"), "t", model).where("lang = lang_pred")
+    most = F.percentile_approx("cross_entropy", F.lit(quantile), F.lit(10_000)).alias("most")
+    found = judged.rollup("lang", F.least(F.floor(F.log2("scored")), F.lit(CLASSES - 1)).alias("class")).agg(most, F.count("*").alias("n")).where("lang is not null").collect()
+    wider = lambda c: 2 / np.sqrt(2.0**c)
+    for j, name in enumerate(model.languages):
+        whole = next((r.most for r in found if r.lang == name and r["class"] is None), np.inf)
+        known = {r["class"]: r.most for r in found if r.lang == name and r["class"] is not None and r.n >= CLASS_TEXTS}
+        last = known[max(known)] if known else whole
+        for c in range(CLASSES - 1, -1, -1):
+            last = max(last, known[c]) if c in known else last + (wider(c) - wider(c + 1) if not known or c < max(known) else 0)
+            model.limit[j, c] = last * (1 + slack)
     return model
 
 
@@ -212,24 +229,28 @@ def _score(docs: DataFrame, text: str, model: LanguageModel) -> DataFrame:
         top = total[np.arange(len(best)), best]
         posterior = 1 / np.exp(total - top[:, None]).sum(axis=1)
         entropy = -top / np.maximum(sizes, 1)
-        rejected = ~known | (entropy > model.limit[best] + 2 / np.sqrt(np.maximum(sizes, 1)))
+        length = np.minimum(np.floor(np.log2(np.maximum(sizes, 1))).astype(int), CLASSES - 1)
+        rejected = ~known | (entropy > model.limit[best, length])
         names = np.where(known, np.array([*model.languages], dtype=object)[best], UNDETERMINED)
-        return [pa.array(names, pa.string()), pa.array(np.where(known, posterior, 0.0)), pa.array(np.where(known, entropy, np.nan), from_pandas=True), pa.array(rejected)]
+        return [pa.array(names, pa.string()), pa.array(np.where(known, posterior, 0.0)), pa.array(np.where(known, entropy, np.nan), from_pandas=True), pa.array(sizes.astype(np.int64)), pa.array(rejected)]
 
-    return add_columns(docs, text, "lang_pred string, score double, cross_entropy double, rejected boolean", compute)
+    return add_columns(docs, text, "lang_pred string, score double, cross_entropy double, scored bigint, rejected boolean", compute)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score, cross_entropy and rejected, from whole texts alone.
+    """docs with lang_pred, score, cross_entropy, scored and rejected, from whole texts alone.
 
     lang_pred: the language of the lowest length-normalised cross-entropy, the
     first by name on a tie; ``und`` for null texts and those without a letter.
-    score: its posterior among the model's languages, 0 for ``und``. rejected:
-    ``und``, or a cross-entropy over the language's calibrated limit, which is
-    wider for short texts. Without a model every text is ``und`` and rejected.
+    score: its posterior among the model's languages, 0 for ``und``. scored: how
+    many characters count, letters and single spaces. rejected: ``und``, or a
+    cross-entropy over the limit of the language and length class. Without a
+    model every text is ``und`` and rejected. Rows that repeat are treated alike;
+    an empty table gives an empty one; columns of docs with these names are
+    replaced. A worker has some 1 MB of text in hand, or one longer text.
     """
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0), "cross_entropy": F.lit(None).cast("double"), "rejected": F.lit(True)})
+        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0), "cross_entropy": F.lit(None).cast("double"), "scored": F.lit(0).cast("bigint"), "rejected": F.lit(True)})
     return _score(docs, text, model)
 
 

@@ -99,6 +99,18 @@ def _ones(rows: np.ndarray) -> np.ndarray:
     return np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
 
 
+def _centres(fps: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """For each fingerprint the position of the least, as bytes compare, of those with its label.
+
+    A tree that is a star around its least member is a component as it stands.
+    """
+    order = np.lexsort(tuple(fps[:, lane] for lane in range(fps.shape[1] - 1, -1, -1)))
+    names, first, inverse = np.unique(label[order], return_index=True, return_inverse=True)
+    out = np.empty(len(fps), dtype=np.int64)
+    out[order] = order[first][inverse]
+    return out
+
+
 def _close(a: np.ndarray, b: np.ndarray, radius: int, triangle: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of positions within the radius, a strip of rows at a time.
 
@@ -123,7 +135,7 @@ def _close(a: np.ndarray, b: np.ndarray, radius: int, triangle: bool) -> Iterato
 
 
 def _tile(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprints ordered by bit count, and for each the position of its component's first."""
+    """The fingerprints ordered by bit count, and for each the position of its component's centre."""
     fps = fps[np.lexsort((*fps.T, _ones(fps)))]
     label = np.arange(len(fps))
     for x, y in _close(fps, fps, radius, triangle=True):
@@ -133,7 +145,7 @@ def _tile(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             a, b = sorted((label[i], label[j]))
             if a != b:
                 label[label == b] = a
-    return fps, label
+    return fps, _centres(fps, label)
 
 
 def linked(fps: DataFrame, radius: int = RADIUS, lanes: int = 1) -> DataFrame:
@@ -206,7 +218,7 @@ def _packed(rows: pa.Table) -> pa.Table:
 
 
 def _confirm(row: pa.Table, radius: int, lanes: int, similarity: float) -> pa.Table:
-    """A spanning forest of the links between two blocks' texts, or inside one.
+    """A spanning forest of the links between two blocks' texts, or inside one, each tree as a star.
 
     Candidates are asked for their sets' similarity from the closest
     fingerprints on, and only while their trees are not one yet.
@@ -227,17 +239,20 @@ def _confirm(row: pa.Table, radius: int, lanes: int, similarity: float) -> pa.Ta
             tree[i] = i = tree[tree[i]]
         return i
 
-    kept = []
+    every, linked_rows = np.concatenate(fps) if not same else fps[0], []
     for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        a, b = top(i), top(j + (0 if same else len(fps[0])))
+        other = j + (0 if same else len(fps[0]))
+        a, b = top(i), top(other)
         if a != b:
             left, right = sets[0][i], sets[1][j]
             shared = len(np.intersect1d(left, right, assume_unique=True))
             if shared >= similarity * (len(left) + len(right) - shared):
                 tree[max(a, b)] = min(a, b)
-                kept.append((i, j))
-    i, j = (np.array([k[side] for k in kept], dtype=np.int64) for side in (0, 1))
-    return pa.table([_binary(fps[0][i]), _binary(fps[1][j])], ["a", "b"])
+                linked_rows += [i, other]
+    rows = np.unique(np.array(linked_rows, dtype=np.int64))
+    centre = _centres(every, np.array([top(i) for i in range(len(every))]))[rows]
+    off = rows != centre
+    return pa.table([_binary(every[rows[off]]), _binary(every[centre[off]])], ["a", "b"])
 
 
 def confirmed(docs: DataFrame, candidates: DataFrame, key: str, text: str, words_per_shingle: int, radius: int, lanes: int, similarity: float) -> DataFrame:
