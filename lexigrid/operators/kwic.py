@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexigrid.functions.text import is_empty, literal, matches, unicode_pattern
+from lexigrid.functions.text import is_empty, literal, unicode_pattern
 
 #: Scripts written without spaces have no word edges.
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}"
@@ -30,92 +34,175 @@ def search_pattern(search: str, regex: bool = False, whole_word: bool = False, c
     return unicode_pattern(body, ignore_case=not case_sensitive)
 
 
-def _context(near: Column, whole: Column, tokens: int, ignore_punctuation: bool, reach: int) -> Column:
-    """The first so many tokens with what comes before each; on the left both texts are read backwards.
+#: What the analysis adds to a hit; a flat row has the same names with a prefix.
+PREFIX = "CONC_"
+GENERATED = tuple(PREFIX + c for c in ("left_context", "matched_text", "right_context", "start_idx", "end_idx", "l1", "r1", "l1_freq", "r1_freq", "extraction"))
+_PLACES = [("matched_text", pa.string()), ("start_idx", pa.int64()), ("end_idx", pa.int64())]
+_HIT = [("left_context", pa.string()), _PLACES[0], ("right_context", pa.string()), *_PLACES[1:], ("l1", pa.string()), ("r1", pa.string()), ("extraction", pa.string())]
 
-    near: the first ``reach`` characters of whole. The context is sought there,
-    and in the whole only where it could go on behind them.
-    """
-    token = r"\w+" if ignore_punctuation else r"(?:\w+|[\p{P}\p{S}])"
-    gap = r"\W*" if ignore_punctuation else r"\s*"
-    body = rf"(?:{gap}{token}){{0,{tokens}}}"
-    found = lambda text: F.regexp_extract(text, f"(?U)^({body})", 1)
-    open_end = (F.length(near) >= reach) & F.rlike(near, F.lit(f"(?U)^{body}{gap}$"))
-    return F.when(open_end, found(whole)).otherwise(found(near))
 
+def _array_of(fields: list) -> str:
+    return "array<struct<" + ", ".join(f"{n}: {'string' if t == pa.string() else 'bigint'}" for n, t in fields) + ">>"
+
+
+class Contexts:
+    """What lies beside places of one text, so many tokens far, from one list of its tokens."""
+
+    def __init__(self, text: str, ignore_punctuation: bool):
+        self.text = text
+        self.spans = [m.span() for m in regex.finditer(r"\w+" if ignore_punctuation else r"\w+|[\p{P}\p{S}]", text)]
+        self.starts, self.ends = [a for a, _ in self.spans], [b for _, b in self.spans]
+        self.any_gap = ignore_punctuation
+
+    def left(self, at: int, tokens: int) -> tuple[str, str]:
+        """The context before a place, and the word nearest to it."""
+        last = bisect_left(self.starts, at) - 1
+        first, edge = last + 1, at
+        while first > 0 and last + 1 - first < tokens and self._meets(min(self.ends[first - 1], edge), edge):
+            first -= 1
+            edge = self.starts[first]
+        return self.text[edge:at], self._word(range(last, first - 1, -1), at, True)
 
-def concordance(df: DataFrame, text: str, search: str, left: int = 10, right: int = 10, regex: bool = False, whole_word: bool = False, case_sensitive: bool = False, ignore_punctuation: bool = True) -> DataFrame:
+    def right(self, at: int, tokens: int) -> tuple[str, str]:
+        first = bisect_right(self.ends, at)
+        last, edge = first, at
+        while last < len(self.spans) and last - first < tokens and self._meets(edge, max(self.starts[last], edge)):
+            edge = self.ends[last]
+            last += 1
+        return self.text[at:edge], self._word(range(first, last), at, False)
+
+    def _meets(self, a: int, b: int) -> bool:
+        return self.any_gap or a == b or self.text[a:b].isspace()
+
+    def _word(self, tokens: range, at: int, left: bool) -> str:
+        for i in tokens:
+            a, b = self.spans[i]
+            word = self.text[a : min(b, at)] if left else self.text[max(a, at) : b]
+            if regex.match(r"\w", word):
+                return word
+        return ""
+
+
+def concordance(
+    df: DataFrame, text: str, search: str, left: int = 10, right: int = 10, regex: bool = False, whole_word: bool = False, case_sensitive: bool = False, ignore_punctuation: bool = True, contexts: bool = True
+) -> DataFrame:
     """df with hits: (left_context, matched_text, right_context, start_idx, end_idx, l1, r1, extraction).
 
     Rows without a hit, blank ones too, are dropped. Contexts are slices of the
     text as it is; l1 and r1 are the nearest words, empty at the text's ends.
+    Without ``contexts`` hits have matched_text, start_idx and end_idx alone,
+    which is what density and filters by place need.
     """
     t = F.col(text)
     pattern = search_pattern(search, regex, whole_word, case_sensitive)
-    reach_left, reach_right = 32 * left + 64, 32 * right + 64
-    before = lambda m, n: F.reverse(t.substr(F.greatest(m["start"] - n, F.lit(0)) + 1, F.least(m["start"], n)))
-    after = lambda m, n: t.substr(m["end"] + 1, n)
-
-    def placed(m: Column) -> Column:
-        return F.struct(
-            m.alias("m"),
-            F.reverse(_context(before(m, F.lit(reach_left)), before(m, m["start"]), left, ignore_punctuation, reach_left)).alias("a"),
-            _context(after(m, F.lit(reach_right)), after(m, F.length(t)), right, ignore_punctuation, reach_right).alias("b"),
-        )
-
-    def hit(p: Column) -> Column:
-        m, a, b = p["m"], p["a"], p["b"]
-        return F.struct(
-            a.alias("left_context"),
-            m["value"].alias("matched_text"),
-            b.alias("right_context"),
-            m["start"].cast("bigint").alias("start_idx"),
-            m["end"].cast("bigint").alias("end_idx"),
-            F.regexp_extract(a, r"(?U)(\w+)\W*$", 1).alias("l1"),
-            F.regexp_extract(b, r"(?U)^\W*(\w+)", 1).alias("r1"),
-            F.concat(a, m["value"], b).alias("extraction"),
-        )
+    body = pattern[pattern.index(")") + 1 :]
+    fields = _HIT if contexts else _PLACES
+    shape = pa.list_(pa.struct(fields))
+
+    def find(texts: pa.Array) -> pa.Array:
+        compiled = compile_pattern(body, case_sensitive)
+        out = []
+        for value in texts.to_pylist():
+            found = [(m[0], m.start(), m.end()) for m in compiled.finditer(value or "") if m[0]]
+            beside = Contexts(value, ignore_punctuation) if found and contexts else None
+            rows = []
+            for word, start, end in found:
+                hit = {"matched_text": word, "start_idx": start, "end_idx": end}
+                if beside:
+                    (a, l1), (b, r1) = beside.left(start, left), beside.right(end, right)
+                    hit |= {"left_context": a, "right_context": b, "l1": l1, "r1": r1, "extraction": a + word + b}
+                rows.append(hit)
+            out.append(rows)
+        return pa.array(out, shape)
 
     found = df.where(~is_empty(t, T.StringType()) & F.rlike(t, F.lit(pattern)))
-    return found.withColumn("__m", matches(t, pattern)).where(F.size("__m") > 0).withColumn("hits", F.transform(F.transform("__m", placed), hit)).drop("__m")
+    return found.withColumn("hits", F.arrow_udf(find, _array_of(fields)).asNondeterministic()(t)).where(F.size("hits") > 0)
+
+
+def compile_pattern(body: str, case_sensitive: bool):
+    return regex.compile(body, 0 if case_sensitive else regex.IGNORECASE)
 
 
 def concordance_tokens(df: DataFrame, text: str, tokens: str, search: str, left: int = 10, right: int = 10) -> DataFrame:
-    """df with hits by exact token, any of the alternatives; case folded; contexts counted in tokens."""
-    wanted = [w.lower() for w in search.replace(",", " ").replace("|", " ").split()]
+    """df with hits by exact token, any of the alternatives; case folded; contexts counted in tokens.
+
+    tokens: an array column of (token, start, end).
+    """
+    wanted = {w.lower() for w in search.replace(",", " ").replace("|", " ").split()}
     if not wanted:
         raise ValueError("no token to look for")
-    all_tokens, t = F.col(tokens), F.col(text)
-    placed = F.transform(all_tokens, lambda x, i: F.struct(x["token"].alias("token"), x["start"].alias("start"), x["end"].alias("end"), i.alias("i")))
-    found = F.filter(placed, lambda x: F.lower(x["token"]).isin(wanted))
-    at = lambda i: F.get(all_tokens, i)
-    cut = lambda a, b: F.when(a < b, t.substr((a + 1).cast("int"), (b - a).cast("int"))).otherwise(F.lit(""))
-
-    def hit(x: Column) -> Column:
-        first, last = F.greatest(x["i"] - left, F.lit(0)), F.least(x["i"] + right, F.size(all_tokens) - 1)
-        return F.struct(
-            cut(at(first)["start"], x["start"]).alias("left_context"),
-            cut(x["start"], x["end"]).alias("matched_text"),
-            cut(x["end"], at(last)["end"]).alias("right_context"),
-            x["start"].alias("start_idx"),
-            x["end"].alias("end_idx"),
-            F.coalesce(at(x["i"] - 1)["token"], F.lit("")).alias("l1"),
-            F.coalesce(at(x["i"] + 1)["token"], F.lit("")).alias("r1"),
-        )
-
-    return df.withColumn("hits", F.transform(found, hit)).where(F.size("hits") > 0)
+    fields = [f for f in _HIT if f[0] != "extraction"]
+    shape = pa.list_(pa.struct(fields))
+
+    def find(texts: pa.Array, listed: pa.Array) -> pa.Array:
+        out = []
+        for value, row in zip(texts.to_pylist(), listed.to_pylist(), strict=True):
+            row, rows = row or [], []
+            for i, x in enumerate(row):
+                if value is not None and (x["token"] or "").lower() in wanted:
+                    first, last = row[max(0, i - left)], row[min(len(row) - 1, i + right)]
+                    rows.append(
+                        {
+                            "left_context": value[first["start"] : x["start"]], "matched_text": value[x["start"] : x["end"]], "right_context": value[x["end"] : last["end"]],
+                            "start_idx": x["start"], "end_idx": x["end"], "l1": row[i - 1]["token"] if i else "", "r1": row[i + 1]["token"] if i + 1 < len(row) else "",
+                        }
+                    )
+            out.append(rows)
+        return pa.array(out, shape)
+
+    return df.withColumn("hits", F.arrow_udf(find, _array_of(fields)).asNondeterministic()(F.col(text), F.col(tokens))).where(F.size("hits") > 0)
+
+
+def run(df: DataFrame, text: str, ordinal: str, search: str, left: int = 10, right: int = 10, case_sensitive: bool = False, **options) -> DataFrame:
+    """The whole result, a row for each document with hits, in the order of the ordinal.
+
+    Earlier results' columns are dropped, see ``rerun``. concordance: the hits in
+    the order of their places, fields named as GENERATED; l1_freq and r1_freq
+    count the hits that share the neighbour, by lower case unless
+    ``case_sensitive``, and are null without one. Only words and places are
+    shuffled for that, not texts.
+    """
+    df, text = rerun(df, text)
+    # written hits would be computed for each of the three uses below; they are deterministic, so they only cost time
+    result = concordance(df, text, search, left, right, case_sensitive=case_sensitive, **options)
+    places = result.select(F.col(ordinal).alias("__row"), F.posexplode("hits").alias("__i", "h")).select("__row", "__i", *(F.nullif(_folded(F.col(f"h.{s}"), case_sensitive), F.lit("")).alias(s) for s in ("l1", "r1")))
+    for side in ("l1", "r1"):
+        freq = places.groupBy(side).agg(F.count("*").alias(f"{side}_freq")).where(F.col(side).isNotNull())
+        places = places.join(freq, side, "left")
+    freqs = places.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__i", "l1_freq", "r1_freq"))).alias("__f"))
+    named = F.zip_with("hits", "__f", lambda h, f: F.struct(*((f if c.endswith("_freq") else h)[c[len(PREFIX) :]].alias(c) for c in GENERATED)))
+    joined = result.join(freqs, result[ordinal] == freqs["__row"])
+    return joined.withColumn("concordance", named).drop("hits", "__row", "__f").orderBy(ordinal)
+
+
+def _folded(word: Column, case_sensitive: bool) -> Column:
+    return word if case_sensitive else F.lower(word)
+
+
+def rerun(df: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """df without the columns of an earlier run, and the name of its text column.
+
+    A text column that has the name of one of them is kept as ``CONC_source``, or
+    ``CONC_source_2`` and so on if that is taken.
+    """
+    names = set(df.columns)
+    out = df.drop(*(c for c in GENERATED if c in names and c != text))
+    if text not in GENERATED:
+        return out, text
+    free = next(c for c in (f"{PREFIX}source" + (f"_{i}" if i > 1 else "") for i in range(1, len(names) + 3)) if c not in names)
+    return out.withColumnRenamed(text, free), free
 
 
 def match_rows(result: DataFrame) -> DataFrame:
-    """One row for each hit, with its position in the document and the frequencies of l1 and r1.
+    """One row for each hit, with its position in the document and the frequencies of l1 and r1, case folded.
 
     The frequencies are counted apart and joined back, so a common neighbour is
     no window group in one task.
     """
     rows = result.select("*", F.posexplode("hits").alias("match_index", "hit")).select(*(c for c in result.columns if c != "hits"), F.col("match_index").cast("bigint").alias("match_index"), "hit.*")
     for side in ("l1", "r1"):
-        freq = rows.groupBy(side).agg(F.count("*").alias(f"{side}_freq"))
-        rows = rows.join(freq, side)
+        freq = rows.select(F.lower(side).alias("__word")).where("__word <> ''").groupBy("__word").agg(F.count("*").alias(f"{side}_freq"))
+        rows = rows.join(freq, F.lower(side) == freq["__word"], "left").drop("__word")
     return rows
 
 

@@ -100,8 +100,8 @@ def keyness(spark, d):
 
 # Concordance
 
-def _hits(spark, d):
-    return kwic.concordance(load(spark, d, "documents").select("doc_id", "lang", "text"), "text", "the", 3, 3, whole_word=True)
+def _hits(spark, d, contexts=True):
+    return kwic.concordance(load(spark, d, "documents").select("doc_id", "lang", "text"), "text", "the", 3, 3, whole_word=True, contexts=contexts)
 
 
 _PARTS = r"""
@@ -115,9 +115,18 @@ w AS (SELECT doc_id, text, matched_text, cast(s AS bigint) AS s, row_number() OV
 """
 
 
+# contexts of three words on either side, the nearest words, and their case-folded frequencies
+_W, _N = r"[\p{L}\p{M}\p{N}_]", r"[^\p{L}\p{M}\p{N}_]"
+_CONTEXTS = _PARTS + rf""",
+c AS (SELECT *, reverse(regexp_extract(reverse(substr(text, 1, s)), '^((?:{_N}*{_W}+){{0,3}})', 1)) AS a, regexp_extract(substr(text, s + 4), '^((?:{_N}*{_W}+){{0,3}})', 1) AS b FROM w),
+n AS (SELECT *, regexp_extract(a, '({_W}+){_N}*$', 1) AS l1, regexp_extract(b, '^{_N}*({_W}+)', 1) AS r1 FROM c),
+q AS (SELECT *, CASE WHEN l1 <> '' THEN count(*) OVER (PARTITION BY lower(l1)) END AS l1_freq, CASE WHEN r1 <> '' THEN count(*) OVER (PARTITION BY lower(r1)) END AS r1_freq FROM n)
+"""
+
+
 @query("kwic_text", f"WITH {_PARTS} SELECT doc_id, match_index, matched_text, s AS start_idx, s + 3 AS end_idx FROM w")
 def kwic_text(spark, d):
-    rows = _hits(spark, d).select("doc_id", F.posexplode("hits").alias("i", "h"))
+    rows = _hits(spark, d, contexts=False).select("doc_id", F.posexplode("hits").alias("i", "h"))
     return rows.select("doc_id", F.col("i").cast("bigint").alias("match_index"), "h.matched_text", "h.start_idx", "h.end_idx")
 
 
@@ -125,12 +134,12 @@ QUERIES["kwic_whole_word"] = lambda spark, d: kwic.concordance(load(spark, d, "d
 ORACLE_SQL["kwic_whole_word"] = r"SELECT doc_id, len(regexp_extract_all(text, '(?i)\blicen[sc]ed?\b')) AS n FROM documents WHERE regexp_matches(text, '(?i)\blicen[sc]ed?\b')"
 
 
-@query("kwic_match_rows", f"WITH {_PARTS} SELECT doc_id, count(*) AS n, min(s) AS first_start FROM w GROUP BY doc_id")
+@query("kwic_match_rows", f"WITH {_CONTEXTS} SELECT doc_id, match_index, s AS start_idx, matched_text, l1_freq, r1_freq FROM q")
 def kwic_match_rows(spark, d):
-    return kwic.match_rows(_hits(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("start_idx").alias("first_start"))
+    return kwic.match_rows(_hits(spark, d)).select("doc_id", "match_index", "start_idx", "matched_text", "l1_freq", "r1_freq")
 
 
-@query("kwic_context")
+@query("kwic_context", f"WITH {_CONTEXTS} SELECT doc_id, match_index, a AS left_context, matched_text, b AS right_context, l1, r1, l1_freq, r1_freq FROM q")
 def kwic_context(spark, d):
     return kwic.match_rows(_hits(spark, d)).select("doc_id", "match_index", "left_context", "matched_text", "right_context", "l1", "r1", "l1_freq", "r1_freq")
 
@@ -140,33 +149,59 @@ def kwic_edges(spark, d):
     return _hits(spark, d).where(F.exists("hits", lambda h: (h["l1"] == "") & (F.rlike(h["left_context"], F.lit(r"(?U)^\W*$"))))).select("doc_id")
 
 
-@query("kwic_extraction")
+@query("kwic_extraction", f"WITH {_CONTEXTS} SELECT doc_id, s AS start_idx, a || matched_text || b AS extraction FROM q")
 def kwic_extraction(spark, d):
     return _hits(spark, d).select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.start_idx", "h.extraction")
 
 
-@query("kwic_run", f"WITH {_PARTS} SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id")
+_RUN = f"WITH {_CONTEXTS} SELECT doc_id, lang, string_agg(concat_ws('|', a, matched_text, b, s, coalesce(l1_freq, 0), coalesce(r1_freq, 0)), '~' ORDER BY s) AS hits FROM (SELECT q.*, lang FROM q JOIN documents USING (doc_id)) GROUP BY doc_id, lang"
+
+
+def _run_rows(result):
+    shown = lambda h: F.concat_ws("|", h["CONC_left_context"], h["CONC_matched_text"], h["CONC_right_context"], h["CONC_start_idx"], F.coalesce(h["CONC_l1_freq"], F.lit(0)), F.coalesce(h["CONC_r1_freq"], F.lit(0)))
+    return result.select("doc_id", "lang", F.array_join(F.transform("concordance", shown), "~").alias("hits"))
+
+
+@query("kwic_run", _RUN)
 def kwic_run(spark, d):
-    return _hits(spark, d).select("doc_id", F.size("hits").cast("bigint").alias("n"))
+    return _run_rows(kwic.run(load(spark, d, "documents").select("doc_id", "lang", "text"), "text", "doc_id", "the", 3, 3, whole_word=True))
 
 
-@query("kwic_document_rows")
+@query("kwic_rerun", _RUN)
+def kwic_rerun(spark, d):
+    """On a block that has the columns of an earlier run, its text among them."""
+    before = load(spark, d, "documents").select("doc_id", "lang", F.col("text").alias("CONC_extraction"), F.lit("old").alias("CONC_l1"), F.lit("mine").alias("CONC_source"))
+    result = kwic.run(before, "CONC_extraction", "doc_id", "the", 3, 3, whole_word=True)
+    if result.columns != ["doc_id", "lang", "CONC_source_2", "CONC_source", "concordance"]:
+        raise ValueError(result.columns)
+    return _run_rows(result)
+
+
+_LINES = r"string_agg(trim(regexp_replace(a || matched_text || b, '\s+', ' ', 'g')), chr(10) ORDER BY s)"
+
+
+@query("kwic_document_rows", f"WITH {_CONTEXTS} SELECT doc_id, {_LINES} AS extractions FROM q GROUP BY doc_id")
 def kwic_document_rows(spark, d):
     return kwic.document_rows(_hits(spark, d)).select("doc_id", "extractions")
 
 
-QUERIES["kwic_add_document"] = QUERIES["kwic_document_rows"]
+@query("kwic_add_document", f"WITH {_CONTEXTS} SELECT lang, cast(len(text) AS bigint) AS n_chars, {_LINES} AS extractions FROM (SELECT q.*, lang FROM q JOIN documents USING (doc_id)) GROUP BY doc_id, lang, text")
+def kwic_add_document(spark, d):
+    """A new block of the documents with hits, their other columns beside the extractions."""
+    return kwic.document_rows(_hits(spark, d)).select("lang", F.length("text").cast("bigint").alias("n_chars"), "extractions")
+
+
 _BIN = "least(cast(floor(s * {0} / length(text)) AS bigint), {0} - 1)"
 
 
 @query("kwic_document_filter", f"WITH {_PARTS} SELECT doc_id, count(*) AS n FROM w WHERE matched_text <> 'The' AND {_BIN.format(4)} IN (0, 3) GROUP BY doc_id")
 def kwic_document_filter(spark, d):
-    return kwic.document_filter(_hits(spark, d), "text", ["The"], 4, [0, 3]).select("doc_id", F.size("hits").cast("bigint").alias("n"))
+    return kwic.document_filter(_hits(spark, d, contexts=False), "text", ["The"], 4, [0, 3]).select("doc_id", F.size("hits").cast("bigint").alias("n"))
 
 
 @query("kwic_density", f"WITH {_PARTS} SELECT matched_text, {_BIN.format(100)} AS bin, count(*) AS n FROM w GROUP BY ALL")
 def kwic_density(spark, d):
-    return kwic.density(_hits(spark, d), "text")
+    return kwic.density(_hits(spark, d, contexts=False), "text")
 
 
 ORACLE_SQL["density_bins"] = ORACLE_SQL["kwic_density"]
@@ -175,7 +210,7 @@ QUERIES["density_bins"] = kwic_density
 
 @query("kwic_dispersion", f"WITH {_PARTS}, b AS (SELECT lower(matched_text) AS series, {_BIN.format(100)} AS b FROM w) SELECT series, cast(floor(b * 10 / 100) AS bigint) AS bin, count(*) AS n FROM b GROUP BY ALL")
 def kwic_dispersion(spark, d):
-    return kwic.dispersion(kwic.density(_hits(spark, d), "text"), 10, fold_case=True)
+    return kwic.dispersion(kwic.density(_hits(spark, d, contexts=False), "text"), 10, fold_case=True)
 
 
 @query("kwic_tokens", f"SELECT doc_id, len(list_filter({_WORDS}, lambda w: w IN ('the', 'of'))) AS n FROM documents WHERE len(list_filter({_WORDS}, lambda w: w IN ('the', 'of'))) > 0")
