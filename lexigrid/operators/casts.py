@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,25 +13,63 @@ from pyspark.sql import types as T
 from lexigrid.functions.text import literal
 
 #: Strftime directives and what Spark calls them.
-DIRECTIVES = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%I": "hh", "%M": "mm", "%S": "ss", "%f": "SSSSSS", "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%p": "a", "%z": "Z", "%j": "DDD"}
-#: Dates, times and zones that detection combines.
-DATES = ("%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d", "%d/%m/%Y", "%m/%d/%Y", "%d-%m-%Y", "%m-%d-%Y", "%d.%m.%Y", "%d %b %Y", "%d %B %Y", "%b %d, %Y", "%B %d, %Y", "%Y%m%d")
-TIMES = ("", " %H:%M", " %H:%M:%S", "T%H:%M", "T%H:%M:%S", "T%H:%M:%S.%f", " %H:%M:%S.%f")
+DIRECTIVES = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%I": "hh", "%M": "mm", "%S": "ss", "%f": "SSSSSS", "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%p": "a", "%z": "xx", "%:z": "xxx", "%j": "DDD"}
+#: What each directive looks like in a text.
+_LOOKS = {"%Y": "[0-9]{4}", "%f": "[0-9]{6}", "%p": "(?:AM|PM)", "%z": "[+-][0-9]{4}", "%:z": "[+-][0-9]{2}:[0-9]{2}", "%j": "[0-9]{3}"} | dict.fromkeys(("%m", "%d", "%H", "%I"), "[0-9]{1,2}") | dict.fromkeys(("%b", "%B", "%a", "%A"), r"\p{L}+")
+
+
+def date_formats() -> list[str]:
+    """Dates by a grammar: the order of the parts, what stands between, long or short years and months, a weekday.
+
+    Four-digit years come before two-digit ones, the year first before the day
+    first before the month first, and numbers before names; of formats that read
+    a column equally often, the earlier is the better guess.
+    """
+    number = {"ymd": ("%Y", "%m", "%d"), "dmy": ("%d", "%m", "%Y"), "mdy": ("%m", "%d", "%Y")}
+    out = [sep.join(parts) for parts in number.values() for sep in "-/._"] + ["%Y%m%d"]
+    for month in ("%b", "%B"):
+        day_first = [f"%d{sep}{month}{sep}%Y" for sep in (" ", "-")]
+        weekday = "%a" if month == "%b" else "%A"
+        out += [*day_first, f"{month} %d, %Y", f"{month} %d %Y", *(f"{weekday}{comma} {day_first[0]}" for comma in ("", ","))]
+    return out + [f.replace("%Y", "%y") for f in out if not f.startswith("%Y") and "%a" not in f and "%A" not in f]
+
+
+def clock_formats() -> list[str]:
+    """Nothing, or a time after a space or a T, to the minute, second or below, with or without a zone."""
+    clocks = [sep + clock for sep in " T" for clock in ("%H:%M", "%H:%M:%S", "%H:%M:%S.%f")] + [" %I:%M %p", " %I:%M:%S %p"]
+    return ["", *(clock + zone for clock in clocks for zone in ("", "Z", "%z", "%:z", " %z", " %:z"))]
+
+
+def candidate_formats() -> list[str]:
+    return [d + c for d in date_formats() for c in clock_formats()] + ["%a %b %d %H:%M:%S %z %Y"]
+
+
+def _directives(strftime: str) -> list[str]:
+    """A format in its directives and the single characters between."""
+    found = re.findall(r"%:z|%.|[^%]", strftime, re.S)
+    for part in found:
+        if part[0] == "%" and part not in DIRECTIVES:
+            raise ValueError(f"unknown directive {part!r}")
+    return found
+
+
+def shape_pattern(strftime: str) -> str:
+    """A pattern of the texts a format may read."""
+    found = "".join(_LOOKS.get(p, "[0-9]{2}") if p in DIRECTIVES else literal(p) for p in _directives(strftime))
+    return found.replace("{1,2}", "{2}") if re.search("%.%", strftime) else found
 
 
 def java_pattern(strftime: str) -> str:
     """The pattern Spark reads for a strftime format; other letters are quoted."""
-    out, i = "", 0
-    while i < len(strftime):
-        pair = strftime[i : i + 2]
-        if pair in DIRECTIVES:
-            out, i = out + DIRECTIVES[pair], i + 2
-        elif pair[0] == "%":
-            raise ValueError(f"unknown directive {pair!r}")
-        else:
-            out += f"'{pair[0]}'" if pair[0].isalpha() else pair[0]
-            i += 1
-    return out
+    return "".join(DIRECTIVES.get(p) or (f"'{p}'" if p.isalpha() else p) for p in _directives(strftime))
+
+
+def reading_pattern(strftime: str) -> str:
+    """As java_pattern, but days, months and hours may have one digit, unless parts touch."""
+    if re.search("%[^:]%", strftime):
+        return java_pattern(strftime)
+    short = {"%m": "M", "%d": "d", "%H": "H", "%I": "h"}
+    return "".join(short.get(p) or java_pattern(p) for p in _directives(strftime))
 
 
 def to_string(column: Column, kind: T.DataType, pattern: str | None = None) -> Column:
@@ -63,9 +105,24 @@ def float_from_text(text: Column, decimal: str = ".", thousands: str | None = No
     return F.when(fits, F.replace(plain, F.lit(decimal), F.lit(".")).try_cast("double"))
 
 
-def timestamp_from_text(text: Column, pattern: str | None = None) -> Column:
-    """By an explicit strftime format, or ISO; zones are converted to UTC, times without one are read as UTC."""
-    return F.try_to_timestamp(F.trim(text), F.lit(java_pattern(pattern))) if pattern else F.trim(text).try_cast("timestamp")
+def timestamp_from_text(text: Column, pattern: str | None = None, inside: bool = False) -> Column:
+    """By an explicit strftime format, or ISO; zones are converted to UTC, times without one are read as UTC.
+
+    inside: the first part of the text that looks like the format is read, and
+    the rest of it ignored.
+    """
+    t = F.trim(text)
+    if pattern is None:
+        dated = F.when(F.rlike(t, F.lit(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$")), F.concat(t, F.lit("T00:00:00Z")))
+        timed = F.when(F.rlike(t, F.lit(r"[0-9]:[0-9]{1,2}(?::[0-9]{1,2}(?:\.[0-9]+)?)?$")) & ~F.rlike(t, F.lit(r"[+-][0-9]{1,2}:[0-9]{1,2}$")), F.concat(t, F.lit("Z")))
+        return F.coalesce(dated, timed, t).try_cast("timestamp")
+    if inside:
+        t = F.nullif(F.regexp_extract(t, rf"(?<!\p{{N}}){shape_pattern(pattern)}(?!\p{{N}})", 0), F.lit(""))
+    if pattern.startswith(("%a", "%A")):  # Spark does not read weekdays
+        t, pattern = F.ltrim(F.regexp_replace(t, r"^\p{L}+", "")), pattern[2:].lstrip()
+    if {"%z", "%:z"} & set(_directives(pattern)):
+        return F.try_to_timestamp(t, F.lit(reading_pattern(pattern)))
+    return F.try_to_timestamp(F.concat(t, F.lit(" +0000")), F.lit(reading_pattern(pattern) + " xx"))
 
 
 def two_digit_year(value: Column, start: int) -> Column:
@@ -101,13 +158,35 @@ def category_rank(column: Column, order: list[str]) -> Column:
     return F.nullif(F.array_position(F.array(*map(F.lit, order)), column), F.lit(0).cast("bigint"))
 
 
-def detect_datetime(df: DataFrame, column: str, sample: int = 1000) -> list[tuple[str, int]]:
-    """strftime formats that read values of a head sample, the best first; one pass tries all."""
-    values = df.where(df[f"`{column}`"].isNotNull()).select(F.trim(df[f"`{column}`"]).alias("v")).limit(sample)
-    formats = [d + t for d in DATES for t in TIMES]
-    reads = [F.count_if(F.try_to_timestamp("v", F.lit(java_pattern(f))).isNotNull()).alias(str(i)) for i, f in enumerate(formats)]
-    row = values.agg(*reads).first()
-    return sorted(((f, row[str(i)]) for i, f in enumerate(formats) if row[str(i)]), key=lambda x: -x[1])
+@dataclass(frozen=True)
+class DateFormat:
+    """A strftime format, how many of the sample's values it reads, and the one with day and month swapped, if that reads any."""
+
+    format: str
+    reads: int
+    swap: str | None = None
+
+
+def detect_datetime(df: DataFrame, column: str, sample: int = 1000) -> list[DateFormat]:
+    """Formats that read values of a sample, the best first; of those that read as many, the earlier candidate.
+
+    The sample is of ``sample`` values at most, those of least hash, so it is the
+    same however rows are dealt. Only formats that look like one of the values'
+    shapes are tried, all in one pass.
+    """
+    text = F.trim(df[f"`{column}`"].cast("string"))
+    values = df.select(text.alias("v")).where(F.col("v") != "").orderBy(F.xxhash64("v"), "v").limit(sample)
+    shape = F.regexp_replace(F.regexp_replace("v", "[0-9]", "0"), r"\p{L}{3,}", "xxx")
+    shapes = [r.shape for r in values.select(shape.alias("shape")).distinct().collect()]
+    formats = [f for f in candidate_formats() if any(regex.fullmatch(shape_pattern(f), s) for s in shapes)]
+    if not formats:
+        return []
+    counted = values.agg(*(F.count(timestamp_from_text(F.col("v"), f)).alias(str(i)) for i, f in enumerate(formats))).first()
+    reads = {f: counted[str(i)] for i, f in enumerate(formats) if counted[str(i)]}
+    pairs = [(f"%d{sep}%m", f"%m{sep}%d") for sep in "-/._"]
+    turned = {f: b + f[len(a) :] for f in reads for pair in pairs for a, b in (pair, pair[::-1]) if f.startswith(a)}
+    swap = lambda f: turned[f] if turned.get(f) in reads else None
+    return [DateFormat(f, n, swap(f)) for f, n in sorted(reads.items(), key=lambda x: -x[1])]
 
 
 def check_cast(df: DataFrame, column: str, converted: Column, examples: int = 5) -> DataFrame:

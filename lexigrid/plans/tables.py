@@ -125,22 +125,23 @@ def stack_dedup(spark, d):
 
 
 def _sides(spark, d):
-    left = load(spark, d, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("key")).where("c_custkey % 3 = 0")
-    right = load(spark, d, "nation").select(F.col("n_nationkey").alias("key"), "n_name").where("n_nationkey % 2 = 0")
+    """Whole tables whose keys, one moved by 100, meet in part: both have rows without a partner."""
+    left = load(spark, d, "documents").select("doc_id", "lang", F.col("doc_id").alias("key"))
+    right = load(spark, d, "labels").select((F.col("doc_id") + 100).alias("key"), "quality")
     return left, right
 
 
-_L = "(SELECT c_custkey, c_name, c_nationkey AS key FROM customer WHERE c_custkey % 3 = 0) a"
-_R = "(SELECT n_nationkey AS key, n_name FROM nation WHERE n_nationkey % 2 = 0) b"
+_L = "(SELECT doc_id, lang, doc_id AS key FROM documents) a"
+_R = "(SELECT doc_id + 100 AS key, quality FROM labels) b"
 for _how, _sql in {
-    "inner": f"SELECT a.*, n_name FROM {_L} JOIN {_R} ON a.key = b.key",
-    "left": f"SELECT a.*, n_name FROM {_L} LEFT JOIN {_R} ON a.key = b.key",
-    "right": f"SELECT c_custkey, c_name, b.* FROM {_L} RIGHT JOIN {_R} ON a.key = b.key",
-    "full": f"SELECT a.*, b.key AS key_nations, n_name FROM {_L} FULL JOIN {_R} ON a.key = b.key",
+    "inner": f"SELECT a.*, quality FROM {_L} JOIN {_R} ON a.key = b.key",
+    "left": f"SELECT a.*, quality FROM {_L} LEFT JOIN {_R} ON a.key = b.key",
+    "right": f"SELECT doc_id, lang, b.* FROM {_L} RIGHT JOIN {_R} ON a.key = b.key",
+    "full": f"SELECT a.*, b.key AS key_labels, quality FROM {_L} FULL JOIN {_R} ON a.key = b.key",
     "semi": f"SELECT a.* FROM {_L} SEMI JOIN {_R} ON a.key = b.key",
     "anti": f"SELECT a.* FROM {_L} ANTI JOIN {_R} ON a.key = b.key",
 }.items():
-    QUERIES[f"join_{_how}"] = lambda spark, d, how=_how: rows.join(*_sides(spark, d), "key", "key", how, "nations")
+    QUERIES[f"join_{_how}"] = lambda spark, d, how=_how: rows.join(*_sides(spark, d), "key", "key", how, "labels")
     ORACLE_SQL[f"join_{_how}"] = _sql
 
 
@@ -448,10 +449,19 @@ def check_cast(spark, d):
     return casts.check_cast(df, "p_brand", F.col("p_brand").try_cast("double")).drop("failures")
 
 
-@query("detect_datetime", "SELECT '%Y-%m-%d %H:%M:%S' AS format")
+@query("detect_datetime", "SELECT unnest(['%Y-%m-%d %H:%M:%S', '%d/%m/%Y', '%a, %d %b %Y %H:%M']) AS format, count(*) AS reads, unnest([false, true, false]) AS swaps FROM events GROUP BY 1, 3")
 def detect_datetime(spark, d):
-    texts = load(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("t"))
-    return spark.createDataFrame([(casts.detect_datetime(texts, "t")[0][0],)], "format string")
+    found = []
+    for shown in ("yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy", "EEE, dd MMM yyyy HH:mm"):
+        # days of the month up to 12 alone read both ways round
+        day = F.expr("make_timestamp_ntz(2024, 1 + event_id % 12, 1 + event_id % 11, event_id % 24, 30, 0)")
+        texts = load(spark, d, "events").select(F.date_format(day, shown).alias("t"))
+        best = casts.detect_datetime(texts, "t", sample=texts.count())[0]
+        found.append((best.format, best.reads, best.swap is not None))
+    return spark.createDataFrame(found, "format string, reads bigint, swaps boolean")
+
+
+_cast("c_datetime_in_text", "events", "event_id", lambda df: F.date_format(casts.timestamp_from_text(F.concat(F.lit("seen on "), F.date_format("ts", "dd.MM.yyyy"), F.lit(" by us, 3.4.")), "%d.%m.%Y", inside=True), "yyyy-MM-dd"), "strftime(ts, '%Y-%m-%d')")
 
 
 # SQL
