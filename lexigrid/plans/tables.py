@@ -474,12 +474,15 @@ def _sql(name: str, tables_: list[str], statement: str, oracle: str | None = Non
 _sql("sql_query", ["nation"], 'SELECT n_name FROM "nation" WHERE n_regionkey = 1')
 _sql("sql_project_order", ["nation"], "SELECT n_nationkey, n_name FROM nation ORDER BY n_name")
 _sql("sql_join", ["nation", "region"], "SELECT l.n_name, r.r_name FROM nation l JOIN region r ON l.n_regionkey = r.r_regionkey")
-_sql("sql_cte_row_number", ["nation"], "WITH t AS (SELECT n_name, ROW_NUMBER() OVER (ORDER BY n_nationkey) - 1 AS row FROM nation) SELECT row, n_name FROM t WHERE row < 5")
+QUERIES["sql_cte_row_number"] = lambda spark, d: sql.run_sql(spark, {"nation": load(spark, d, "nation")}, 'WITH s AS (SELECT * FROM "nation"), t AS (SELECT ROW_NUMBER() OVER () - 1 AS row, * FROM s) SELECT row, n_name FROM t WHERE row < 5 ORDER BY row', ordinal="n_nationkey")
+ORACLE_SQL["sql_cte_row_number"] = "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS row, n_name FROM nation QUALIFY row < 5"
 _sql("sql_distinct", ["customer"], "SELECT DISTINCT c_mktsegment FROM customer")
-_sql("sql_regex_ci", ["part"], "SELECT p_partkey FROM part WHERE p_type RLIKE '(?i)brass$'", "SELECT p_partkey FROM part WHERE regexp_matches(p_type, '(?i)brass$')")
-_sql("sql_unnest", ["part"], "SELECT word, count(*) AS n FROM (SELECT explode(split(p_type, ' ')) AS word FROM part) GROUP BY word", "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(p_type, ' ')) AS word FROM part) GROUP BY word")
+_sql("sql_regex_ci", ["nation"], """SELECT DISTINCT "value" FROM (SELECT "n_name" AS "value" FROM "nation") AS "values" WHERE CAST("value" AS VARCHAR) ~* '^n[a-z]*_?[12]?\\d$' ORDER BY "value" ASC NULLS FIRST""",
+     r"SELECT DISTINCT n_name AS value FROM nation WHERE regexp_matches(n_name, '(?i)^n[a-z]*_?[12]?\d$')")
+QUERIES["sql_unnest"] = lambda spark, d: sql.run_sql(spark, {"part": load(spark, d, "part").select(F.split("p_type", " ").alias("tags"))}, 'SELECT "value", COUNT(*) AS "n" FROM (SELECT UNNEST("tags") AS "value" FROM "part") AS "values" GROUP BY "value"')
+ORACLE_SQL["sql_unnest"] = "SELECT value, count(*) AS n FROM (SELECT unnest(string_split(p_type, ' ')) AS value FROM part) GROUP BY value"
 _sql("sql_group_alias", ["orders"], "SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY p ORDER BY n DESC, p NULLS LAST LIMIT 3")
-_sql("sql_strftime", ["orders"], "SELECT date_format(o_orderdate, 'yyyy-MM') AS m, count(*) AS n FROM orders GROUP BY m", "SELECT strftime(o_orderdate, '%Y-%m') AS m, count(*) AS n FROM orders GROUP BY m")
+_sql("sql_strftime", ["orders"], """SELECT STRFTIME("o_orderdate", '%Y-%m') AS value, COUNT(*) AS n FROM "orders" GROUP BY value ORDER BY value ASC NULLS LAST LIMIT 500""")
 _sql("sql_floor_bin", ["part"], "SELECT CAST(FLOOR((p_retailprice - 900) / 25) AS BIGINT) AS bin, count(*) AS n FROM part GROUP BY bin")
 _sql("sql_case_nullif", ["customer"], "SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING') THEN NULLIF(TRIM(c_mktsegment), '') ELSE CAST(c_nationkey AS STRING) END AS v FROM customer")
 _sql("sql_union_all", ["nation", "region"], "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")
@@ -489,11 +492,29 @@ _sql("sql_length_replace", ["documents"], "SELECT lang, SUM(LENGTH(REPLACE(text,
      "SELECT lang, CAST(SUM(LENGTH(REPLACE(text, ' ', ''))) AS BIGINT) AS n, MAX(GREATEST(LENGTH(text), 100)) AS m, CAST(CEIL(COALESCE(AVG(LENGTH(text)), 0)) AS BIGINT) AS a FROM documents GROUP BY lang")
 
 
-@query("sql_guard", "SELECT 'refused' AS outcome")
+_UNSAFE = (
+    "SELECT * FROM read_parquet('{0}/nation.parquet')",
+    "SELECT * FROM `parquet`.`{0}/nation.parquet`",
+    'SELECT * FROM "parquet"."{0}/nation.parquet"',
+    "SELECT * FROM nation, parquet.`{0}/nation.parquet`",
+    "SELECT n_name FROM nation WHERE n_nationkey IN (SELECT n_nationkey FROM other)",
+    "SELECT 1 FROM nation; DROP TABLE nation",
+)
+
+
+@query("sql_guard", "SELECT i, CASE WHEN i < 6 THEN 'refused' ELSE cast((SELECT count(*) FROM nation WHERE n_name <> 'read_csv(') AS varchar) END AS outcome FROM range(7) t(i)")
 def sql_guard(spark, d):
-    try:
-        sql.run_sql(spark, {"nation": load(spark, d, "nation")}, f"SELECT * FROM read_parquet('{d}/nation.parquet')")
-        outcome = "allowed"
-    except ValueError:
-        outcome = "refused"
-    return spark.createDataFrame([(outcome,)], "outcome string")
+    outcomes = []
+    for statement in (*_UNSAFE, "SELECT n_name /* FROM other; */ FROM nation WHERE n_name <> 'read_csv(' -- scan_x("):
+        try:
+            outcomes.append(str(sql.run_sql(spark, {"nation": load(spark, d, "nation")}, statement.format(d)).count()))
+        except ValueError:
+            outcomes.append("refused")
+    return spark.createDataFrame(list(enumerate(outcomes)), "i bigint, outcome string")
+
+
+@query("sql_create", "SELECT n_regionkey AS region, count(*) AS n FROM nation GROUP BY 1 HAVING count(*) > 4")
+def sql_create(spark, d):
+    """A block from a query, then a query over that block."""
+    made = sql.create_block(spark, {"nation": load(spark, d, "nation")}, "SELECT n_regionkey AS region, COUNT(*) AS n FROM nation GROUP BY region", "regions")
+    return sql.run_sql(spark, {made.name: made.frame}, 'SELECT * FROM "regions" WHERE n > 4')
