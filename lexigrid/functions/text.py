@@ -10,10 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Marks match edges inside a text; the same character in a text is read as a space.
-MARK = "\x1f"
-
-
 def trim(text: Column) -> Column:
     """Without Unicode white space at either end."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -65,6 +61,12 @@ def matches(text: Column, pattern: str) -> Column:
 _ARROW_MATCHES = pa.list_(pa.struct([("value", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
+def gaps_and_matches(text: Column, pattern: str) -> Column:
+    """What lies between the matches and the matches in turn; joined, they are the text again."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.flatten(F.zip_with(F.split(text, pattern, -1), found, lambda gap, match: F.array_compact(F.array(gap, match))))
+
+
 def natural_key(label: Column) -> Column:
     """Sorts as people do: case folded, digit runs as numbers of up to 30 digits."""
     padded = F.regexp_replace(F.lower(label), r"([0-9]+)", "000000000000000000000000000000$1")

@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.functions.text import MARK, literal, trim, unicode_pattern
+from lexigrid.functions.text import gaps_and_matches, literal, trim, unicode_pattern
 
 # What the cleaners remove or decode.
 URL = r"(?i)\b(?:https?://|www\.)\S+"
-HTML_TAG = r"(?s)<!--.*?-->|<[/!a-zA-Z][^>]*>"
+HTML_TAG = r"<[^>]+>"
+XML_MARKUP = (
+    r"<\?[\s\S]*?\?>",
+    r"<!--[\s\S]*?-->",
+    r"<!DOCTYPE[^>\[]*(?:\[[\s\S]*?\])?\s*>",
+    r"<!\[CDATA\[|\]\]>",
+    r"</?[A-Za-z_][\w.:-]*(?:\s+(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)?/?>",
+)
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 
 
 def _title(text: Column) -> Column:
     """Each word's first letter in upper case, the rest in lower: ``it's`` gives ``It's``."""
-    words = F.split(F.regexp_replace(text, r"(?U)(\s)(?=\S)", f"$1{MARK}"), MARK, -1)
+    words = F.regexp_extract_all(text, F.lit(r"(?U)\s+|\S+"), F.lit(0))
     return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.length(w))))), "")
 
 
 def _without_xml(text: Column) -> Column:
-    out = F.regexp_replace(text, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->|<\?.*?\?>|</?[\p{L}_:][^<>]*>", "")
+    out = F.regexp_replace(text, "|".join(XML_MARKUP), "")
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     return out
@@ -107,8 +113,7 @@ def split(df: DataFrame, name: str, delimiters: list[str], names: list[str], fro
         raise ValueError("2 to 50 parts, 1 to 20 delimiters")
     any_of = "|".join(literal(d) for d in sorted(delimiters, key=lambda d: -len(d)))
     # pieces and delimiters in turn, so that the rest keeps its own delimiters
-    marked = F.regexp_replace(F.translate(df[f"`{name}`"], MARK, " "), any_of, f"{MARK}$0{MARK}")
-    parts = F.split(marked, MARK, -1)
+    parts = gaps_and_matches(df[f"`{name}`"], any_of)
     n = len(names)
     size = F.size(parts)
     if from_right:
@@ -166,7 +171,7 @@ def replace(df: DataFrame, name: str, pattern: str, new: str, regex: bool = Fals
     if limit is None:
         value = F.regexp_replace(text, whole, target) if regex else F.replace(text, F.lit(pattern), F.lit(new))
     else:  # pieces and matches in turn; the first matches are replaced one by one
-        parts = F.split(F.regexp_replace(F.translate(text, MARK, " "), whole, f"{MARK}$0{MARK}"), MARK, -1)
+        parts = gaps_and_matches(text, whole)
         value = F.array_join(F.transform(parts, lambda p, i: F.when((i % 2 == 1) & (i < 2 * limit), F.regexp_replace(p, f"^(?:{whole})$", target)).otherwise(p)), "")
     return _store(df, name, value, into)
 

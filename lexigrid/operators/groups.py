@@ -162,8 +162,11 @@ def changed_rows(before: DataFrame, after: DataFrame, ordinal: str, column: str)
 
 
 def split_groups(df: DataFrame, label: Column, most: int = 50) -> DataFrame:
-    """Group sizes by label, largest first; splitting takes at most ``most`` of them."""
-    return df.groupBy(label.alias("group")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("group")).limit(most)
+    """Group sizes by label, largest first; more than ``most`` groups are refused."""
+    sizes = df.groupBy(label.alias("group")).agg(F.count("*").alias("n"))
+    if sizes.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} groups")
+    return sizes.orderBy(F.desc("n"), F.asc_nulls_last("group"))
 
 
 def number_interval(column: Column, origin: float, width: float) -> Column:

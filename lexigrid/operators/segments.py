@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.functions.text import MARK, trim, unicode_pattern
+from lexigrid.functions.text import trim, unicode_pattern
 
-#: Between pieces: a sentence ends at marks before white space; a paragraph at a blank line.
-EDGES = {"sentence": r"(?U)(?<=[.!?…。！？])[\"'”’)\]]*\s+|(?<=[。！？])", "paragraph": r"\r?\n[ \t]*(?:\r?\n[ \t]*)+", "line": r"\r?\n|\r"}
+# What ends a sentence, with the closing marks that stay with it.
+SENTENCE_END = r"[.!?\u2026]+[\"'\u201d\u2019)\]]*"
+#: Between paragraphs a blank line, between lines a line end.
+EDGES = {"paragraph": r"\r?\n[ \t]*(?:\r?\n[ \t]*)+", "line": r"\r?\n|\r"}
 
 
 def _pieces(df: DataFrame, column: str, parts) -> DataFrame:
@@ -21,7 +23,13 @@ def segment(df: DataFrame, column: str, unit: str) -> DataFrame:
     """Pieces are trimmed, blank ones dropped, and numbered from 1 in each row (``segment``)."""
     if "segment" in df.columns:
         raise ValueError("column 'segment' exists")
-    return _pieces(df, column, F.split(F.col(column), EDGES[unit], -1))
+    text = F.col(column)
+    if unit != "sentence":
+        return _pieces(df, column, F.split(text, EDGES[unit], -1))
+    # each end goes back behind the piece it closes
+    edge = rf"(?U){SENTENCE_END}\s+"
+    ends = F.concat(F.regexp_extract_all(text, F.lit(edge), F.lit(0)), F.array(F.lit("")))
+    return _pieces(df, column, F.zip_with(F.split(text, edge, -1), ends, lambda piece, end: F.concat(piece, end)))
 
 
 def segment_pattern(df: DataFrame, column: str, pattern: str, lead_column: str | None = None) -> DataFrame:
@@ -30,11 +38,9 @@ def segment_pattern(df: DataFrame, column: str, pattern: str, lead_column: str |
     The match goes to ``lead_column``, without trailing colons, or is dropped.
     """
     found = unicode_pattern(pattern)
-    marked = F.regexp_replace(F.translate(F.col(column), MARK + "\x1e", "  "), f"(?:{found})", f"{MARK}$0\x1e")
-    parts = F.transform(F.split(marked, MARK, -1), lambda p: F.struct(
-        F.when(p.contains("\x1e"), trim(F.regexp_replace(F.substring_index(p, "\x1e", 1), r"[:\s]+$", ""))).alias("lead"),
-        trim(F.when(p.contains("\x1e"), F.substring_index(p, "\x1e", -1)).otherwise(p)).alias("piece"),
-    ))
+    leads = F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(F.col(column), F.lit(found), F.lit(0)))
+    shown = lambda lead: trim(F.regexp_replace(lead, r"[:\s]+$", ""))
+    parts = F.zip_with(F.split(F.col(column), found, -1), leads, lambda piece, lead: F.struct(shown(lead).alias("lead"), trim(piece).alias("piece")))
     kept = F.filter(parts, lambda p: p["piece"] != "")
     rows = df.select("*", F.posexplode(kept).alias("__at", "__p"))
     rows = rows.withColumn(column, F.col("__p.piece")).withColumn("segment", (F.col("__at") + 1).cast("bigint"))

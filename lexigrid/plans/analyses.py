@@ -424,9 +424,11 @@ def topic_segment_lengths(spark, d):
     return df.agg(*topics.segment_lengths("n"))
 
 
-@query("topic_vectorizer_choice", "SELECT cast(0 AS double) AS share, false AS dictionary")
+@query("topic_vectorizer_choice", r"SELECT n / c AS share, n / c >= 0.2 AS dictionary FROM (SELECT cast(sum(len(regexp_extract_all(text, '[\p{Han}\p{Hiragana}\p{Katakana}]'))) AS double) AS n, sum(len(regexp_extract_all(text, '\p{L}'))) AS c FROM (SELECT text FROM documents UNION ALL SELECT repeat('漢字かなカナ', 5) FROM documents))")
 def topic_vectorizer_choice(spark, d):
-    return topics.unspaced_share(load(spark, d, "documents"), "text")
+    """Documents, and for each of them thirty characters of a script without spaces."""
+    docs = load(spark, d, "documents").select("text")
+    return topics.unspaced_share(docs.union(docs.select(F.repeat(F.lit("漢字かなカナ"), 5))), "text")
 
 
 @query("topic_add_topics", "SELECT conv_id AS doc, len(role) AS topic_id, string_agg(text, chr(10) ORDER BY turn) AS text, cast(sum(length(text)) AS bigint) AS characters, count(*) AS segments FROM conversations GROUP BY 1, 2")

@@ -92,11 +92,12 @@ for _op, _sign in (("eq", "="), ("ne", "<>"), ("gt", ">"), ("gte", ">="), ("lt",
 _filter("f_eq_text", "customer", ["c_custkey"], [Condition("c_mktsegment", "eq", "BUILDING")], "c_mktsegment = 'BUILDING'")
 _filter("f_lte_day", "events", ["event_id"], [Condition("ts", "lte", "2024-01-15")], "ts < TIMESTAMP '2024-01-16'")
 _filter("f_in", "nation", ["n_name"], [Condition("n_regionkey", "in", [1, 3])], "n_regionkey IN (1, 3)")
-_filter("f_contains", "part", ["p_partkey", "p_type"], [Condition("p_type", "contains", "BRASS")], "contains(lower(p_type), 'brass')")
+_filter("f_contains", "part", ["p_partkey", "p_type"], [Condition("p_type", "contains", "CONOM")], "contains(lower(p_type), 'conom')")
 _filter("f_contains_regex", "documents", ["doc_id"], [Condition("text", "contains", r"licen[sc]ed? under", regex=True)], r"regexp_matches(text, '(?i)licen[sc]ed? under')")
 _filter("f_starts_with", "documents", ["doc_id"], [Condition("text", "starts_with", "Th")], "starts_with(text, 'Th')")
 _filter("f_ends_with", "documents", ["doc_id"], [Condition("text", "ends_with", ".")], "ends_with(text, '.')")
-_filter("f_is_null", "documents", ["doc_id"], [Condition("text", "is_null")], "text IS NULL OR trim(text) = ''")
+QUERIES["f_is_null"] = lambda spark, d: filters.filter_rows(load(spark, d, "documents").select("doc_id", F.nullif(F.replace("lang", F.lit("de"), F.lit(" ")), F.lit("fr")).alias("lang")), [Condition("lang", "is_null")]).select("doc_id")
+ORACLE_SQL["f_is_null"] = "SELECT doc_id FROM documents WHERE lang IN ('de', 'fr')"
 _filter("f_is_not_null", "documents", ["doc_id"], [Condition("lang", "is_not_null")], "lang IS NOT NULL AND trim(lang) <> ''")
 _filter("f_between", "orders", ["o_orderkey"], [Condition("o_totalprice", "between", (1000, 50000))], "o_totalprice BETWEEN 1000 AND 50000")
 _filter("f_between_days", "events", ["event_id"], [Condition("ts", "between", ("2024-01-05", "2024-01-09"))], "ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-10'")
@@ -188,7 +189,11 @@ def segment_line(spark, d):
     return segments.segment(load(spark, d, "documents").select("doc_id", "text"), "text", "line").select("doc_id", "segment", "text")
 
 
-@query("segment_sentence")
+# chr(1) is in no document, so it can stand for the edges in SQL
+_SENTENCES = r"string_split(regexp_replace(text, '([.!?…]+[\"''”’)\]]*)\s+', '\1' || chr(1), 'g'), chr(1))"
+
+
+@query("segment_sentence", f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS segment, t AS text FROM (SELECT doc_id, trim(unnest(p), chr(10) || chr(13) || chr(9) || ' ') AS t, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, {_SENTENCES} AS p FROM documents)) WHERE t <> ''")
 def segment_sentence(spark, d):
     return segments.segment(load(spark, d, "documents").select("doc_id", "text"), "text", "sentence")
 
@@ -198,7 +203,7 @@ def segment_paragraph(spark, d):
     return segments.segment(load(spark, d, "documents").select("doc_id", "text"), "text", "paragraph").select("doc_id", "segment", "text")
 
 
-@query("segment_pattern")
+@query("segment_pattern", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS segment, role AS lead, trim(text, chr(10) || ' ') AS text FROM conversations WHERE trim(text) <> ''")
 def segment_pattern(spark, d):
     turns = load(spark, d, "conversations").groupBy("conv_id").agg(F.expr("listagg(concat(role, ': ', text), '\n') within group (order by turn)").alias("text"))
     return segments.segment_pattern(turns, "text", r"(?m)^(?:user|assistant|system):", "lead")
@@ -287,14 +292,14 @@ def changed_rows(spark, d):
     return groups.changed_rows(before, edits.clean(before, "c_mktsegment", "lowercase"), "c_custkey", "c_mktsegment")
 
 
-@query("split_by_group", "SELECT cast(floor((p_retailprice - 900) / 50) AS bigint) AS \"group\", count(*) AS n FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+@query("split_by_group", "SELECT cast(floor((p_retailprice - 900) / 50) AS bigint) AS \"group\", count(*) AS n FROM part GROUP BY 1 ORDER BY 2 DESC, 1")
 def split_by_group(spark, d):
     return groups.split_groups(load(spark, d, "part"), groups.number_interval(F.col("p_retailprice"), 900, 50))
 
 
-@query("split_by_month", "SELECT strftime(o_orderdate, '%Y-%m') AS \"group\", count(*) AS n FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+@query("split_by_month", "SELECT strftime(o_orderdate, '%m') AS \"group\", count(*) AS n FROM orders GROUP BY 1")
 def split_by_month(spark, d):
-    return groups.split_groups(load(spark, d, "orders"), F.date_format("o_orderdate", "yyyy-MM"))
+    return groups.split_groups(load(spark, d, "orders"), F.date_format("o_orderdate", "MM"))
 
 
 @query("expr_group_by_agg", "SELECT o_orderstatus AS status, year(o_orderdate) AS y, count(o_orderkey) AS n, min(o_totalprice) AS low, max(o_totalprice) AS high, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1, 2")
@@ -376,8 +381,11 @@ _edit("e_clean_title_case", "part", ["p_partkey", "p_type"], lambda df: edits.cl
 _edit("e_clean_remove_punctuation", "documents", _DOC, lambda df: edits.clean(df, "text", "remove_punctuation"), r"doc_id, regexp_replace(text, '[\p{P}\p{S}]', '', 'g') AS text")
 _edit("e_clean_remove_digits", "documents", _DOC, lambda df: edits.clean(df, "text", "remove_digits"), r"doc_id, regexp_replace(text, '[0-9]', '', 'g') AS text")
 _edit("e_clean_remove_urls", "pages", ["page_id", "url"], lambda df: edits.clean(df, "url", "remove_urls"), r"page_id, regexp_replace(url, '(?i)\b(?:https?://|www\.)\S+', '', 'g') AS url")
-_edit("e_clean_remove_html_tags", "pages", ["page_id", "html"], lambda df: edits.clean(df, "html", "remove_html_tags"), r"page_id, regexp_replace(html, '(?s)<!--.*?-->|<[/!a-zA-Z][^>]*>', '', 'g') AS html")
-QUERIES["e_clean_remove_xml_tags"] = lambda spark, d: edits.clean(load(spark, d, "pages").select("page_id", "html"), "html", "remove_xml_tags")
+_edit("e_clean_remove_html_tags", "pages", ["page_id", "html"], lambda df: edits.clean(df, "html", "remove_html_tags"), r"page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS html")
+_XML = "regexp_replace(html, '" + "|".join(edits.XML_MARKUP).replace("'", "''") + "', '', 'g')"
+for _entity, _char in edits.ENTITIES:
+    _XML = f"replace({_XML}, '{_entity}', chr({ord(_char)}))"
+_edit("e_clean_remove_xml_tags", "pages", ["page_id", "html"], lambda df: edits.clean(df, "html", "remove_xml_tags"), f"page_id, {_XML} AS html")
 _edit("e_split", "customer", ["c_custkey", "c_name"], lambda df: edits.split(df, "c_name", ["#"], ["a", "b"]), "c_custkey, c_name, split_part(c_name, '#', 1) AS a, CASE WHEN contains(c_name, '#') THEN substr(c_name, instr(c_name, '#') + 1) END AS b")
 _edit("e_count_words", "documents", _DOC, lambda df: edits.count_column(df, "text", "words", "n").drop("text"), r"doc_id, len(regexp_extract_all(text, '\S+')) AS n")
 _edit("e_count_characters", "documents", _DOC, lambda df: edits.count_column(df, "text", "characters", "n").drop("text"), "doc_id, length(text) AS n")
