@@ -22,14 +22,15 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near-duplicates.
 
-    Shingles of five words and a similarity of 0.8: fingerprints of 256 bits,
-    whose distance tells the similarity to a few hundredths and leaves unrelated
-    texts far apart. The radius is that of 0.75, so that the spread of the
-    estimate costs few pairs of 0.8. Rows with a null doc_id stay, as no other
-    row can be told from them; of rows that repeat a doc_id all stay or go.
+    Shingles of five words and a similarity of 0.8: fingerprints of 256 bits
+    give the candidates, with a radius three deviations beyond the distance of
+    two texts of just that similarity, and the sets of shingles decide. Rows with
+    a null doc_id stay, as no other row can be told from them; of rows that
+    repeat a doc_id all stay or go. Texts without words are one group; an empty
+    table gives an empty one.
     """
-    lanes = 4
-    found = simhash.near_duplicates(docs, words_per_shingle=5, lanes=lanes, radius=simhash.radius_for(0.75, 64 * lanes))
+    lanes, similarity = 4, 0.8
+    found = simhash.near_duplicates(docs, words_per_shingle=5, lanes=lanes, radius=simhash.radius_for(similarity, 64 * lanes), similarity=similarity)
     stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
 
@@ -42,16 +43,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars is that of the new text."""
-    found = pii.redact(pii.find_pii(docs, pii.train(docs)))
+    found = pii.find_pii(docs, pii.train(docs), redact=True)
     return found.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document, and whether they decode to its text."""
-    path = bpe.rank_file(spark)
-    coded = bpe.decode(bpe.encode(docs, path), path)
+    """The token ids of every document, where each ends, and whether they decode to its text."""
+    coded = bpe.encode(docs.select(*COLUMNS), bpe.rank_file(spark), decoded=True)
     exact = F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary"), F.lit(False))
-    return coded.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("bigint").alias("n_tokens"), exact.alias("round_trip"))
+    return coded.select("doc_id", "lang", "source", "n_chars", "ids", "ends", F.size("ids").cast("bigint").alias("n_tokens"), exact.alias("round_trip"))
 
 
 STAGES = [
