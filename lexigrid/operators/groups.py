@@ -135,7 +135,7 @@ def corpus_overview(df: DataFrame, text: str) -> DataFrame:
     return df.agg(
         F.count("*").alias("documents"),
         F.count_if(~full).alias("empty"),
-        (F.count_if(full) - F.count_distinct(F.when(full, t))).alias("duplicates"),
+        (F.count_if(full) - F.count_distinct(F.when(full, F.md5(t.cast("binary"))))).alias("duplicates"),
         F.lit(unit).alias("unit"),
         F.coalesce(F.sum(size), F.lit(0)).alias("total"),
         F.min(size).alias("shortest"),

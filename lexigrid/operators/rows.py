@@ -5,15 +5,19 @@ A block's order is a column (its ordinal), never the order of partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrid.operators.order import numbered
+
 JOINS = ("inner", "left", "right", "full", "semi", "anti", "cross")
 
 
 def slice_rows(df: DataFrame, ordinal: str, offset: int = 0, length: int | None = None) -> DataFrame:
-    out = df.orderBy(ordinal).offset(offset)
-    return out if length is None else out.limit(length)
+    """Rows by their place in the order, from ``offset`` on; at most ``length`` of them."""
+    last = F.lit(True) if length is None else F.col("__place") < offset + length
+    chosen = numbered(df.select(ordinal), [F.col(ordinal)], "__place").where((F.col("__place") >= offset) & last)
+    return df.join(chosen.select(ordinal), ordinal, "left_semi").orderBy(ordinal)
 
 
 def _dealt(ordinal: str, seed: int) -> Column:
@@ -25,7 +29,9 @@ def sample(df: DataFrame, ordinal: str, size: float, seed: int) -> DataFrame:
     if size <= 0 or size >= 1 and size != int(size):
         raise ValueError("a fraction below 1, or a whole number")
     n = int(size) if size >= 1 else int(df.count() * size)
-    return df.orderBy(_dealt(ordinal, seed), ordinal).limit(n)
+    dealt = [_dealt(ordinal, seed), F.col(ordinal)]
+    chosen = numbered(df.select(ordinal), dealt, "__place").where(F.col("__place") < n)
+    return df.join(chosen.select(ordinal), ordinal, "left_semi").orderBy(*dealt)
 
 
 def shuffle(df: DataFrame, ordinal: str, seed: int) -> DataFrame:
@@ -107,7 +113,8 @@ def duplicate_groups(df: DataFrame, ordinal: str, keys: list[Column]) -> DataFra
     """Rows of groups larger than one, with duplicate_group (by first appearance) and kept."""
     named = df.select("*", F.struct(*keys).alias("__key"))
     groups = named.groupBy("__key").agg(F.count("*").alias("n"), F.min(ordinal).alias("__first")).where("n > 1").drop("n")
-    # numbering needs one order over groups, which are few beside rows
-    numbered = groups.withColumn("duplicate_group", F.dense_rank().over(Window.orderBy("__first")).cast("bigint"))
-    joined = named.join(numbered, named["__key"].eqNullSafe(numbered["__key"])).drop("__key")
+    # a group's first ordinal is its own, so it names the group
+    places = numbered(groups.select("__first"), [F.col("__first")], "__place").select("__first", (F.col("__place") + 1).alias("duplicate_group"))
+    placed = groups.join(places, "__first")
+    joined = named.join(placed, named["__key"].eqNullSafe(placed["__key"])).drop("__key")
     return joined.withColumn("kept", F.col(ordinal) == F.col("__first")).drop("__first").orderBy("duplicate_group", ordinal)

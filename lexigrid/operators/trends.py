@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrid.operators.order import numbered
+
 UNITS = {"second": "second", "minute": "minute", "hourly": "hour", "daily": "day", "weekly": "week", "monthly": "month", "quarterly": "quarter", "yearly": "year"}
 SECONDS = {"seconds": 1, "minutes": 60, "hours": 3600, "days": 86_400, "weeks": 604_800}
 
@@ -64,9 +68,14 @@ def counts(df: DataFrame, axis: Column, at: Column, groups: list[str]) -> DataFr
         raise ValueError("3 groups at most")
     rows = df.select(at.alias("period"), axis.alias("__axis"), *(f"`{g}`" for g in groups)).where("period is not null")
     grouped = rows.groupBy("period", *groups).agg(F.count("*").alias("sequential_count"), F.min("__axis").alias("period_start"), F.max("__axis").alias("period_end"))
-    dense = lambda *keys: (F.dense_rank().over(Window.orderBy(*(F.asc_nulls_last(k) for k in keys))) - 1).cast("bigint")
-    index = dense(*groups) if groups else F.lit(0).cast("bigint")
-    return grouped.withColumn("period_index", dense("period")).withColumn("group_index", index)
+    out = grouped
+    for keys, name in ((["period"], "period_index"), (groups, "group_index")):
+        if not keys:
+            out = out.withColumn(name, F.lit(0).cast("bigint"))
+            continue
+        places = numbered(grouped.select(*keys).distinct(), [F.asc_nulls_last(k) for k in keys], name).withColumnsRenamed({k: f"__{k}" for k in keys})
+        out = out.join(places, reduce(lambda a, b: a & b, (out[k].eqNullSafe(places[f"__{k}"]) for k in keys))).drop(*(f"__{k}" for k in keys))
+    return out
 
 
 def publication(df: DataFrame, at: Column, groups: list[str], counted: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrid.functions.shared import shared_folder
 from lexigrid.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,9 +16,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new folder in the one the cluster names in ``spark.checkpoint.dir``; a temporary one where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lexigrid-")
-    return f"{named}/{name}-{uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
 
 
 def query(name: str, oracle: str):
