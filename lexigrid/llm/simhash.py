@@ -19,7 +19,7 @@ SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
 #: A tile is meant for at least and at most so many fingerprints, and in between grows with their number. They are dealt by hash, so it can hold more.
 TILE_MIN, TILE_MAX, TILES_WANTED = 4096, 65536, 64
 #: Texts in a block whose similarity is confirmed.
-BLOCK = 1024
+BLOCK = 256
 
 
 def radius_for(similarity: float, bits: int, deviations: float = 3.0) -> int:
