@@ -75,3 +75,39 @@ def scan_text_lines(spark, d):
     text = F.replace("text", F.lit("\r"), F.lit(""))
     spark.read.parquet(f"{d}/benchmark.parquet").where("text <> ''").select(text.alias("text")).write.text(path)
     return tables.read_lines(spark, path).where("text <> ''")
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as JSON documents, one on a line, their turns two levels down."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet")
+    one = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", F.struct("role").alias("by")))).alias("turns"))
+    return one.select(F.to_json(F.struct("conv_id", F.lit("chat").alias("kind"), F.struct("turns").alias("log"))).alias("value"))
+
+
+@query("scan_json", "SELECT conv_id, 'chat' AS kind, turn, text, '{\"role\": \"' || role || '\"}' AS \"by\" FROM conversations")
+def scan_json(spark, d):
+    path = place(spark, "scan_json")
+    _turns(spark, d).write.text(path)
+    found, _ = tables.read_json_records(spark, path)
+    return found.select("conv_id", "kind", "turn", "text", "by")
+
+
+@query("json_flatten_rules", "SELECT n_nationkey + 0.5 AS mixed, CASE WHEN n_nationkey % 2 = 0 THEN cast(n_nationkey AS varchar) ELSE n_name END AS either, '9223372036854775808' AS big, [n_name, 'x'] IS NOT NULL AS flag, '[\"' || n_name || '\", null]' AS list FROM nation")
+def json_flatten_rules(spark, d):
+    """Numbers with whole ones among them, numbers and text, too large numbers, flags and nested values."""
+    path = place(spark, "json_flatten_rules")
+    nation = spark.read.parquet(f"{d}/nation.parquet")
+    line = """'{"mixed": ' || (n_nationkey + 0.5) || ', "either": ' || if(n_nationkey % 2 = 0, string(n_nationkey), '"' || n_name || '"') || ', "big": 9223372036854775808, "flag": true, "list": ["' || n_name || '", null]}'"""
+    nation.select(F.expr(line).alias("value")).union(spark.createDataFrame([('{"mixed": 1}',)], "value string")).write.text(path)
+    found, _ = tables.read_json_records(spark, path, "")
+    return found.where("big is not null").select("mixed", "either", "big", "flag", "list")
+
+
+@query("scan_json_batch", "SELECT count(*) AS records, 1 AS skipped, count(DISTINCT conv_id) AS conversations FROM conversations")
+def scan_json_batch(spark, d):
+    """Many files and one that is no JSON."""
+    path = place(spark, "scan_json_batch")
+    _turns(spark, d).repartition(6).write.text(path)
+    spark.createDataFrame([("{not json",)], "value string").coalesce(1).write.mode("append").text(path)
+    found, skipped = tables.read_json_records(spark, path)
+    return found.agg(F.count("*").alias("records"), F.count_distinct("conv_id").alias("conversations")).crossJoin(skipped.agg(F.count("*").cast("int").alias("skipped"))).select("records", "skipped", "conversations")
