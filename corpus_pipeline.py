@@ -13,10 +13,23 @@ from lexigrid.llm.common import shared_folder, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """docs with every column but text under a name that no operator gives, so that columns of its own stay as they are."""
+    return docs.select(*(F.col(f"`{c}`").alias("text" if c == "text" else f"__own_{i}") for i, c in enumerate(docs.columns)))
+
+
+def _back(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, under their names."""
+    return found.select(*(F.col("text" if c == "text" else f"__own_{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is not rejected; those without a letter, null ones too, go."""
-    model = langid.train(docs)
-    return langid.identify(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    """Documents whose language is not rejected; those without a letter, null ones too, go.
+
+    The model learns from the text and lang of docs. Rows that repeat stay or go
+    together; without any lang to learn, and in an empty table, none stays.
+    """
+    return _back(langid.identify(_aside(docs), langid.train(docs)).where(~F.col("rejected")), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,19 +49,30 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where("n_hit = 0").select(*docs.columns)
+    """Documents without a passage of the benchmark; null and empty texts have none.
+
+    Rows that repeat stay or go together; an empty table stays empty.
+    """
+    found = decontaminate.find_contamination(_aside(docs), table(spark, sf_dir, "benchmark"))
+    return _back(found.where("n_hit = 0"), docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars is that of the new text."""
-    found = pii.find_pii(docs, pii.train(docs), redact=True)
-    return found.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    """All documents, personal data replaced by its kind; n_chars is that of the new text.
+
+    Null texts stay null, with a null n_chars; repeated rows are redacted alike;
+    an empty table stays empty.
+    """
+    found = _back(pii.find_pii(_aside(docs), pii.train(docs), redact=True), docs)
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document, where each ends, and whether they decode to its text."""
+    """The token ids of every document, where each ends, and whether they decode to its text.
+
+    Null and empty texts have no ids. Columns of docs that documents has not are
+    left out, whatever their names; an empty table gives an empty one.
+    """
     coded = bpe.encode(docs.select(*COLUMNS), bpe.rank_file(spark), decoded=True)
     exact = F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary"), F.lit(False))
     return coded.select("doc_id", "lang", "source", "n_chars", "ids", "ends", F.size("ids").cast("bigint").alias("n_tokens"), exact.alias("round_trip"))
