@@ -420,3 +420,28 @@ modification, are permitted provided that the following conditions are met:
     said = {r.name: r.licenses for r in found}
     assert said.pop("full") == ["GPL-3.0"] and said.pop("BSD-3-Clause") == ["BSD-3-Clause", "BSD-2-Clause"]
     assert said == {name: [name] for name in said}
+
+
+def test_pipeline_stages_on_odd_tables(spark, tiny):
+    """Nulls, repeated rows, columns named like what operators add, and no rows at all."""
+    import corpus_pipeline
+
+    odd = ("rejected", "n_hit", "base", "added", "lang_pred", "score", "hits", "fp", "k", "t", "ids", "decoded")
+    real = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{tiny}/documents.parquet").limit(40).collect()]
+    extra = [(None, real[0][1], "en", None, None), (900, None, None, None, None), (901, "", "en", "s", 0), real[1], real[1]]
+    shape = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in odd)
+    docs = spark.createDataFrame([(*r, *(f"own {c}" for c in odd)) for r in [*real, *extra]], shape).cache()
+    for rows in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            found = stage(spark, rows, tiny)
+            assert found.columns == docs.columns
+            kept = found.collect()
+            assert all(r[c] == f"own {c}" for r in kept for c in odd)
+            assert kept or name == "language_id" or not rows.take(1)
+            if name == "pii":
+                assert len(kept) == rows.count()
+            if name == "near_dedup" and kept:
+                assert sum(r.doc_id == real[1][0] for r in kept) in (0, 3) and any(r.doc_id is None for r in kept)
+        last = corpus_pipeline.STAGES[-1][1](spark, rows, tiny)
+        assert last.columns == ["doc_id", "lang", "source", "n_chars", "ids", "ends", "n_tokens", "round_trip"]
+        assert last.count() == rows.count() and last.where("not round_trip").count() == 0
