@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +17,22 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+#: Tokenizers by name, each from a text to an array of tokens; one's own are added here.
+TOKENIZERS: dict[str, Callable[[Column], Column]] = {
+    "words": words,
+    "whitespace": lambda text: F.filter(F.split(text, r"(?U)\s+"), lambda t: t != ""),
+    "characters": lambda text: F.regexp_extract_all(text, F.lit(r"(?U)\S"), F.lit(0)),
+}
+
+
 def tokenize(text: Column) -> Column:
     """Array of (token, start, end); places are code points of the text."""
     return F.transform(matches(text, WORD), lambda m: F.struct(F.lower(m["value"]).alias("token"), m["start"].cast("bigint").alias("start"), m["end"].cast("bigint").alias("end")))
 
 
-def token_frequency(df: DataFrame, text: str) -> DataFrame:
-    """(token, frequency, per_million), the most frequent first."""
-    counts = df.select(F.explode(words(F.col(text))).alias("token")).groupBy("token").agg(F.count("*").alias("frequency"))
+def token_frequency(df: DataFrame, text: str, tokenizer: str = "words") -> DataFrame:
+    """(token, frequency, per_million), the most frequent first; tokenizer: a name in TOKENIZERS."""
+    counts = df.select(F.explode(TOKENIZERS[tokenizer](F.col(text))).alias("token")).groupBy("token").agg(F.count("*").alias("frequency"))
     total = counts.agg(F.sum("frequency").alias("all_tokens"))  # one row
     per_million = F.round(F.col("frequency") / F.col("all_tokens") * 1_000_000).cast("bigint")
     return counts.crossJoin(F.broadcast(total)).select("token", "frequency", per_million.alias("per_million")).orderBy(F.desc("frequency"), "token")

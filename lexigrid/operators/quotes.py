@@ -22,10 +22,10 @@ QUOTE = r"[\"“«][^\"“”«»]{2,}[\"”»]"
 def find_quotes(df: DataFrame, text: str) -> DataFrame:
     """df with quotes: (quote, quote_start, quote_end, speaker, verb, quote_type); rows without any are dropped.
 
-    Each distinct text is worked through once and joined back.
+    Rows are worked through where they are: that costs less than to bring equal
+    texts together and their quotations back.
     """
-    once = df.select(F.col(text).alias("__t")).where(F.rlike(F.col("__t"), F.lit(QUOTE))).distinct()
-    t = F.col("__t")
+    t = F.col(text)
     after = lambda m: t.substr(m["end"] + 1, F.lit(80))
     before = lambda m: F.substring(t, F.greatest(m["start"] - 80, F.lit(0)) + 1, F.least(m["start"], F.lit(80)))
     qvs, qsv = rf"^[,.]?\s*({_VERB})\s+({_NAME})", rf"^[,.]?\s*({_NAME})\s+({_VERB})"
@@ -44,8 +44,8 @@ def find_quotes(df: DataFrame, text: str) -> DataFrame:
             pick(lambda k, c, p, s, v: F.lit(k), "Heuristic").alias("quote_type"),
         )
 
-    found = once.withColumn("quotes", F.transform(matches(t, QUOTE), quote)).where(F.size("quotes") > 0)
-    return df.join(found, df[text] == found["__t"]).drop("__t")
+    found = df.where(F.rlike(t, F.lit(QUOTE))).withColumn("__m", matches(t, QUOTE)).where(F.size("__m") > 0)
+    return found.withColumn("quotes", F.transform("__m", quote)).drop("__m")
 
 
 def quote_rows(result: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrid.operators.groups import merge_orders
 from lexigrid.operators.order import numbered
 
 JOINS = ("inner", "left", "right", "full", "semi", "anti", "cross")
@@ -40,7 +41,10 @@ def shuffle(df: DataFrame, ordinal: str, seed: int) -> DataFrame:
 
 
 def stack(blocks: list[DataFrame]) -> DataFrame:
-    """Rows of all blocks in the first one's column order; names and types must be the same."""
+    """Rows of all blocks in the first one's column order; names and types must be the same.
+
+    The orders of a category's labels are merged into one.
+    """
     first = blocks[0]
     for other in blocks[1:]:
         if dict(first.dtypes) != dict(other.dtypes):
@@ -48,6 +52,10 @@ def stack(blocks: list[DataFrame]) -> DataFrame:
     out = first
     for other in blocks[1:]:
         out = out.unionByName(other)
+    for name in first.columns:
+        orders = [o for b in blocks if (o := b.schema[name].metadata.get("category_order"))]
+        if orders:
+            out = out.withMetadata(name, {"category_order": merge_orders(orders)})
     return out
 
 

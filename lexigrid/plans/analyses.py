@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrid.operators import agreement, annotations, filters, frequency, kwic, quotes, topics, trends
+from lexigrid.operators import agreement, annotations, filters, frequency, kwic, pages, quotes, topics, trends
 from lexigrid.operators.filters import Condition
 from lexigrid.streaming import trends as streaming
 
@@ -57,6 +58,15 @@ def token_frequency(spark, d):
     return frequency.token_frequency(load(spark, d, "documents"), "text").select("token", "frequency")
 
 
+@query("tokenizer_models", r"SELECT 'whitespace' AS model, token, count(*) AS frequency FROM (SELECT unnest(regexp_extract_all(text, '\S+')) AS token FROM benchmark) GROUP BY ALL UNION ALL SELECT 'characters', token, count(*) FROM (SELECT unnest(regexp_extract_all(text, '\S')) AS token FROM benchmark) GROUP BY ALL UNION ALL SELECT 'initials', token, count(*) FROM (SELECT substr(unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')), 1, 1) AS token FROM benchmark) GROUP BY ALL")
+def tokenizer_models(spark, d):
+    """Two tokenizers that come with the library, and one that is plugged in."""
+    frequency.TOKENIZERS["initials"] = lambda text: F.transform(frequency.words(text), lambda w: F.substring(w, 1, 1))
+    names = ("whitespace", "characters", "initials")
+    parts = [frequency.token_frequency(load(spark, d, "benchmark"), "text", n).select(F.lit(n).alias("model"), "token", "frequency") for n in names]
+    return reduce(DataFrame.union, parts)
+
+
 @query("token_counts", f"SELECT lang, token, count(*) AS frequency FROM (SELECT lang, unnest({_WORDS}) AS token FROM documents) GROUP BY ALL")
 def token_counts(spark, d):
     return load(spark, d, "documents").select("lang", F.explode(frequency.words(F.col("text"))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("frequency"))
@@ -208,6 +218,14 @@ ORACLE_SQL["density_bins"] = ORACLE_SQL["kwic_density"]
 QUERIES["density_bins"] = kwic_density
 
 
+@query("page_size_probe", f"WITH {_PARTS}, n AS (SELECT doc_id, count(*) AS c FROM w GROUP BY 1), r AS (SELECT doc_id, sum(coalesce(c, 0)) OVER (ORDER BY doc_id) AS s, row_number() OVER (ORDER BY doc_id) AS k FROM documents LEFT JOIN n USING (doc_id)) SELECT cast(coalesce(min(size) FILTER (s >= 10), 100) AS bigint) AS size FROM r, (VALUES (10), (20), (50), (100)) v(size) WHERE k = size")
+def page_size_probe(spark, d):
+    docs = load(spark, d, "documents").select("doc_id")
+    found = _hits(spark, d, contexts=False).select("doc_id", F.size("hits").alias("n"))
+    counted = docs.join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
+    return spark.createDataFrame([(pages.page_size_probe(counted, "doc_id", "n"),)], "size bigint")
+
+
 @query("kwic_dispersion", f"WITH {_PARTS}, b AS (SELECT lower(matched_text) AS series, {_BIN.format(100)} AS b FROM w) SELECT series, cast(floor(b * 10 / 100) AS bigint) AS bin, count(*) AS n FROM b GROUP BY ALL")
 def kwic_dispersion(spark, d):
     return kwic.dispersion(kwic.density(_hits(spark, d, contexts=False), "text"), 10, fold_case=True)
@@ -379,6 +397,16 @@ def quote_local(spark, d):
     return quotes.quote_rows(quotes.find_quotes(load(spark, d, "documents").select("doc_id", "text"), "text"))
 
 
+@query("quote_types", r"""SELECT doc_id, type, count(*) AS n FROM (SELECT doc_id, unnest([CASE WHEN i % 3 = 0 THEN 'QVS' WHEN i % 3 = 1 THEN 'SVQ' ELSE 'AccordingTo' END, 'Heuristic']) AS type FROM (SELECT doc_id, doc_id % 3 AS i FROM documents)) GROUP BY ALL""")
+def quote_types(spark, d):
+    """A sentence of each type built around every document's first word, and a quotation without a speaker."""
+    word = F.regexp_extract(F.concat("text", F.lit(" none")), r"(?U)(\w+)", 1)
+    kinds = [F.concat(F.lit('"Go '), word, F.lit('," said Anna Berg. ')), F.concat(F.lit('Mr Holt warned: "Not '), word, F.lit('." ')), F.concat(F.lit('According to Anna Berg, "it is '), word, F.lit('". '))]
+    at = F.element_at(F.array(*kinds), (F.col("doc_id") % 3 + 1).cast("int"))
+    made = load(spark, d, "documents").select("doc_id", F.concat(at, F.lit('Then came 12345678901234567890123456789012345678901234567890123456789012345678901234567890123456789 the word "'), word, F.lit('x" alone.')).alias("text"))
+    return quotes.quote_rows(quotes.find_quotes(made, "text")).groupBy("doc_id", F.col("QUOTE_quote_type").alias("type")).agg(F.count("*").alias("n"))
+
+
 # Topics: the label of a vector is its main topic, with the rest left to others
 
 def _coverage(spark, d):

@@ -84,6 +84,15 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     return one.select(F.to_json(F.struct("conv_id", F.lit("chat").alias("kind"), F.struct("turns").alias("log"))).alias("value"))
 
 
+@query("scan_documents", "SELECT 'nation ' || n_nationkey AS document, 'txt' AS extension FROM nation")
+def scan_documents(spark, d):
+    """A folder of text files, one for each row."""
+    path = place(spark, "scan_documents")
+    nation = spark.read.parquet(f"{d}/nation.parquet")
+    nation.select("n_nationkey", F.concat(F.lit("nation "), "n_nationkey").alias("value")).write.partitionBy("n_nationkey").option("lineSep", " ").text(path)
+    return tables.read_documents(spark, path).select(F.trim("document").alias("document"), "extension")
+
+
 @query("scan_json", "SELECT conv_id, 'chat' AS kind, turn, text, '{\"role\": \"' || role || '\"}' AS \"by\" FROM conversations")
 def scan_json(spark, d):
     path = place(spark, "scan_json")

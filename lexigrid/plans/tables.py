@@ -118,11 +118,11 @@ def stack(spark, d):
     return rows.stack([a, b])
 
 
-@query("stack_dedup", "SELECT n_regionkey AS r, substr(n_name, 1, 1) AS c FROM nation UNION SELECT r_regionkey, substr(r_name, 1, 1) FROM region")
+@query("stack_dedup", "SELECT min(i) AS row, r, c FROM (SELECT n_nationkey AS i, n_regionkey AS r, substr(n_name, 1, 1) AS c FROM nation UNION ALL SELECT r_regionkey + 1000, r_regionkey, substr(r_name, 1, 1) FROM region) GROUP BY r, c")
 def stack_dedup(spark, d):
-    a = load(spark, d, "nation").select(F.col("n_regionkey").alias("r"), F.substring("n_name", 1, 1).alias("c"))
-    b = load(spark, d, "region").select(F.col("r_regionkey").alias("r"), F.substring("r_name", 1, 1).alias("c"))
-    return rows.drop_exact_duplicates(rows.stack([a, b]))
+    a = load(spark, d, "nation").select(F.col("n_nationkey").alias("row"), F.col("n_regionkey").alias("r"), F.substring("n_name", 1, 1).alias("c"))
+    b = load(spark, d, "region").select((F.col("r_regionkey") + 1000).alias("row"), F.col("r_regionkey").alias("r"), F.substring("r_name", 1, 1).alias("c"))
+    return rows.drop_exact_duplicates(rows.stack([a, b]), "row")
 
 
 def _sides(spark, d):
@@ -262,6 +262,16 @@ def natural_order(spark, d):
     return labels.select("value", F.row_number().over(Window.orderBy(natural_key(F.col("value")), "value")).cast("bigint").alias("place"))
 
 
+@query("merge_orders", "SELECT i AS place, label FROM (SELECT unnest(range(1, 5)) AS i, unnest(['low', 'middle', 'high', 'top']) AS label) UNION ALL SELECT count(*), 'rows' FROM (SELECT * FROM part UNION ALL SELECT * FROM part)")
+def merge_orders(spark, d):
+    """Stacked blocks whose categories have different orders: one order that agrees with both, and all rows."""
+    size = lambda *labels: load(spark, d, "part").select(F.element_at(F.array(*map(F.lit, labels)), F.col("p_size") % len(labels) + 1).alias("size"))
+    blocks = [casts.to_category(size(*labels), "size", list(labels)) for labels in (("low", "middle", "top"), ("middle", "high", "top"))]
+    stacked = rows.stack(blocks)
+    places = [(i, x) for i, x in enumerate(stacked.schema["size"].metadata["category_order"], 1)]
+    return spark.createDataFrame([*places, (stacked.count(), "rows")], "place bigint, label string")
+
+
 @query("distinct_value_columns", "SELECT * FROM (SELECT 'c_nationkey' AS column, count(DISTINCT c_nationkey) AS distinct_values FROM customer UNION ALL SELECT 'c_mktsegment', count(DISTINCT c_mktsegment) FROM customer) WHERE distinct_values BETWEEN 2 AND 50")
 def distinct_value_columns(spark, d):
     return groups.distinct_value_columns(load(spark, d, "customer"), 2, 50)
