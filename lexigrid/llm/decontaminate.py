@@ -12,11 +12,13 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import add_columns, lists, table
+from lexigrid.llm.common import add_columns, durable, lists, table
 
 WINDOW = 10
 #: Bytes of item text in one automaton; larger benchmarks take several scans.
 AUTOMATON_BYTES = 1 << 20
+#: Scans in one plan; after so many the hits so far are written.
+MOST_SCANS = 8
 
 #: Bytes of a word stay, in lower case; other ASCII becomes a space. Lengths do not change.
 _NORMAL = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -100,6 +102,8 @@ def find_contamination(
     for block in range(blocks):
         rows = named.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == block).collect()
         items = context.broadcast([(r.k, r.t) for r in rows])
+        if block and block % MOST_SCANS == 0:
+            docs = durable(docs)
         docs = _scan(docs, text, items, window, again=block > 0)
     return docs
 

@@ -122,7 +122,9 @@ def _fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageModel:
         for order in range(ORDER - 1, 0, -1):  # continuation counts: types that end in the n-gram
             codes, n = np.unique(codes & _mask(order), return_counts=True)
             by_order[order - 1][lang] = (codes, n)
-    unions = [np.unique(np.concatenate([by_order[k][lang][0] for lang in languages])) for k in range(ORDER)]
+    # histories too: those before a text's first letters end no n-gram
+    histories = lambda k: [by_order[k + 1][lang][0] >> _BITS for lang in languages] if k + 1 < ORDER else []
+    unions = [np.unique(np.concatenate([by_order[k][lang][0] for lang in languages] + histories(k))) for k in range(ORDER)]
     p = [np.zeros((len(u), len(languages))) for u in unions]
     backoff = [np.ones((len(u), len(languages))) for u in unions]
     alphabet = len(unions[0]) + 1

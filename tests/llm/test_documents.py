@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexigrid.llm import ngram_lm, pii, quality, simhash
+from lexigrid.llm import langid, ngram_lm, pii, quality, simhash
 from lexigrid.llm.queries import ORACLE_SQL, QUERIES
 from tests.oracle import assert_same, connect
 
@@ -78,6 +78,17 @@ def test_op3_held_out_accuracy(spark, small):
     assert sum(a == b for a, b in judged) / len(judged) > 0.97
 
 
+def test_op3_rejects_languages_that_were_not_taught(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    share = lambda df, model: langid.identify(df, model).agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+    for unknown in ("de", "es"):
+        model = langid.train(docs.where(F.col("lang") != unknown))
+        assert share(docs.where(F.col("lang") == unknown), model) > 0.9 and share(docs.where(F.col("lang") != unknown), model) < 0.03
+    rng = np.random.default_rng(3)
+    junk = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n)) for n in (12, 30, 100, 400) for _ in range(20)]
+    assert share(spark.createDataFrame([(t,) for t in junk], "text string"), langid.train(docs)) > 0.9
+
+
 def luhn(digits):
     total = 0
     for i, d in enumerate(map(int, reversed(digits))):

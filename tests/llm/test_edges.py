@@ -132,6 +132,42 @@ def test_language_id(spark, docs, empty):
     assert [asked[i].lang_pred for i in (1, 2, 3)] == ["en", "de", "und"]
 
 
+def test_language_model_is_interpolated_kneser_ney():
+    from collections import Counter
+    from math import log
+
+    texts = {"aa": ["abab cab", "Bad cab"], "bb": ["dada bad", "dad"]}
+    counts = {}
+    for lang, ts in texts.items():
+        codes, n = np.unique(langid._grams(ts)[0], return_counts=True)
+        counts[lang] = codes, n
+    model = langid._fit(counts)
+    alphabet = len({c for ts in texts.values() for t in ts for c in t.lower()} | {" "}) + 1
+    for j, lang in enumerate(sorted(texts)):
+        grams = [Counter() for _ in range(langid.ORDER)]
+        for t in texts[lang]:
+            line = "   " + t.lower() + " "
+            grams[-1].update(line[i - 3 : i + 1] for i in range(3, len(line)))
+        for k in range(langid.ORDER - 2, -1, -1):
+            grams[k].update(g[1:] for g in grams[k + 1])
+
+        def p(gram, grams=grams):
+            if not gram:
+                return 1 / alphabet
+            n = grams[len(gram) - 1]
+            once, twice = sum(v == 1 for v in n.values()), sum(v == 2 for v in n.values())
+            d = once / (once + 2 * twice) if once and twice else 0.5
+            follow = [v for g, v in n.items() if g[:-1] == gram[:-1]]
+            if not follow:
+                return p(gram[1:])
+            return max(n[gram] - d, 0) / sum(follow) + d * len(follow) / sum(follow) * p(gram[1:])
+
+        for t in ("abad", "cad bab", "zz"):
+            line = "   " + t + " "
+            want = sum(log(p(line[i - 3 : i + 1])) for i in range(3, len(line)))
+            assert math.isclose(model.score([t])[0][0, j], want, rel_tol=1e-4)
+
+
 def test_pii(spark, docs, empty):
     model = pii.train(docs, steps=20)
     again = pii.train(docs, steps=20)
