@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,9 @@ from lexigrid.llm.common import add_columns, lists, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Distinct slices whose merges a Python worker remembers before it starts anew.
-CACHE_SLICES = 100_000
+CACHE_SLICES = 600_000
 #: Bytes of text, and as many token ids, that a worker has in hand at once, unless one text is larger.
-PIECE_BYTES = 1 << 18
+PIECE_BYTES = 1 << 19
 
 # Classes of code points, and what they become once their neighbours are known.
 LETTER, NUMBER, OTHER, SPACE, BLANK, END = range(6)
@@ -146,7 +148,7 @@ class Merges(dict):
     def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= CACHE_SLICES:
             self.clear()
-        ids = self[piece] = np.array(self.merge(piece), dtype=np.int32).tobytes()
+        ids = self[piece] = array("i", self.merge(piece)).tobytes()
         return ids
 
     def merge(self, piece: bytes) -> list[int]:
@@ -156,17 +158,17 @@ class Merges(dict):
             return [whole]
         if len(piece) > 64:
             return self.merge_long(piece)
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [ranks.get(a + b, 1 << 30) for a, b in zip(parts, parts[1:], strict=False)]
-        while pairs and (least := min(pairs)) < 1 << 30:
+        rank, none = ranks.get, 1 << 30
+        cuts = list(range(len(piece) + 1))
+        pairs = [rank(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while pairs and (least := min(pairs)) < none:
             i = pairs.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            del cuts[i + 1], pairs[i]
             if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], 1 << 30)
+                pairs[i] = rank(piece[cuts[i] : cuts[i + 2]], none)
             if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 30)
-        return [ranks[p] for p in parts]
+                pairs[i - 1] = rank(piece[cuts[i - 1] : cuts[i + 1]], none)
+        return [ranks[piece[a:b]] for a, b in pairwise(cuts)]
 
     def merge_long(self, piece: bytes) -> list[int]:
         """The same with a heap and linked parts, for very long slices."""
