@@ -126,23 +126,24 @@ def column_examples(df: DataFrame, ordinal: str, most: int = 200) -> DataFrame:
 
 
 def corpus_overview(df: DataFrame, text: str) -> DataFrame:
-    """Documents, empty and duplicate ones, and lengths in words, or in characters where spaces are rare."""
+    """Documents, empty and duplicate ones, and lengths in words, or in characters where spaces are rare.
+
+    One pass works out both lengths; equal texts are told by their MD5.
+    """
     t = df[f"`{text}`"]
-    spaces = df.agg(F.coalesce(F.try_divide(F.sum(F.regexp_count(t, F.lit(r"(?U)\s"))), F.sum(F.length(t))), F.lit(0.0)).alias("share")).first().share
-    unit, length = ("characters", F.length(t)) if spaces < 0.05 else ("words", F.regexp_count(t, F.lit(r"(?U)\S+")))
     full = ~is_empty(t, T.StringType())
-    size = F.when(full, length.cast("bigint"))
-    return df.agg(
+    sizes = {"words": F.when(full, F.regexp_count(t, F.lit(r"(?U)\S+")).cast("bigint")), "characters": F.when(full, F.length(t).cast("bigint"))}
+    stats = {"total": lambda c: F.coalesce(F.sum(c), F.lit(0)), "shortest": F.min, "median": F.median, "mean": lambda c: F.round(F.avg(c), 6), "longest": F.max}
+    found = df.agg(
         F.count("*").alias("documents"),
         F.count_if(~full).alias("empty"),
         (F.count_if(full) - F.count_distinct(F.when(full, F.md5(t.cast("binary"))))).alias("duplicates"),
-        F.lit(unit).alias("unit"),
-        F.coalesce(F.sum(size), F.lit(0)).alias("total"),
-        F.min(size).alias("shortest"),
-        F.median(size).alias("median"),
-        F.round(F.avg(size), 6).alias("mean"),
-        F.max(size).alias("longest"),
+        F.coalesce(F.try_divide(F.sum(F.regexp_count(t, F.lit(r"(?U)\s"))), F.sum(F.length(t))), F.lit(0.0)).alias("spaces"),
+        *(stat(size).alias(f"{name}_{unit}") for unit, size in sizes.items() for name, stat in stats.items()),
     )
+    unit = F.when(F.col("spaces") < 0.05, "characters").otherwise("words")
+    chosen = (F.when(F.col("spaces") < 0.05, F.col(f"{n}_characters")).otherwise(F.col(f"{n}_words")).alias(n) for n in stats)
+    return found.select("documents", "empty", "duplicates", unit.alias("unit"), *chosen)
 
 
 def emptied_report(before: DataFrame, after: DataFrame, ordinal: str, column: str) -> DataFrame:

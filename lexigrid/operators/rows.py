@@ -106,23 +106,28 @@ def near_key(text: Column, ignore_links_mentions: bool = False) -> Column:
     return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
+def _digest(keys: list[Column]) -> Column:
+    """Stands for the keys, nulls told apart from texts, in 16 bytes."""
+    return F.unhex(F.md5(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).cast("binary")))
+
+
 def dedup_keep_first(df: DataFrame, ordinal: str, keys: list[Column]) -> DataFrame:
     """The first row of each key, nulls being alike.
 
     The least ordinal of each key is a partial aggregate, which meets the rows
     by ordinal, so a key with very many rows is no group in one task.
     """
-    named = df.select("*", F.struct(*keys).alias("__key"))
+    named = df.select(ordinal, _digest(keys).alias("__key"))
     firsts = named.groupBy("__key").agg(F.min(ordinal).alias(ordinal)).select(ordinal)
     return df.join(firsts, ordinal, "left_semi")
 
 
 def duplicate_groups(df: DataFrame, ordinal: str, keys: list[Column]) -> DataFrame:
     """Rows of groups larger than one, with duplicate_group (by first appearance) and kept."""
-    named = df.select("*", F.struct(*keys).alias("__key"))
+    named = df.select("*", _digest(keys).alias("__key"))
     groups = named.groupBy("__key").agg(F.count("*").alias("n"), F.min(ordinal).alias("__first")).where("n > 1").drop("n")
     # a group's first ordinal is its own, so it names the group
     places = numbered(groups.select("__first"), [F.col("__first")], "__place").select("__first", (F.col("__place") + 1).alias("duplicate_group"))
     placed = groups.join(places, "__first")
-    joined = named.join(placed, named["__key"].eqNullSafe(placed["__key"])).drop("__key")
+    joined = named.join(placed, "__key").drop("__key")
     return joined.withColumn("kept", F.col(ordinal) == F.col("__first")).drop("__first").orderBy("duplicate_group", ordinal)
