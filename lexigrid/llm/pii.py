@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.llm.bilstm_crf import BiLstmCrf
-from lexigrid.llm.common import add_columns, shared_folder, table
+from lexigrid.llm.common import add_columns, pieces, shared_folder, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, and between the starts of two.
@@ -228,25 +228,30 @@ def labelled_spans(text: str) -> list[Span]:
 def sample(docs: DataFrame, text: str = "text", sample_windows: int = SAMPLE_WINDOWS) -> list[str]:
     """At most ``sample_windows`` different windows of text, those of least hash among all windows of all texts.
 
-    Windows are cut from whole texts on the executors; a batch sends on its own
-    least hashes only, so the driver sees no more than the bound.
+    Windows are cut from whole texts on the executors. How many different ones
+    there are is estimated first, so that only hashes below a bound, with a
+    third to spare, are brought together: what is shuffled and what the driver
+    sees is of the sample's size.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch], most: int, named: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[int, str] = {}
-            for value in batch.column(0).to_pylist():
-                for start in _windows(_symbols(value)):
-                    part = value[start : start + WINDOW]
-                    found[xxhash.xxh3_64_intdigest(part.encode("utf-8", "replace")) >> 1] = part
-                if len(found) > 4 * sample_windows:
-                    found = dict(sorted(found.items())[:sample_windows])
-            kept = sorted(found.items())[:sample_windows]
-            yield pa.record_batch([pa.array([h for h, _ in kept], pa.int64()), pa.array([w for _, w in kept], pa.string())], ["h", "w"])
+            for a, b in pieces(batch.column(0)):
+                found: dict[int, str] = {}
+                for value in batch.column(0)[a:b].to_pylist():
+                    for start in _windows(_symbols(value)):
+                        part = value[start : start + WINDOW]
+                        h = xxhash.xxh3_64_intdigest(part.encode("utf-8", "replace")) >> 1
+                        if h <= most:
+                            found[h] = part
+                yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()) if named else [None] * len(found), pa.string())], ["h", "w"])
 
     usable = docs.select(F.col(text).alias("t")).where(F.rlike(F.col("t"), F.lit("[0-9@]")))
-    cut = usable.mapInArrow(run, "h bigint, w string").groupBy("h").agg(F.min("w").alias("w"))
-    return [r.w for r in cut.orderBy("h").limit(sample_windows).collect()]
+    windows = lambda most, named: usable.mapInArrow(lambda it: cut(it, most, named), "h bigint, w string")
+    every = (1 << 63) - 1
+    n = windows(every, False).agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    most = int(min(1.0, 4 / 3 * sample_windows / max(1, n)) * every)
+    return [r.w for r in windows(most, True).groupBy("h").agg(F.min("w").alias("w")).orderBy("h").limit(sample_windows).collect()]
 
 
 def fit(windows: list[str], steps: int = STEPS, seed: int = 7) -> BiLstmCrf:
