@@ -300,8 +300,31 @@ def _trend(unit: str) -> None:
 
 for _unit in trends.UNITS:
     _trend(_unit)
-QUERIES["tr_labels"], ORACLE_SQL["tr_labels"] = QUERIES["tr_weekly"], ORACLE_SQL["tr_weekly"]
-QUERIES["tr_counts"], ORACLE_SQL["tr_counts"] = QUERIES["tr_daily"], ORACLE_SQL["tr_daily"]
+_QUARTER = "year(t) || '-Q' || quarter(t)"
+_LABELS = " UNION ALL ".join(f"SELECT '{u}' AS unit, {_QUARTER if u == 'quarterly' else f'strftime(date_trunc({chr(39)}{p}{chr(39)}, t), {chr(39)}{_TEXT[u]}{chr(39)})'} AS label, count(*) AS n FROM (SELECT o_orderdate AS t FROM orders) GROUP BY ALL" for u, p in trends.UNITS.items())
+
+
+@query("tr_labels", _LABELS)
+def tr_labels(spark, d):
+    """The label of every order's date in each of the units."""
+    axis = F.col("o_orderdate").cast("timestamp")
+    pairs = [F.struct(F.lit(u).alias("unit"), trends.label(trends.period(axis, u), u).alias("label")) for u in trends.UNITS]
+    return load(spark, d, "orders").select(F.explode(F.array(*pairs)).alias("x")).groupBy("x.unit", "x.label").agg(F.count("*").alias("n"))
+
+
+@query("tr_counts", """
+WITH g AS (SELECT date_trunc('hour', ts) AS period, nullif(event_type, (SELECT min(event_type) FROM events)) AS kind, user_id % 2 AS half, count(*) AS n, min(ts) AS a, max(ts) AS b FROM events GROUP BY ALL)
+SELECT strftime(period, '%Y-%m-%d %H') AS label, kind, half, n AS sequential_count, strftime(a, '%H:%M:%S') AS first, strftime(b, '%H:%M:%S') AS last,
+       dense_rank() OVER (ORDER BY period) - 1 AS period_index, dense_rank() OVER (ORDER BY kind NULLS LAST, half NULLS LAST) - 1 AS group_index FROM g
+""")
+def tr_counts(spark, d):
+    """Hours by two groups, one of which is null for some rows: first and last times, and dense places."""
+    events = load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    least = events.agg(F.min("event_type")).first()[0]
+    rows = events.select("ts", F.nullif("event_type", F.lit(least)).alias("kind"), (F.col("user_id") % 2).alias("half"))
+    counted = trends.counts(rows, F.col("ts"), trends.period(F.col("ts"), "hourly"), ["kind", "half"])
+    shown = lambda c, pattern: F.date_format(c, pattern)
+    return counted.select(shown("period", "yyyy-MM-dd HH").alias("label"), "kind", "half", "sequential_count", shown("period_start", "HH:mm:ss").alias("first"), shown("period_end", "HH:mm:ss").alias("last"), "period_index", "group_index")
 
 
 @query("tr_custom", "SELECT strftime(make_timestamp(cast(floor(epoch(ts) / 21600) * 21600 AS bigint) * 1000000), '%Y-%m-%d %H') AS label, count(*) AS sequential_count FROM events GROUP BY 1")
@@ -350,9 +373,9 @@ def tr_publication(spark, d):
     return trends.publication(df, trends.period(axis, "daily"), ["event_type"], counted).select("event_id", "period_index", "group_index")
 
 
-_REF = """
+_REF = r"""
 WITH m AS (SELECT source AS period, lang, count(*) AS n FROM documents WHERE contains(lower(text), 'license') GROUP BY ALL),
-r AS (SELECT source AS period, lang, count(*) AS reference_rows, cast(sum(n_chars) AS bigint) AS reference_words FROM documents GROUP BY ALL),
+r AS (SELECT source AS period, lang, count(*) AS reference_rows, cast(sum(len(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+'))) AS bigint) AS reference_words FROM documents GROUP BY ALL),
 c AS (SELECT * FROM (SELECT period FROM m UNION SELECT period FROM r), (SELECT DISTINCT lang FROM m))
 SELECT c.period, c.lang, coalesce(n, 0) AS sequential_count, coalesce(reference_rows, 0) AS reference_rows, coalesce(reference_words, 0) AS reference_words
 FROM c LEFT JOIN m ON c.period = m.period AND c.lang IS NOT DISTINCT FROM m.lang LEFT JOIN r ON c.period = r.period AND c.lang IS NOT DISTINCT FROM r.lang
@@ -363,7 +386,7 @@ def _reference(spark, d):
     docs = load(spark, d, "documents")
     found = filters.filter_rows(docs, [Condition("text", "contains", "license")])
     counted = trends.counts(found, F.col("source"), F.col("source"), ["lang"])
-    reference = docs.groupBy(F.col("source").alias("period"), "lang").agg(F.count("*").alias("reference_rows"), F.sum("n_chars").alias("reference_words"))
+    reference = docs.groupBy(F.col("source").alias("period"), "lang").agg(F.count("*").alias("reference_rows"), F.sum(F.size(frequency.words(F.col("text")))).alias("reference_words"))
     return trends.with_reference(counted, reference, ["lang"])
 
 
