@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import bisect
 import json
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -44,7 +43,7 @@ CHUNK_BITS, BLOCK = 8, 512
 #: Tokens of a segment, which ends with the document that fills it; bytes of text sorted into one file.
 SEGMENT_TOKENS, FILE_BYTES = 1 << 20, 32 << 20
 #: Words whose ids a task remembers, and the longest of them.
-REMEMBERED, LONGEST = 1 << 19, 64
+REMEMBERED, LONGEST = 3 << 18, 64
 SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 
 
@@ -318,8 +317,16 @@ class TokenTable(DataSource):
 # encoding
 
 
+#: Stands between words that are encoded together; a word with it is encoded alone.
+MARK = "\x01"
+
+
 class WordCoder:
-    """Ids of words by the tokenizers library, remembered; white space only separates words for such tokenizers."""
+    """Ids of words by the tokenizers library, remembered.
+
+    The tokenizer drops white space and begins a piece at a mark that follows a
+    letter or digit, so texts may be parted at both without a change of their ids.
+    """
 
     def __init__(self, file: str, end_id: int | None):
         import os
@@ -327,40 +334,51 @@ class WordCoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id = Tokenizer.from_file(file), end_id
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.starts = array("I", [] if self.end_id is None else [self.end_id]), array("q", [0])
-        self.starts.append(len(self.ids))
-
-    def _numbers(self, words: list[str]) -> list[int]:
-        """The words' numbers; number 0 is the end of a document."""
+        self.tokenizer = Tokenizer.from_file(file)
+        self.end = [] if end_id is None else [end_id.to_bytes(4, "little")]
+        self.mark = self._library([MARK])[0]
+        self.known: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """The words' ids from one text, in which the mark's id, which nothing else has, parts them."""
+        ids = self._library([f" {MARK} ".join(words)])[0]
+        cuts = np.flatnonzero(ids == self.mark[0]).tolist() if len(self.mark) == 1 else []
+        if len(cuts) != len(words) - 1:
+            return [x.tobytes() for x in self._library(words)]
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words; short ones are remembered."""
         if len(self.known) > REMEMBERED:
-            self._forget()
+            self.known = {}
         missing = [w for w in words if w not in self.known]
-        passing = {}
-        for a in range(0, len(missing), 1024):
-            some = missing[a : a + 1024]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (self.known if len(word) <= LONGEST else passing)[word] = len(self.starts) - 1
-                self.ids.extend(found.ids)
-                self.starts.append(len(self.ids))
+        short = [w for w in missing if len(w) <= LONGEST and MARK not in w]
+        for a in range(0, len(short), 4096):
+            some = short[a : a + 4096]
+            self.known.update(zip(some, self._together(some), strict=True))
+        if len(short) == len(missing):
+            return [self.known[w] for w in words]
+        others = [w for w in missing if len(w) > LONGEST or MARK in w]
+        passing = {w: self._library([w])[0].tobytes() for w in others}
         return [self.known[w] if w in self.known else passing[w] for w in words]
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids behind each other, each text followed by the end id if there is one, and how many each text has."""
-        words = pc.ascii_split_whitespace(texts.fill_null(""))
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text, followed by the end id if there is one, as unsigned 32-bit integers."""
+        parted = pc.replace_substring_regex(texts.fill_null(""), r"([A-Za-z0-9])([.,;:!?])", r"\1 \2")
+        words = pc.ascii_split_whitespace(parted)
         coded = words.flatten().dictionary_encode()
-        number = np.array(self._numbers(coded.dictionary.to_pylist()), dtype=np.int64)
-        ends = words.offsets.to_numpy()[1:] - words.offsets.to_numpy()[0]
-        order = np.insert(number[coded.indices.to_numpy()] if len(number) else np.zeros(0, np.int64), ends, 0)
-        bounds, ids = np.array(self.starts), np.array(self.ids, dtype=np.uint32)
-        begin, sizes = bounds[order], bounds[order + 1] - bounds[order]
-        stops = np.cumsum(sizes)
-        total = stops[ends + np.arange(len(ends))] if len(ends) else ends
-        return ids[np.arange(stops[-1] if len(stops) else 0) + np.repeat(begin - stops + sizes, sizes)], np.diff(total, prepend=0)
+        spelt = self._ids(coded.dictionary.to_pylist()) + self.end
+        bounds = words.offsets.to_numpy()
+        ends, order = bounds[1:] - bounds[0], coded.indices.to_numpy()
+        if self.end:
+            order, ends = np.insert(order, ends, len(spelt) - 1), ends + np.arange(1, len(ends) + 1)
+        ids = pa.array(spelt, pa.binary()).take(pa.array(order))
+        places = np.frombuffer(ids.buffers()[1], np.int32)[np.append(0, ends)]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(places), ids.buffers()[2]])
 
 
 @lru_cache(maxsize=2)
@@ -381,8 +399,9 @@ def tokenizer_file(spark: SparkSession) -> str:
 def encode_texts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 1, budget: int = 4 << 20) -> DataFrame:
     """(key, ids) of each row of docs, in its order: ids as unsigned 32-bit integers, null texts as empty ones, ``end_id`` behind each.
 
-    tokenizer: the file of one that drops white space; texts are cut there, and
-    the library encodes each distinct word once, in pieces of ``budget`` bytes.
+    tokenizer: the file of one that drops white space and begins a piece at a
+    mark; texts are cut there, and the library encodes words it did not meet
+    before, in pieces of ``budget`` bytes.
     Special tokens are found in texts as the library finds them, none is added.
     """
 
@@ -390,10 +409,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
         coder = _coder(tokenizer, end_id)
         for batch in batches:
             for a, b in pieces(batch.column(1), budget):
-                ids, sizes = coder.encode(batch.column(1)[a:b])
-                offsets = pa.py_buffer((np.append(0, np.cumsum(sizes)) * 4).astype(np.int32))
-                raw = pa.Array.from_buffers(pa.binary(), b - a, [None, offsets, pa.py_buffer(ids.astype("<u4"))])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], raw], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], coder.encode(batch.column(1)[a:b])], ["doc_id", "ids"])
 
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id bigint, ids binary")
 
