@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,16 @@ def durable(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a table in the shared folder.
+
+    For loops: a checkpoint keeps the estimated size of its plan, which every
+    join multiplies, so after some rounds planning takes longer than the work;
+    a table has the size of its files.
+    """
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/table-{uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrid.operators import agreement, annotations, filters, frequency, kwic, pages, quotes, topics, trends
+from lexigrid.operators import agreement, annotations, density, filters, frequency, kwic, pages, quotes, topic_tree, topics, trends
+from lexigrid.functions.shared import written
 from lexigrid.operators.filters import Condition
 from lexigrid.streaming import trends as streaming
 
@@ -448,6 +449,52 @@ def topic_project(spark, d):
     return topics.project(_coverage(spark, d), into).withColumn("coverage", F.round("coverage", 6))
 
 
+@query("topic_model")
+def topic_model(spark, d):
+    """Topics of the vectors by density, each vector in several with a share of each."""
+    return density.cluster(load(spark, d, "embeddings"), "vec_id", "embedding", least=5)
+
+
+def _vector_topics(spark, d):
+    """The direction of each label's vectors."""
+    return topic_tree.centroids(load(spark, d, "embeddings"), "label", "embedding")
+
+
+@query("topic_merge_tree")
+def topic_merge_tree(spark, d):
+    return topic_tree.merge_tree(*_vector_topics(spark, d))
+
+
+@query("topic_project_tree")
+def topic_project_tree(spark, d):
+    """Coverage when the tree of all topics is cut to four."""
+    found, width = _vector_topics(spark, d)
+    found = written(found)
+    return topic_tree.project(_coverage(spark, d), topic_tree.cut(found, topic_tree.merge_tree(found, width), 4)).withColumn("coverage", F.round("coverage", 6))
+
+
+_LABELLED = f"(SELECT label AS topic_id, unnest({_WORDS}) AS term FROM documents JOIN embeddings ON doc_id = vec_id)"
+
+
+@query("topic_terms", f"""WITH c AS (SELECT topic_id, term, count(*) AS occurrences FROM {_LABELLED} GROUP BY ALL),
+z AS (SELECT topic_id, sum(occurrences) AS size FROM c GROUP BY ALL), e AS (SELECT term, sum(occurrences) AS every FROM c GROUP BY ALL),
+s AS (SELECT topic_id, term, occurrences, round(occurrences / size * ln(1 + (SELECT avg(size) FROM z) / every), 12) AS score FROM c JOIN z USING (topic_id) JOIN e USING (term))
+SELECT topic_id, place, term, occurrences, score FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, term) AS place FROM s) WHERE place <= 10""")
+def topic_terms(spark, d):
+    """The ten terms that set each topic apart; a document's topic is the label of its vector."""
+    labelled = load(spark, d, "documents").join(load(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    return topic_tree.terms(labelled.select(F.col("label").alias("topic_id"), frequency.words(F.col("text")).alias("words")), 10)
+
+
+@query("topic_coverage", f"SELECT doc_id // 5 AS doc, topic_id, round(sum(length(text) * coverage) / any_value(total), 6) AS coverage FROM (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id // 5) AS total FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)) JOIN {_COVER} ON doc = doc_id GROUP BY 1, 2")
+def topic_coverage(spark, d):
+    """Every five documents are the segments of one; those without a vector are left out, so that none counts as an outlier."""
+    shares = _coverage(spark, d).select(F.col("doc").alias("segment"), "topic_id", F.col("coverage").alias("membership"))
+    parts = load(spark, d, "documents").join(shares.select(F.col("segment").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    segments = parts.select(F.floor(F.col("doc_id") / 5).cast("bigint").alias("doc"), F.col("doc_id").alias("segment"), F.length("text").alias("characters"))
+    return topic_tree.coverage(segments, shares).withColumn("coverage", F.round("coverage", 6))
+
+
 @query("topic_top_n", f"SELECT doc, topic_id, r AS rank FROM (SELECT *, rank() OVER (PARTITION BY doc ORDER BY coverage DESC) AS r FROM {_COVER} WHERE topic_id >= 0) WHERE r <= 1")
 def topic_top_n(spark, d):
     return topics.top_n(_coverage(spark, d), 1).select("doc", "topic_id", F.col("rank").cast("bigint").alias("rank"))
