@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from lexigrid.llm.common import crc_remainder, pieces, table
 from lexigrid.llm.textbytes import WordTable, mix
 
-ORDER = 2
+ORDER = 3
 #: Weight of the shorter history's estimate, in occurrences.
 CONCENTRATION = 64.0
 #: Bytes of text in a block, unless one text is larger, and bytes of n-grams that are counted together.
@@ -30,6 +30,15 @@ END, START = mix(np.array([1, 2], dtype=np.uint64))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def hash_bits(size: int) -> int:
+    """Bits of an n-gram's hash for a corpus of so many bytes, whole bytes of them.
+
+    Two n-grams share a hash by chance in less than one of 2**16 cases; 64 bits
+    keep to that up to 2**48 bytes.
+    """
+    return min(64, 8 * -(-(max(size, 1).bit_length() + 16) // 8))
+
+
 def _words(texts: pa.Array | pa.ChunkedArray) -> WordTable:
     return WordTable([(t or b"").lower() for t in texts.cast(pa.binary()).to_pylist()])
 
@@ -53,12 +62,14 @@ def count_words(texts: DataFrame, text: str = "t") -> DataFrame:
 class Block:
     """The n-grams of some texts, each text with START before and END behind it.
 
-    For each order from 1 on: hashes, sorted and distinct; at, a place where each
+    For each order from 1 on: hashes of ``bits`` bits, sorted and distinct; at, a place where each
     occurs; number, for each place which n-gram ends there, -1 if its text has
     not so many words yet. Places of all texts lie behind each other.
     """
 
-    def __init__(self, words: WordTable, order: int):
+    def __init__(self, words: WordTable, order: int, bits: int = 64):
+        shift = np.uint64(64 - bits)
+        self.start = START >> shift
         self.sizes = np.diff(words.first)
         self.ends = np.cumsum(self.sizes + 2) - 1
         tokens = np.full(int((self.sizes + 2).sum()), END, dtype=np.uint64)
@@ -73,7 +84,7 @@ class Block:
             if k:
                 codes = np.concatenate((codes[:1], mix(codes[:-1] * _STEP + tokens[1:])))
             places = np.flatnonzero(since >= k)
-            found, first, inverse = np.unique(codes[places], return_index=True, return_inverse=True)
+            found, first, inverse = np.unique(codes[places] >> shift, return_index=True, return_inverse=True)
             number = np.full(len(tokens), -1, dtype=np.int32)
             number[places] = inverse
             self.hashes.append(found)
@@ -178,7 +189,7 @@ def build(block: Block, counts: list[np.ndarray], denominator: float, concentrat
         targets.append(goes(k, seen))
     keys = np.concatenate(arcs)
     order = np.argsort(keys)
-    first = np.searchsorted(block.hashes[0], START)
+    first = np.searchsorted(block.hashes[0], block.start)
     join = lambda x: np.concatenate(x)[order]
     return Automaton(keys[order], join(weights), join(targets), np.concatenate(failure), np.concatenate(penalty), int(states[1][first]) if len(c) > 1 else 0, width, len(c))
 
@@ -212,11 +223,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tup
             yield digest.intdigest() - (1 << 63), rows
 
 
-def _n_grams(batches: Iterator[pa.RecordBatch], order: int, bits: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
+def _n_grams(batches: Iterator[pa.RecordBatch], order: int, width: int, bits: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
     """Of each block, order and range of hashes: the n-grams as differences, and their training counts."""
-    shift = np.uint64(64 - bits)
+    shift = np.uint64(width - bits)
     for name, rows in _blocks(batches, block_bytes):
-        block = Block(_words(rows.column(2)), order)
+        block = Block(_words(rows.column(2)), order, width)
         counts = block.counts(rows.column(1).to_numpy(zero_copy_only=False))
         for k, (hashes, n) in enumerate(zip(block.hashes, counts, strict=True)):
             ranges, cuts = np.unique(hashes >> shift if bits else np.zeros(len(hashes), dtype=np.uint64), return_index=True)
@@ -244,9 +255,18 @@ def _totals(rows: pa.Table) -> pa.Table:
     return pa.table([rows["block"], rows["k"], rows["range"], pa.array(packed, pa.binary())], ["block", "k", "range", "totals"])
 
 
-def _scores(texts: pa.Table, answers: pa.Table, order: int, denominator: float, concentration: float) -> pa.Table:
+def _packed(rows: pa.RecordBatch) -> bytes:
+    """A block's rows, compressed."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _scores(packed: pa.Table, answers: pa.Table, order: int, width: int, denominator: float, concentration: float) -> pa.Table:
     """The scores of a block's texts."""
-    block = Block(_words(texts["t"]), order)
+    texts = pa.concat_tables(pa.ipc.open_stream(x.as_buffer()).read_all() for x in packed["rows"]).combine_chunks()
+    block = Block(_words(texts["t"]), order, width)
     parts: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.uint64)] for _ in range(order)]
     for row in answers.sort_by([("k", "ascending"), ("range", "ascending")]).select(["k", "totals"]).to_pylist():
         parts[row["k"]].append(_unpack(row["totals"]))
@@ -286,11 +306,12 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     probability 1.
 
     Every word and n-gram of every training text is in the model, so it grows
-    with the corpus; words and n-grams are told apart by 64-bit hashes. A block
+    with the corpus; words are told apart by 64-bit hashes, n-grams by
+    ``hash_bits`` of them. A block
     sends each of its distinct n-grams once, with its training count, to the
     range of hashes it falls in, so no n-gram, however frequent, makes a range
     larger than the others; what comes back is a count for each, and meets the
-    block's texts there. docs is read three times and must give the same rows
+    block's texts there, which travel compressed. docs is read three times and must give the same rows
     in the same order, as a table or a checkpoint does; otherwise it raises.
     """
     kind = docs.schema[key].dataType
@@ -300,17 +321,17 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     bits = max(0, int(2 * size // counted_bytes).bit_length())
     denominator = float(sums.n + sums.v + 1)
 
-    named = T.StructType([T.StructField("block", T.LongType()), T.StructField("k", kind), *T.StructType.fromDDL("train boolean, t string")])
+    width = hash_bits(size)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, part in _blocks(batches, block_bytes):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, block)), *part.columns], ["block", "k", "train", "t"])
+            yield pa.record_batch([pa.array([block], pa.int64()), pa.array([_packed(part)], pa.binary())], ["block", "rows"])
 
-    grams = rows.mapInArrow(lambda it: _n_grams(it, order, bits, block_bytes), "block bigint, k int, range bigint, grams binary, counts binary")
+    grams = rows.mapInArrow(lambda it: _n_grams(it, order, width, bits, block_bytes), "block bigint, k int, range bigint, grams binary, counts binary")
     answers = grams.groupBy("k", "range").applyInArrow(_totals, "block bigint, k int, range bigint, totals binary")
-    texts = rows.mapInArrow(name, named)
+    texts = rows.mapInArrow(name, "block bigint, rows binary")
     shape = T.StructType([T.StructField("k", kind), *T.StructType.fromDDL("train boolean, n_tokens bigint, n_known bigint, base_score double, score double")])
-    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _scores(a, b, order, denominator, concentration), shape)
+    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _scores(a, b, order, width, denominator, concentration), shape)
     return scored.select(F.col("k").alias(key), F.col("train").alias("training"), "n_tokens", "n_known", F.lit(sums.n).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 

@@ -5,6 +5,7 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -29,7 +30,9 @@ class SecretRule:
 
     @property
     def name(self) -> str:
-        return f"{self.kind}/{self.version}"
+        """What the ledger knows the rule by: kind, version and what it matches, so that no changed rule passes for an old one."""
+        matched = hashlib.sha256(repr((self.pattern, self.group, self.least)).encode()).hexdigest()[:16]
+        return f"{self.kind}/{self.version}/{matched}"
 
 
 #: Kinds, patterns and least lengths.

@@ -84,7 +84,7 @@ def _keys(word: Column, at: Column) -> Column:
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, na, b, nb): each pair of words that differ by just one inserted, deleted or replaced code point, once.
 
-    words: distinct words of at least three letters and their counts, (word, n).
+    words: distinct words of at least four letters and their counts, (word, n).
     Words meet on one of their three rarest bigrams, at one place or the next,
     together with half of what an edit must leave on its side of the bigram;
     without that, common beginnings would meet in the square of their number.
@@ -103,7 +103,7 @@ def group_variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """(word, n, form, root, n_near, form_n) for each row of words.
 
     words: distinct words and their counts, (word, n); words of fewer than
-    three letters have too few bigrams to meet and are near none. form: the near
+    four letters have too few bigrams to meet and are near none. form: the near
     word of largest n, of equals the first in code-point order, if it occurs at
     least ``ratio`` times as often; else null. root: the last of the forms of
     forms, the word itself without one. n_near: near words. An empty table
@@ -115,7 +115,7 @@ def group_variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     group is large.
     """
     words = durable(words.select("word", "n"))
-    pairs = durable(near_pairs(words.where(F.length("word") >= RAREST)))
+    pairs = durable(near_pairs(words.where(F.length("word") > RAREST)))
     each = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("nb").alias("m")).union(pairs.select("b", "a", "na"))
     best = each.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "near")).alias("best"))
     has_form = -F.col("best.m") >= ratio * F.col("n")

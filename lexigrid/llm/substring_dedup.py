@@ -45,6 +45,19 @@ def _of_rows(words: WordTable, window: int) -> Iterator[tuple[int, int, int]]:
             yield row, a, b - window + 1
 
 
+def _blobs(words: WordTable, rows: np.ndarray) -> list[bytes]:
+    """The hash, in two lanes, of the whole sequence of words of each of the rows."""
+    lanes = [mix(rolling(words.hashes(i), words.first[rows], words.first[rows + 1], i, words=True)) for i in (0, 1)]
+    return [x.tobytes() for x in np.stack(lanes, axis=1)]
+
+
+def _copies(words: WordTable, known: pa.Array) -> set[int]:
+    """The rows whose own sequence of words is among those that their key has from a smaller one."""
+    lists = known.to_pylist()
+    rows = np.array([i for i, x in enumerate(lists) if x], dtype=np.int64)
+    return {i for i, blob in zip(rows.tolist(), _blobs(words, rows), strict=True) if blob in lists[i]} if len(rows) else set()
+
+
 def _addresses(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """The hash, in two lanes, of the whole sequence of words of each row that has a window; white space has no part in it."""
     for batch in batches:
@@ -52,9 +65,7 @@ def _addresses(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Re
             words = _table(batch.column(1)[lo:hi])
             rows = np.array([row for row, _, _ in _of_rows(words, window)], dtype=np.int64)
             if len(rows):
-                lanes = [mix(rolling(words.hashes(i), words.first[rows], words.first[rows + 1], i, words=True)) for i in (0, 1)]
-                blobs = pa.array([x.tobytes() for x in np.stack(lanes, axis=1)], pa.binary())
-                yield pa.record_batch([batch.column(0)[lo:hi].take(pa.array(rows)), blobs], ["k", "blob"])
+                yield pa.record_batch([batch.column(0)[lo:hi].take(pa.array(rows)), pa.array(_blobs(words, rows), pa.binary())], ["k", "blob"])
 
 
 def _distinct_marks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -77,7 +88,7 @@ def _distinct_marks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Both hash lanes of every window whose mark is among those of its row, and its salt.
+    """Both hash lanes of every window whose mark is among those of its row, and its salt; copies are left out.
 
     Windows of equal words have equal marks, so all of them are salted (1 to
     SALTS) or none (0), by whether their mark is hot.
@@ -91,8 +102,11 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, hot: np.ndarray) ->
             marks = _marks(first, window)
             lanes = window_hashes(first, window), window_hashes(words.hashes(1), window, 1)
             shared = batch.column(2)[lo:hi]
+            copies = _copies(words, batch.column(3)[lo:hi])
             found = []
             for row, a, b in _of_rows(words, window):
+                if row in copies:
+                    continue
                 at = a + np.flatnonzero(np.isin(marks[a:b], shared[row].values.to_numpy().view(np.uint64)))
                 _, once = np.unique(lanes[0][at], return_index=True)
                 found.append((row, at[once]))
@@ -109,7 +123,7 @@ def _removals(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
         for lo, hi in pieces(batch.column(1)):
             words = _table(batch.column(1)[lo:hi])
             lane = window_hashes(words.hashes(), window) if len(words.starts) >= window else np.zeros(0, np.uint64)
-            copy, drop = batch.column(2)[lo:hi].to_pylist(), batch.column(3)[lo:hi]
+            copies, drop = _copies(words, batch.column(2)[lo:hi]), batch.column(3)[lo:hi]
             total, starts, ends, sizes, kept = [], [], [], [], []
             for row, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
                 covered = np.zeros(b - a + 1, dtype=np.int64)
@@ -118,7 +132,7 @@ def _removals(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
                     np.add.at(covered, at, 1)
                     np.add.at(covered, at + window, -1)
                 gone = np.cumsum(covered)[:-1] > 0
-                if copy[row] and b - a >= window:
+                if row in copies:
                     gone[:] = True
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0])).astype(np.int8)))
                 total.append(b - a)
@@ -150,7 +164,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     whose mark occurs in two different texts are counted by their own hash: the
     others cannot occur in two. Texts with the same sequence of words are copies,
     whatever white space parts them: a copy of a text with a smaller key goes
-    whole and is not counted again. No group is gathered: counts and least keys
+    whole and is not counted again; other rows of its key are judged by
+    themselves. A very long text is one row of one batch; an empty table gives
+    an empty one. No group is gathered: counts and least keys
     are partial aggregates; marks and copies that hold over 1 / HOT_BOUND of the
     rows are known by a broadcast of that size, and their windows are salted.
     """
@@ -159,7 +175,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     addresses = durable(named.mapInArrow(lambda it: _addresses(it, window), f"k {kind}, blob binary"))
     groups = durable(addresses.groupBy("blob").agg(F.min("k").alias("least"), F.max("k").alias("most"), F.count("*").alias("n")).where("least < most").drop("most"))
-    copies = meet(addresses, groups, "blob", HOT_BOUND).where("least < k").select(F.col("k").alias(key)).distinct().withColumn("__copy", F.lit(True))
+    copies = meet(addresses, groups, "blob", HOT_BOUND).where("least < k").groupBy(F.col("k").alias(key)).agg(F.collect_set("blob").alias("__copies"))
 
     marks = named.mapInArrow(lambda it: _distinct_marks(it, window), f"k {kind}, mark bigint, whole bigint")
     counted = marks.groupBy("mark").agg(F.min("whole").alias("a"), F.max("whole").alias("b"), F.count("*").alias("n")).where("a <> b").select("mark", "n")
@@ -168,7 +184,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     hot = np.array([r.mark for r in counted.where(F.col("n") * HOT_BOUND >= total).collect()], dtype=np.int64).view(np.uint64)
     shared = meet(marks.select("k", "mark"), counted, "mark", HOT_BOUND).groupBy(F.col("k").alias(key)).agg(F.collect_set("mark").alias("__marks"))
 
-    sought = named.join(shared, key).join(copies, key, "left_anti")
+    sought = named.join(shared, key).join(copies, key, "left").select(key, text, "__marks", "__copies")
     windows = sought.mapInArrow(lambda it: _windows(it, window, hot), f"k {kind}, h1 bigint, h2 bigint, salt int")
     least = windows.groupBy("h1", "h2", (F.col("salt") > 0).alias("hot")).agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most")
     salts = F.when(F.col("hot"), F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
@@ -176,8 +192,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     repeated = met.groupBy(F.col("k").alias(key)).agg(F.collect_set("h1").alias("__drop"))
 
     shape = f"k {kind}, n_words bigint, removed array<struct<start: bigint, end: bigint>>, kept string"
-    nameless = docs.where(F.col(key).isNull()).select(key, text, F.lit(None).cast("boolean").alias("__copy"), F.lit(None).cast("array<bigint>").alias("__drop"))
-    judged = named.join(copies, key, "left").join(repeated, key, "left").select(key, text, "__copy", "__drop").unionByName(nameless)
+    nameless = docs.where(F.col(key).isNull()).select(key, text, F.lit(None).cast("array<binary>").alias("__copies"), F.lit(None).cast("array<bigint>").alias("__drop"))
+    judged = named.join(copies, key, "left").join(repeated, key, "left").select(key, text, "__copies", "__drop").unionByName(nameless)
     return judged.mapInArrow(lambda it: _removals(it, window), shape).withColumnRenamed("k", key)
 
 
