@@ -517,10 +517,15 @@ _UNSAFE = (
     "SELECT * FROM nation, parquet.`{0}/nation.parquet`",
     "SELECT n_name FROM nation WHERE n_nationkey IN (SELECT n_nationkey FROM other)",
     "SELECT 1 FROM nation; DROP TABLE nation",
+    "SELECT count(*) OVER other FROM other WINDOW other AS (ORDER BY 1)",
+    "SELECT n_name FROM nation UNION ALL TABLE other",
+    "WITH q AS (TABLE other) SELECT * FROM q",
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.dir') FROM nation",
+    "SELECT TRANSFORM(n_name) USING 'cat' FROM nation",
 )
 
 
-@query("sql_guard", "SELECT i, CASE WHEN i < 6 THEN 'refused' ELSE cast((SELECT count(*) FROM nation WHERE n_name <> 'read_csv(') AS varchar) END AS outcome FROM range(7) t(i)")
+@query("sql_guard", "SELECT i, CASE WHEN i < 11 THEN 'refused' ELSE cast((SELECT count(*) FROM nation WHERE n_name <> 'read_csv(') AS varchar) END AS outcome FROM range(12) t(i)")
 def sql_guard(spark, d):
     outcomes = []
     for statement in (*_UNSAFE, "SELECT n_name /* FROM other; */ FROM nation WHERE n_name <> 'read_csv(' -- scan_x("):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from lexigrid.operators import sql
+from lexigrid.operators import sql, sql_plan
 
 
 @pytest.fixture
@@ -26,12 +26,26 @@ def blocks(spark):
         "SELECT * FROM words UNION ALL SELECT * FROM hidden",
         "SELECT * FROM spark_catalog.default.words",
         "DROP VIEW words",
+        "SELECT count(*) OVER hidden FROM hidden WINDOW hidden AS (ORDER BY id)",
+        "SELECT id FROM words UNION ALL TABLE hidden",
+        "WITH q AS (TABLE hidden) SELECT * FROM q",
+        "WITH q AS (SELECT * FROM r), r AS (SELECT 1) SELECT * FROM q",
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.dir') FROM words",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.dir') FROM words",
+        "SELECT max(try_reflect('java.lang.System', 'getProperty', 'user.dir')) FROM words",
+        "SELECT id FROM words WHERE id IN (SELECT id FROM IDENTIFIER('hid' || 'den'))",
+        "SELECT TRANSFORM(id) USING 'cat' FROM words",
+        "SELECT input_file_name() FROM words",
+        "SELECT own_function(id) FROM words",
+        "SELECT transform(tags, x -> reflect('java.lang.System', 'getProperty', x)) FROM words",
+        "SELECT id FROM words LATERAL VIEW java_method('a', 'b') t AS x",
         "SELECT 1; SELECT 2",
         "",
     ],
 )
 def test_refused(spark, blocks, statement):
     spark.range(3).createOrReplaceTempView("hidden")
+    spark.udf.register("own_function", lambda x: x)
     with pytest.raises(ValueError):
         sql.run_sql(spark, blocks, statement)
 
@@ -72,3 +86,13 @@ def test_created_blocks(spark, blocks):
     for statement, name in (("SELECT id, id FROM words", "x"), ("SELECT id FROM words", " "), ("SELECT id FROM words", "words")):
         with pytest.raises(ValueError):
             sql.create_block(spark, blocks, statement, name)
+
+
+def test_plans_are_looked_through(spark):
+    rich = "SELECT a, rank() OVER (ORDER BY a) FROM v WHERE EXISTS (SELECT 1 FROM v w WHERE w.a = v.a) GROUP BY a HAVING count(*) > 1 ORDER BY a LIMIT 3 OFFSET 1"
+    for statement in ("SELECT abs(a) FROM v", rich, "SELECT explode(a) FROM v INTERSECT SELECT DISTINCT b FROM VALUES (1) AS t(b)"):
+        sql_plan.check(spark, statement, {"v"})
+    other = spark.newSession()
+    other.udf.register("upper", lambda x: x)
+    with pytest.raises(ValueError, match="not allowed"):
+        sql_plan.check(other, "SELECT upper(a) FROM v", {"v"})
