@@ -112,11 +112,11 @@ def json_flatten_rules(spark, d):
     return found.where("big is not null").select("mixed", "either", "big", "flag", "list")
 
 
-@query("scan_json_batch", "SELECT count(*) AS records, 1 AS skipped, count(DISTINCT conv_id) AS conversations FROM conversations")
+@query("scan_json_batch", "SELECT conv_id, turn, text, '{\"role\": \"' || role || '\"}' AS \"by\", 1 AS skipped FROM conversations")
 def scan_json_batch(spark, d):
     """Many files and one that is no JSON."""
     path = place(spark, "scan_json_batch")
     _turns(spark, d).repartition(6).write.text(path)
     spark.createDataFrame([("{not json",)], "value string").coalesce(1).write.mode("append").text(path)
     found, skipped = tables.read_json_records(spark, path)
-    return found.agg(F.count("*").alias("records"), F.count_distinct("conv_id").alias("conversations")).crossJoin(skipped.agg(F.count("*").cast("int").alias("skipped"))).select("records", "skipped", "conversations")
+    return found.select("conv_id", "turn", "text", "by").crossJoin(skipped.agg(F.count("*").cast("int").alias("skipped")))
