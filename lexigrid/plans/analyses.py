@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrid.operators import agreement, annotations, density, filters, frequency, kwic, pages, quotes, topic_tree, topics, trends
-from lexigrid.functions.shared import written
+from lexigrid.operators import agreement, annotations, density, filters, frequency, kwic, pages, quotations, quotes, topic_tree, topics, trends
+from lexigrid.functions.shared import shared_folder, written
 from lexigrid.operators.filters import Condition
 from lexigrid.streaming import trends as streaming
 
@@ -416,8 +417,59 @@ def stream_windowed_counts(spark, d):
 
 # Quotations
 
-@query("quote_local")
+_MARKS = "\"“”„‟«»〝〞＂\n\r\t"
+_PLAIN = f"translate(text, '{_MARKS}', '{' ' * len(_MARKS)}')"
+#: Places do not depend on white space and invisible characters, which the rules read as one space or nothing.
+_QUOTED = f"(SELECT doc_id, '\"' || {_PLAIN} || ',\" ' || CASE WHEN doc_id % 2 = 0 THEN 'said Anna Berg.' ELSE 'Anna Berg said.' END AS text, length(text) AS n FROM documents WHERE length(text) >= 2)"
+_EVEN = "CASE WHEN doc_id % 2 = 0 THEN"
+_QUOTE_FIELDS = {
+    "speaker": "'Anna Berg'", "speaker_start_idx": f"{_EVEN} n + 9 ELSE n + 4 END", "speaker_end_idx": f"{_EVEN} n + 18 ELSE n + 13 END",
+    "quote": "substr(text, 1, n + 3)", "quote_start_idx": "0", "quote_end_idx": "n + 3",
+    "verb": "'said'", "verb_start_idx": f"{_EVEN} n + 4 ELSE n + 14 END", "verb_end_idx": f"{_EVEN} n + 8 ELSE n + 18 END",
+    "quote_type": f"{_EVEN} 'QCQVS' ELSE 'QCQSV' END", "is_floating_quote": "false", "quote_row_idx": "0",
+}
+_QUOTE_SQL = f"SELECT doc_id, {', '.join(f'{v} AS QUOTE_{k}' for k, v in _QUOTE_FIELDS.items())} FROM {_QUOTED}"
+
+
+def _quoted(spark, d):
+    """Every whole text as what somebody says."""
+    docs = load(spark, d, "documents").where(F.length("text") >= 2)
+    who = F.when(F.col("doc_id") % 2 == 0, "said Anna Berg.").otherwise("Anna Berg said.")
+    return docs.select("doc_id", F.concat(F.lit('"'), F.translate("text", _MARKS, " " * len(_MARKS)), F.lit('," '), who).alias("text"))
+
+
+@query("quote_local", _QUOTE_SQL)
 def quote_local(spark, d):
+    found = quotations.extract(_quoted(spark, d), "text").select("doc_id", F.explode("quotation").alias("q"))
+    return found.select("doc_id", *(F.col(f"q.{k}").alias(f"QUOTE_{k}") for k in _QUOTE_FIELDS))
+
+
+@query("quote_add", f"SELECT doc_id, lang, {', '.join(f'{v} AS QUOTE_{k}' for k, v in _QUOTE_FIELDS.items())} FROM {_QUOTED} JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)")
+def quote_add(spark, d):
+    """A row for each quotation with a column of its document; an earlier column of the same name is replaced."""
+    docs = _quoted(spark, d).join(load(spark, d, "documents").select("doc_id", "lang", F.lit("old").alias("QUOTE_speaker")), "doc_id")
+    return quotations.add(quotations.extract(docs, "text")).drop("text", "QUOTE_quote_token_count")
+
+
+@query("quote_run", f"SELECT doc_id, QUOTE_quote_type AS type, QUOTE_speaker AS speaker FROM ({_QUOTE_SQL}) UNION ALL SELECT doc_id + 1000000000, QUOTE_quote_type, QUOTE_speaker FROM ({_QUOTE_SQL})")
+def quote_run(spark, d):
+    """All texts twice, under other keys: each distinct text is parsed once."""
+    docs = _quoted(spark, d)
+    twice = docs.union(docs.select(F.col("doc_id") + 1_000_000_000, "text"))
+    done = quotations.run(twice, "text", f"{shared_folder(spark)}/quotations-{uuid4().hex}", parts=4)
+    return done.select("doc_id", F.explode("quotation").alias("q")).select("doc_id", F.col("q.quote_type").alias("type"), F.col("q.speaker").alias("speaker"))
+
+
+@query("quote_preview", f"SELECT doc_id, 1 AS quotations FROM {_QUOTED} ORDER BY doc_id LIMIT 20")
+def quote_preview(spark, d):
+    """The first page of documents that have quotations."""
+    page, _, _ = quotations.preview(_quoted(spark, d), "doc_id", "text", 20)
+    return page.select("doc_id", F.size("quotation").alias("quotations"))
+
+
+@query("quote_heuristic")
+def quote_heuristic(spark, d):
+    """Quotations in the documents as they are, by the short rules."""
     return quotes.quote_rows(quotes.find_quotes(load(spark, d, "documents").select("doc_id", "text"), "text"))
 
 
