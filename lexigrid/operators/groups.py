@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexigrid.functions.shared import durable
 from lexigrid.functions.text import is_empty, natural_key, trim
 
 SUMMARIES = ("join_text", "count_distinct", "distinct_values", "earliest_latest", "first", "last", "sum", "mean", "min", "max", "earliest", "latest")
@@ -128,19 +129,30 @@ def column_examples(df: DataFrame, ordinal: str, most: int = 200) -> DataFrame:
 def corpus_overview(df: DataFrame, text: str) -> DataFrame:
     """Documents, empty and duplicate ones, and lengths in words, or in characters where spaces are rare.
 
-    One pass works out both lengths; equal texts are told by their MD5.
+    One pass over the texts works out both lengths and an MD5, by which equal texts
+    are told; what is summed up after that are numbers.
     """
     t = df[f"`{text}`"]
     full = ~is_empty(t, T.StringType())
-    sizes = {"words": F.when(full, F.regexp_count(t, F.lit(r"(?U)\S+")).cast("bigint")), "characters": F.when(full, F.length(t).cast("bigint"))}
+    base = durable(
+        df.select(
+            full.alias("full"),
+            F.when(full, F.regexp_count(t, F.lit(r"(?U)\S+")).cast("bigint")).alias("words"),
+            F.when(full, F.length(t).cast("bigint")).alias("characters"),
+            F.regexp_count(t, F.lit(r"(?U)\s")).alias("gaps"),
+            F.length(t).alias("size"),
+            F.when(full, F.md5(t.cast("binary"))).alias("digest"),
+        )
+    )
     stats = {"total": lambda c: F.coalesce(F.sum(c), F.lit(0)), "shortest": F.min, "median": F.median, "mean": lambda c: F.round(F.avg(c), 6), "longest": F.max}
-    found = df.agg(
+    sums = base.agg(
         F.count("*").alias("documents"),
-        F.count_if(~full).alias("empty"),
-        (F.count_if(full) - F.count_distinct(F.when(full, F.md5(t.cast("binary"))))).alias("duplicates"),
-        F.coalesce(F.try_divide(F.sum(F.regexp_count(t, F.lit(r"(?U)\s"))), F.sum(F.length(t))), F.lit(0.0)).alias("spaces"),
-        *(stat(size).alias(f"{name}_{unit}") for unit, size in sizes.items() for name, stat in stats.items()),
+        F.count_if(~F.col("full")).alias("empty"),
+        F.coalesce(F.try_divide(F.sum("gaps"), F.sum("size")), F.lit(0.0)).alias("spaces"),
+        *(stat(F.col(unit)).alias(f"{name}_{unit}") for unit in ("words", "characters") for name, stat in stats.items()),
     )
+    different = base.where("full").groupBy("digest").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicates"))
+    found = sums.crossJoin(different)  # a row each
     unit = F.when(F.col("spaces") < 0.05, "characters").otherwise("words")
     chosen = (F.when(F.col("spaces") < 0.05, F.col(f"{n}_characters")).otherwise(F.col(f"{n}_words")).alias(n) for n in stats)
     return found.select("documents", "empty", "duplicates", unit.alias("unit"), *chosen)

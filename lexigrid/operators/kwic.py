@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexigrid.functions.shared import durable
 from lexigrid.functions.text import is_empty, literal, unicode_pattern
 
 #: Scripts written without spaces have no word edges.
@@ -163,8 +164,8 @@ def run(df: DataFrame, text: str, ordinal: str, search: str, left: int = 10, rig
     shuffled for that, not texts.
     """
     df, text = rerun(df, text)
-    # written hits would be computed for each of the three uses below; they are deterministic, so they only cost time
-    result = concordance(df, text, search, left, right, case_sensitive=case_sensitive, **options)
+    # the hits are used three times below, and found once
+    result = durable(concordance(df, text, search, left, right, case_sensitive=case_sensitive, **options))
     places = result.select(F.col(ordinal).alias("__row"), F.posexplode("hits").alias("__i", "h")).select("__row", "__i", *(F.nullif(_folded(F.col(f"h.{s}"), case_sensitive), F.lit("")).alias(s) for s in ("l1", "r1")))
     for side in ("l1", "r1"):
         freq = places.groupBy(side).agg(F.count("*").alias(f"{side}_freq")).where(F.col(side).isNotNull())
@@ -200,6 +201,7 @@ def match_rows(result: DataFrame) -> DataFrame:
     no window group in one task.
     """
     rows = result.select("*", F.posexplode("hits").alias("match_index", "hit")).select(*(c for c in result.columns if c != "hits"), F.col("match_index").cast("bigint").alias("match_index"), "hit.*")
+    rows = durable(rows)  # used three times
     for side in ("l1", "r1"):
         freq = rows.select(F.lower(side).alias("__word")).where("__word <> ''").groupBy("__word").agg(F.count("*").alias(f"{side}_freq"))
         rows = rows.join(freq, F.lower(side) == freq["__word"], "left").drop("__word")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexigrid.functions.shared import durable
+
 
 def cut_merges(topics: list[int], merges: list[tuple[int, int]], k: int) -> dict[int, int]:
     """Topic to merged topic, when the first merges (kept, absorbed) leave k topics."""
@@ -54,10 +56,14 @@ def colors(coverage: DataFrame, documents: DataFrame, group: str, n: int = 1) ->
 def examples(coverage: DataFrame, per_topic: int, seed: int | None = None) -> DataFrame:
     """The documents of highest coverage of each topic, or seeded random ones, with the percentile of their coverage."""
     real = coverage.where((F.col("topic_id") >= 0) & (F.col("coverage") > 0))
-    by_topic = Window.partitionBy("topic_id")
     order = [F.desc("coverage"), F.asc("doc")] if seed is None else [F.xxhash64(F.lit(seed), "doc"), F.asc("doc")]
-    placed = real.withColumn("percentile", F.round(100 * F.percent_rank().over(by_topic.orderBy("coverage")), 6))
-    return placed.withColumn("place", F.row_number().over(by_topic.orderBy(*order))).where(F.col("place") <= per_topic)
+    # only the best of each partition of a topic are brought together
+    best = durable(real.withColumn("place", F.row_number().over(Window.partitionBy("topic_id").orderBy(*order))).where(F.col("place") <= per_topic))
+    levels = real.groupBy("topic_id", F.col("coverage").alias("level")).agg(F.count("*").alias("n"))
+    sought = best.select("topic_id", "coverage").distinct()
+    under = sought.join(levels, "topic_id").groupBy("topic_id", "coverage").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("level") < F.col("coverage"), F.col("n")).otherwise(0)).alias("below"))
+    percentile = F.round(100 * F.coalesce(F.try_divide(F.col("below"), F.col("all") - 1), F.lit(0.0)), 6)
+    return best.join(under, ["topic_id", "coverage"]).select(*(f"`{c}`" for c in coverage.columns), percentile.alias("percentile"), "place")
 
 
 def segment_lengths(counts: str, shares: tuple[float, ...] = (0.5, 0.9, 0.95, 1.0)) -> list[Column]:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrid.functions.shared import durable
 from lexigrid.operators.order import numbered
 
 UNITS = {"second": "second", "minute": "minute", "hourly": "hour", "daily": "day", "weekly": "week", "monthly": "month", "quarterly": "quarter", "yearly": "year"}
@@ -67,7 +68,8 @@ def counts(df: DataFrame, axis: Column, at: Column, groups: list[str]) -> DataFr
     if len(groups) > 3:
         raise ValueError("3 groups at most")
     rows = df.select(at.alias("period"), axis.alias("__axis"), *(f"`{g}`" for g in groups)).where("period is not null")
-    grouped = rows.groupBy("period", *groups).agg(F.count("*").alias("sequential_count"), F.min("__axis").alias("period_start"), F.max("__axis").alias("period_end"))
+    # the counts are used three times, the rows once
+    grouped = durable(rows.groupBy("period", *groups).agg(F.count("*").alias("sequential_count"), F.min("__axis").alias("period_start"), F.max("__axis").alias("period_end")))
     out = grouped
     for keys, name in ((["period"], "period_index"), (groups, "group_index")):
         if not keys:
