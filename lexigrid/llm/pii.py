@@ -20,7 +20,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, and between the starts of two.
 WINDOW, STRIDE = 96, 48
 #: Bounds of the training sample, in windows of text, and of the training itself.
-SAMPLE_WINDOWS, STEPS, BATCH = 3000, 420, 64
+SAMPLE_WINDOWS, STEPS, BATCH = 3000, 480, 64
 
 # The base patterns. A digit before the start would have been in the match.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -118,7 +118,7 @@ def _window_starts(size: int, triggers: np.ndarray) -> np.ndarray:
 
 
 def _fits(kind: int, text: str) -> bool:
-    """What every span that the model adds must have; its shape is the model's to judge."""
+    """What every span that the model adds must have; its shape is the model's to judge. A card must pass the check of its digits."""
     found = _digits(text)
     if kind == 0:
         name, _, domain = text.partition("@")
@@ -126,7 +126,9 @@ def _fits(kind: int, text: str) -> bool:
     if kind == 1:
         numbers = re.findall(r"[0-9]+", text)
         return len(numbers) == 4 and all(len(x) < 4 and int(x) <= 255 for x in numbers)
-    return 13 <= len(found) <= 19 if kind == 2 else 8 <= len(found) <= 15
+    if kind == 2:
+        return 13 <= len(found) <= 19 and luhn(found)
+    return 9 <= len(found) <= 15
 
 
 def _spans_of(path: np.ndarray) -> list[Span]:
@@ -203,11 +205,19 @@ def _example(rng: np.random.Generator, word) -> tuple[str, int]:
     if kind == 1:
         return pick(".", ".", "[.]", " . ").join(byte() for _ in range(4)), 1
     if kind == 2:
-        return pick(pick("", "", " ", "-", ".").join(d(4) for _ in range(4)), f"{d(4)} {d(6)} {d(5)}", d(int(rng.integers(14, 20)))), 2
+        return pick(pick("", " ", "-", ".", " - ", "/", "_").join(d(4) for _ in range(4)), pick(" ", ".", "-").join((d(4), d(6), d(5))), d(16)), 2
     if kind == 3:
-        return pick(f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"00{d(2)} {d(3)} {d(7)}"), 3
+        return pick(
+            f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"({d(3)}){d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}",
+            f"00{d(2)} {d(3)} {d(7)}", f"0{d(2)} {d(4)} {d(4)}", f"0{d(3)} {d(3)} {d(3)}", f"0{d(3)}/{d(7)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}",
+        ), 3
     hexes = lambda n: "".join(pick(*"0123456789abcdef") for _ in range(n))
-    return pick(d(int(rng.integers(1, 8))), f"{d(1)}.{d(2)}", f"20{d(2)}-0{d(1)}-1{d(1)}", f"20{d(2)}", hexes(40), hexes(int(rng.integers(12, 33))), f"{d(3)},{d(3)}", f"@{word()}", f"v{d(1)}.{d(1)}.{d(1)}", f"version {d(1)}.{d(1)}.", f"{d(2)}:{d(2)}:{d(2)}", f"{d(3)}x{d(3)}"), -1
+    date = f"20{d(2)}{pick('-', '/', '.')}{pick('0', '1')}{d(1)}{pick('-', '/', '.')}{d(2)}"
+    return pick(
+        d(int(rng.integers(1, 15))), f"{d(1)}.{d(2)}", date, f"{date} {d(2)}:{d(2)}:{d(2)}", f"20{d(12)}", f"20{d(6)}T{d(6)}Z", f"20{d(2)}", hexes(40), hexes(int(rng.integers(12, 33))), f"{d(3)},{d(3)}", f"{d(1)},{d(3)},{d(3)}", f"@{word()}",
+        f"v{d(1)}.{d(1)}.{d(1)}", f"version {d(1)}.{d(1)}.", f"{d(2)}:{d(2)}:{d(2)}", f"{d(3)}x{d(3)}", f"{d(3)}-{d(2)}-{d(4)}", f"{pick('SN', 'No. ', 'order ', '#', 'ID-', 'ref ')}{d(int(rng.integers(6, 13)))}",
+        f"{d(3)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(5)}-{d(4)}", f"{word()}-{d(4)}-{d(4)}", f"{d(2)}.{d(3)}.{d(3)}", f"{d(4)}-{d(4)}", f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}", f"price @ {d(2)}.{d(2)}",
+    ), -1
 
 
 def made_up(rng: np.random.Generator, word) -> tuple[str, list[Span]]:
@@ -219,7 +229,7 @@ def made_up(rng: np.random.Generator, word) -> tuple[str, list[Span]]:
 
 
 def labelled_spans(text: str) -> list[Span]:
-    """What a text teaches: its base spans, and numbers that would be cards but for the check digit, as a slip of one digit makes."""
+    """What a text teaches: its base spans, and the shape of cards where the check of digits fails; none of these is added, see _fits."""
     base = base_spans(text)
     cards = [(m.start(), 2, m.end()) for m in _CARD.finditer(text) if 14 <= len(_digits(m[0])) <= 19]
     return sorted({*base, *(c for c in cards if all(c[2] <= s or c[0] >= e for s, _, e in base))})
