@@ -133,7 +133,7 @@ def test_op4_spans_that_the_model_alone_finds(spark, small):
         found = [set(pii._spans_of(path)) for path in pii.paths([t for t, _ in cases], model)]
         right = sum(len(f & set(s)) for f, (_, s) in zip(found, cases, strict=True))
         assert right / sum(map(len, found)) >= 0.9 and right / sum(len(s) for _, s in cases) >= 0.9
-    asked = spark.createDataFrame([(1, "please call 555-123-4567 or write"), (2, "pay with 4000.1234.5678.9010 then"), (3, "version 3.0 of 2024, 120,000 copies")], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(1, "please call 555-123-4567 or write"), (2, "pay with 4012.8888.8888.1881 then"), (3, "version 3.0 of 2024, 120,000 copies")], "doc_id bigint, text string")
     added = {r.doc_id: [s.kind for s in r.added] for r in pii.find_pii(asked, model).collect() if not r.base}
     assert added == {1: ["phone"], 2: ["card"], 3: []}
 
