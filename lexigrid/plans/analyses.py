@@ -233,16 +233,17 @@ def kwic_dispersion(spark, d):
     return kwic.dispersion(kwic.density(_hits(spark, d, contexts=False), "text"), 10, fold_case=True)
 
 
-@query("kwic_tokens", f"SELECT doc_id, len(list_filter({_WORDS}, lambda w: w IN ('the', 'of'))) AS n FROM documents WHERE len(list_filter({_WORDS}, lambda w: w IN ('the', 'of'))) > 0")
+@query("kwic_tokens", f"SELECT doc_id, array_to_string(list_filter({_WORDS}, lambda w: w IN ('the', 'of')), ',') AS found FROM documents WHERE len(list_filter({_WORDS}, lambda w: w IN ('the', 'of'))) > 0")
 def kwic_tokens(spark, d):
     df = load(spark, d, "documents").withColumn("tokens", frequency.tokenize(F.col("text")))
-    return kwic.concordance_tokens(df, "text", "tokens", "the, of", 2, 2).select("doc_id", F.size("hits").cast("bigint").alias("n"))
+    hits = kwic.concordance_tokens(df, "text", "tokens", "the, of", 2, 2)
+    return hits.select("doc_id", F.array_join(F.transform("hits", lambda h: F.lower(h["matched_text"])), ",").alias("found"))
 
 
-@query("kwic_combined", "SELECT 'documents' AS source_block, count(*) AS n FROM documents WHERE contains(lower(text), 'ing ') UNION ALL SELECT 'benchmark', count(*) FROM benchmark WHERE contains(lower(text), 'ing ')")
+@query("kwic_combined", "SELECT 'documents' AS source_block, cast(doc_id AS varchar) AS id FROM documents WHERE contains(lower(text), 'ing ') UNION ALL SELECT 'benchmark', cast(item_id AS varchar) FROM benchmark WHERE contains(lower(text), 'ing ')")
 def kwic_combined(spark, d):
-    found = {n: kwic.concordance(load(spark, d, n).select("text"), "text", "ing ").select("text") for n in ("documents", "benchmark")}
-    return kwic.combined(found).groupBy("source_block").agg(F.count("*").alias("n"))
+    parts = {"documents": "doc_id", "benchmark": "item_id"}
+    return kwic.combined({n: kwic.concordance(load(spark, d, n).select(F.col(k).cast("string").alias("id"), "text"), "text", "ing ").select("id") for n, k in parts.items()})
 
 
 @query("kwic_add_match", f"WITH {_PARTS} SELECT doc_id, match_index, matched_text FROM w")
@@ -587,9 +588,10 @@ def topic_add_topics(spark, d):
     return topics.add_topics(parts).drop("share")
 
 
-@query("topic_add_documents", f"SELECT doc, count(*) AS topics FROM {_COVER} GROUP BY doc")
+@query("topic_add_documents", f"SELECT doc, string_agg(topic_id || ':' || coverage, ',' ORDER BY topic_id) AS coverage FROM {_COVER} GROUP BY doc")
 def topic_add_documents(spark, d):
-    return topics.with_coverage_array(_coverage(spark, d)).select("doc", F.size("coverage").cast("bigint").alias("topics"))
+    wide = topics.with_coverage_array(_coverage(spark, d))
+    return wide.select("doc", F.array_join(F.transform("coverage", lambda c: F.concat_ws(":", c["topic_id"], c["coverage"])), ",").alias("coverage"))
 
 
 @query("topic_fingerprint")
@@ -610,6 +612,15 @@ def annot_label(spark, d):
     return load(spark, d, "customer").select("c_custkey", annotations.label(F.concat(F.lit(" "), "c_mktsegment"), ["BUILDING", "MACHINERY"]).alias("label"))
 
 
+@query("annot_run", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'kept' WHEN c_mktsegment <> 'BUILDING' THEN lower(c_mktsegment) END AS label FROM customer")
+def annot_run(spark, d):
+    """Labels of distinct texts, one of which failed and stays null, to the rows that have none yet."""
+    customers = load(spark, d, "customer").select("c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 3 == 0, "kept").alias("label"))
+    texts = customers.select(F.col("c_mktsegment").alias("text")).distinct()
+    labels = texts.select("text", F.when(F.col("text") != "BUILDING", F.lower("text")).alias("label"))
+    return annotations.fill_missing(customers, "label", "c_mktsegment", labels).select("c_custkey", "label")
+
+
 @query("annot_examples", "SELECT c_custkey, c_mktsegment, place FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS place FROM customer) WHERE place <= 4")
 def annot_examples(spark, d):
     return annotations.examples(load(spark, d, "customer"), "c_mktsegment", "c_custkey", 4).select("c_custkey", "c_mktsegment", "place")
