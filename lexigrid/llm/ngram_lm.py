@@ -230,6 +230,8 @@ def _n_grams(batches: Iterator[pa.RecordBatch], order: int, width: int, bits: in
         block = Block(_words(rows.column(2)), order, width)
         counts = block.counts(rows.column(1).to_numpy(zero_copy_only=False))
         for k, (hashes, n) in enumerate(zip(block.hashes, counts, strict=True)):
+            if not len(hashes):  # no text of the block is so long
+                continue
             ranges, cuts = np.unique(hashes >> shift if bits else np.zeros(len(hashes), dtype=np.uint64), return_index=True)
             parts = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(hashes)], strict=True))
             yield pa.record_batch(
