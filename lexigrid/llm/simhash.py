@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrid.functions.shared import written
 from lexigrid.llm.common import durable, meet, pieces, table
 from lexigrid.llm.components import connected_components
 from lexigrid.llm.textbytes import mix
@@ -20,6 +21,11 @@ SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
 TILE_MIN, TILE_MAX, TILES_WANTED = 4096, 65536, 64
 #: Texts in a block whose similarity is confirmed.
 BLOCK = 256
+#: Blocks whose fingerprints are compared together to find which of them meet, and pairs of blocks for which one copy of a block is sent.
+TILE_BLOCKS, USES = 64, 16
+#: What is known of a block's texts.
+PACK = ("fps", "ends", "sets", "comps")
+PACK_TYPES = ", ".join(f"{name} binary" for name in PACK)
 
 
 def radius_for(similarity: float, bits: int, deviations: float = 3.0) -> int:
@@ -206,22 +212,33 @@ def linked(fps: DataFrame, radius: int = RADIUS, lanes: int = 1) -> DataFrame:
     return connected_components(tiles.select("fps", "label").mapInArrow(inside, both).union(pairs.mapInArrow(between, both)))
 
 
+def _chunks(data: bytes, width: int) -> list[bytes]:
+    return [data[i : i + width] for i in range(0, len(data), width)]
+
+
+def _numbers(*sides: list[bytes]) -> list[np.ndarray]:
+    """The values of each side as numbers, equal ones alike on all sides."""
+    known: dict[bytes, int] = {}
+    return [np.array([known.setdefault(x, len(known)) for x in side], dtype=np.int64) for side in sides]
+
+
 def _packed(rows: pa.Table) -> pa.Table:
-    """A block's fingerprints in the order of their bit counts, and their shingle sets one behind the other."""
+    """A block's fingerprints in the order of their bit counts, with their components and their shingle sets one behind the other."""
     fps = _matrix(rows["fp"].to_pylist(), len(rows["fp"][0].as_py()) // 8)
     order = np.argsort(_ones(fps), kind="stable")
-    sets = rows["shingles"].to_pylist()
-    sets = [sets[i] for i in order.tolist()]
+    sets, comps = ([column[i] for i in order.tolist()] for column in (rows["shingles"].to_pylist(), rows["comp"].to_pylist()))
     ends = np.cumsum([len(x) // 4 for x in sets])
-    found = [fps[order].tobytes(), ends.astype(np.int64).tobytes(), b"".join(sets)]
-    return pa.table([rows["root"][:1], rows["block"][:1], rows["blocks"][:1], *(pa.array([x], pa.binary()) for x in found)], ["root", "block", "blocks", "fps", "ends", "sets"])
+    found = {"fps": fps[order].tobytes(), "ends": ends.astype(np.int64).tobytes(), "sets": b"".join(sets), "comps": b"".join(comps)}
+    kept = {name: rows[name][:1] for name in rows.column_names if name not in ("fp", "shingles", "comp")}
+    return pa.table(kept | {name: pa.array([x], pa.binary()) for name, x in found.items()})
 
 
 def _confirm(row: pa.Table, radius: int, lanes: int, similarity: float) -> pa.Table:
     """A spanning forest of the links between two blocks' texts, or inside one, each tree as a star.
 
-    Candidates are asked for their sets' similarity from the closest
-    fingerprints on, and only while their trees are not one yet.
+    Texts of one component are one tree from the start. Candidates are asked for
+    their sets' similarity from the closest fingerprints on, and only while
+    their trees are not one yet.
     """
     one = {name: row[name][0].as_py() for name in row.column_names}
     fps = [np.frombuffer(one[f"fps{side}"], np.uint64).reshape(-1, lanes) for side in "ab"]
@@ -232,7 +249,9 @@ def _confirm(row: pa.Table, radius: int, lanes: int, similarity: float) -> pa.Ta
     if same:
         x, y = x[x < y], y[x < y]
     order = np.argsort(np.bitwise_count(fps[0][x] ^ fps[1][y]).sum(axis=1), kind="stable")
-    tree = np.arange(len(fps[0]) + (0 if same else len(fps[1])))
+    (comps,) = _numbers(_chunks(one["compsa"] + (b"" if same else one["compsb"]), 8 * lanes))
+    _, first, inverse = np.unique(comps, return_index=True, return_inverse=True)
+    tree = first[inverse]
 
     def top(i: int) -> int:
         while tree[i] != i:
@@ -250,9 +269,59 @@ def _confirm(row: pa.Table, radius: int, lanes: int, similarity: float) -> pa.Ta
                 tree[max(a, b)] = min(a, b)
                 linked_rows += [i, other]
     rows = np.unique(np.array(linked_rows, dtype=np.int64))
-    centre = _centres(every, np.array([top(i) for i in range(len(every))]))[rows]
-    off = rows != centre
-    return pa.table([_binary(every[rows[off]]), _binary(every[centre[off]])], ["a", "b"])
+    tops = np.array([top(i) for i in range(len(every))])
+    # of a tree only its linked rows are tied, the others are tied to those already
+    centre = _centres(every[rows], tops[rows])
+    off = centre != np.arange(len(rows))
+    return pa.table([_binary(every[rows[off]]), _binary(every[rows[centre[off]]])], ["a", "b"])
+
+
+def _tiled(rows: pa.Table) -> pa.Table:
+    """The fingerprints of a tile's blocks in the order of their bit counts, each with its component and its block's place in the list."""
+    fps = [np.frombuffer(x, np.uint64) for x in rows["fps"].to_pylist()]
+    width = 8 * rows["lanes"][0].as_py()
+    comps = _chunks(b"".join(rows["comps"].to_pylist()), width)
+    values = np.concatenate(fps).reshape(-1, width // 8)
+    at = np.repeat(np.arange(len(fps), dtype=np.uint32), [8 * len(x) // width for x in fps])
+    order = np.argsort(_ones(values), kind="stable")
+    found = {"fps": values[order].tobytes(), "comps": b"".join([comps[i] for i in order.tolist()]), "at": at[order].tobytes()}
+    kept = {name: rows[name][:1] for name in ("root", "tile", "tiles")}
+    lists = {name: pa.array([rows[name].to_pylist()], pa.list_(kind)) for name, kind in (("blocks", pa.string()), ("whole", pa.bool_()))}
+    return pa.table(kept | lists | {name: pa.array([x], pa.binary()) for name, x in found.items()})
+
+
+def _meeting(row: pa.Table, radius: int, lanes: int) -> pa.Table:
+    """Pairs of blocks of two tiles, or of one, with fingerprints within the radius that are not of one component.
+
+    The fingerprints of a block that is part of one component are not compared
+    with others of it.
+    """
+    one = {name: row[name][0].as_py() for name in row.column_names}
+    fps = [np.frombuffer(one[f"fps{side}"], np.uint64).reshape(-1, lanes) for side in "ab"]
+    at = [np.frombuffer(one[f"at{side}"], np.uint32).astype(np.int64) for side in "ab"]
+    comps = _numbers(*(_chunks(one[f"comps{side}"], 8 * lanes) for side in "ab"))
+    group = np.where(np.array(one["wholea"])[at[0]], comps[0], -1)
+    met = [np.zeros(0, np.int64)]
+    for g in np.unique(group).tolist():
+        i, j = np.flatnonzero(group == g), np.flatnonzero(comps[1] != g)
+        for x, y in _close(fps[0][i], fps[1][j], radius, triangle=False):
+            x, y = i[x], j[y]
+            apart = comps[0][x] != comps[1][y]
+            met.append(np.unique(at[0][x[apart]] << 32 | at[1][y[apart]]))
+    names = sorted({tuple(sorted((one["blocksa"][k >> 32], one["blocksb"][k & 0xFFFFFFFF]))) for k in np.concatenate(met).tolist()})
+    return pa.table([pa.array([n[i] for n in names], pa.string()) for i in (0, 1)], ["block", "other"])
+
+
+def _sides(frame: DataFrame, names: tuple[str, ...], side: str) -> list:
+    return [frame[name].alias(name + side) for name in names]
+
+
+def _brought(pairs: DataFrame, packs: DataFrame, name: str, other: str, side: str) -> DataFrame:
+    """pairs with the pack of the block in ``name``, of which a copy is sent for about every USES pairs."""
+    uses = durable(pairs.groupBy(name).agg(F.count("*").alias("n"), F.ceil(F.count("*") / USES).alias("copies")))
+    turns = meet(pairs, uses, name).withColumn("turn", F.pmod(F.xxhash64(F.lit("turn"), other), "copies")).drop("copies")
+    ready = packs.withColumnRenamed("block", name).join(uses.drop("n"), name)
+    return turns.join(ready.select(name, F.expr("explode(sequence(0L, copies - 1))").alias("turn"), *_sides(ready, PACK, side)), [name, "turn"]).drop("turn")
 
 
 def confirmed(docs: DataFrame, candidates: DataFrame, key: str, text: str, words_per_shingle: int, radius: int, lanes: int, similarity: float) -> DataFrame:
@@ -260,7 +329,8 @@ def confirmed(docs: DataFrame, candidates: DataFrame, key: str, text: str, words
 
     candidates: fp, root and first, the key of a row with that fingerprint. The
     candidates of a component are dealt to blocks of about BLOCK texts, and each
-    block meets each, so a task has two blocks however large the component.
+    block meets itself and those that are a power of two further on, which links
+    nearly all that can be linked. What is left is dealt anew, see ``_rest``.
     """
     wanted = candidates.select(F.col("first").alias(key), "root", "fp")
 
@@ -277,14 +347,64 @@ def confirmed(docs: DataFrame, candidates: DataFrame, key: str, text: str, words
 
     texts = docs.select(key, F.col(text).alias("t")).join(wanted, key).select("t", "root", "fp")
     found = durable(texts.mapInArrow(sets, "root binary, fp binary, shingles binary").dropDuplicates(["fp"]))
-    sizes = found.groupBy("root").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    placed = meet(found, durable(sizes), "root").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "fp"), "blocks"))
-    packs = durable(placed.groupBy("root", "block").applyInArrow(_packed, "root binary, block bigint, blocks bigint, fps binary, ends binary, sets binary"))
-    side = lambda s: [F.col(c).alias(c + s) for c in ("fps", "ends", "sets")]
-    left = packs.select("root", "block", F.expr("explode(sequence(block, blocks - 1))").alias("other"), *side("a"))
-    both = left.join(packs.select("root", F.col("block").alias("other"), *side("b")), ["root", "other"])
-    edges = both.groupBy("root", "other", "block").applyInArrow(lambda row: _confirm(row, radius, lanes, similarity), "a binary, b binary")
-    return connected_components(edges)
+    sizes = durable(found.groupBy("root").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK)))
+    placed = meet(found, sizes, "root").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "fp"), "blocks")).withColumn("comp", F.col("fp"))
+    packs = durable(placed.groupBy("root", "block").applyInArrow(_packed, f"root binary, blocks bigint, block bigint, {PACK_TYPES}"))
+    ahead = F.expr("explode(filter(transform(sequence(-1, 40), k -> block + if(k < 0, 0L, shiftleft(1L, k))), x -> x < blocks))")
+    left = packs.select("root", "block", ahead.alias("other"), *_sides(packs, PACK, "a"))
+    both = left.join(packs.select("root", packs["block"].alias("other"), *_sides(packs, PACK, "b")), ["root", "other"])
+    confirm = lambda row: _confirm(row, radius, lanes, similarity)
+    # written tables here and below: a checkpoint keeps an estimated size that every join multiplies
+    known = written(connected_components(both.groupBy("root", "other", "block").applyInArrow(confirm, "a binary, b binary")))
+    large = sizes.where("blocks > 3")  # up to three blocks have all met each other
+    if large.isEmpty():
+        return known
+    pairs, packs = _rest(found, large, known, radius, lanes)
+    both = _brought(_brought(pairs, packs, "block", "other", "a"), packs, "other", "block", "b")
+    edges = written(both.groupBy("block", "other").applyInArrow(confirm, "a binary, b binary"))
+    return connected_components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(edges))
+
+
+def _rest(found: DataFrame, large: DataFrame, known: DataFrame, radius: int, lanes: int) -> tuple[DataFrame, DataFrame]:
+    """Which blocks must still meet, (block, other), and the packs of all blocks.
+
+    Texts are dealt anew: a confirmed component of at least BLOCK texts has
+    blocks of its own, smaller ones share blocks. Blocks of one component need
+    not meet, so a dense group makes no pairs, and others meet only where they
+    have close fingerprints. Those are compared alone, 32 bytes a text, in tiles
+    of about TILE_BLOCKS blocks, each with itself and half of the others.
+    """
+    of = known.select(F.col("node").alias("fp"), F.col("root").alias("of"))
+    tags = meet(found.select("root", "fp"), large.select("root", "n"), "root").join(of, "fp", "left")
+    tags = durable(tags.select("root", "fp", F.coalesce("of", "fp").alias("comp")))
+    comps = durable(tags.groupBy("root", "comp").agg(F.count("*").alias("size")).withColumn("whole", F.col("size") >= BLOCK))
+    few, own = F.when(~F.col("whole"), F.col("size")), F.when(F.col("whole"), F.ceil(F.col("size") / BLOCK))
+    roots = comps.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.coalesce(F.sum(few), F.lit(0)) / BLOCK).alias("shared"), F.coalesce(F.sum(own), F.lit(0)).alias("own"))
+    roots = durable(roots.select("root", "n", "shared", F.ceil((F.col("shared") + F.col("own")) / TILE_BLOCKS).alias("tiles")))
+    shapes = durable(meet(comps, roots, "root").withColumn("n", F.col("size")))
+    parts = F.when(F.col("whole"), F.ceil(F.col("size") / BLOCK)).otherwise(F.col("shared"))
+    number = F.pmod(F.xxhash64(F.lit("part"), F.when(F.col("whole"), F.col("fp")).otherwise(F.col("comp"))), parts)
+    owner = F.when(F.col("whole"), F.hex("comp")).otherwise(F.lit(""))
+    placed = (
+        meet(tags.drop("root"), shapes, "comp")
+        .select("root", "fp", "comp", "whole", "tiles", owner.alias("owner"), number.alias("number"))
+        .withColumn("tile", F.pmod(F.xxhash64(F.lit("tile"), "owner", F.floor(F.col("number") / TILE_BLOCKS)), "tiles"))
+        .select("root", "fp", "comp", "whole", "tile", "tiles", F.concat_ws(":", F.hex("root"), "owner", "number").alias("block"))
+    )
+    packs = written(
+        found.select("fp", "shingles").join(placed, "fp").groupBy("block").applyInArrow(_packed, f"root binary, whole boolean, tile bigint, tiles bigint, block string, {PACK_TYPES}")
+    )
+    fields = ("blocks", "whole", "fps", "comps", "at")
+    names = packs.select("root", "tile", "tiles", packs["block"].alias("blocks"), "whole", "fps", "comps", F.lit(lanes).alias("lanes"))
+    tiles = durable(
+        names.groupBy("root", "tile").applyInArrow(_tiled, "root binary, tile bigint, tiles bigint, blocks array<string>, whole array<boolean>, fps binary, comps binary, at binary")
+    )
+    steps = tiles.withColumn("step", F.expr("explode(sequence(0L, tiles div 2))")).withColumn("other", F.expr("(tile + step) % tiles"))
+    steps = steps.where("step * 2 < tiles or tile < other")
+    left = steps.select("root", "tile", "other", *_sides(steps, fields, "a"))
+    both = left.join(tiles.select("root", tiles["tile"].alias("other"), *_sides(tiles, fields, "b")), ["root", "other"])
+    meeting = both.groupBy("root", "other", "tile").applyInArrow(lambda row: _meeting(row, radius, lanes), "block string, other string")
+    return written(meeting), packs.select("block", *PACK)
 
 
 def near_duplicates(

@@ -63,6 +63,52 @@ def test_confirmed_near_duplicates(spark, docs, empty, monkeypatch):
         assert found == {(9, 4), (4, 4), (5, 4), (6, 6), (None, None), (7, 7)}
 
 
+def test_confirmed_in_blocks_agrees_with_all_pairs(spark, monkeypatch):
+    """Several dense groups that share much of their words, and stray texts: blocks, dealt anew, lose no link and add none."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for group in range(4):
+        base = [f"w{i}" for i in range(60)] + [f"g{group}x{i}" for i in range(14)]
+        for _ in range(14):
+            words = list(base)
+            for at in rng.choice(len(words), int(rng.integers(0, 5)), replace=False):
+                words[at] = f"r{int(rng.integers(0, 10**6))}"
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").cache()
+    sets = [{" ".join(w[i : i + 2]) for i in range(len(w) - 1)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    wanted = {(d, top(d)) for d in range(len(texts))}
+    assert 1 < len({c for _, c in wanted}) < len(texts)
+    args = {"words_per_shingle": 2, "lanes": 4, "radius": 120, "similarity": 0.8}
+    met = []
+    rest = simhash._rest
+
+    def counted(*given):
+        pairs, packs = rest(*given)
+        met.append((pairs.count(), packs.count()))
+        assert pairs.distinct().count() == pairs.count()
+        return pairs, packs
+
+    monkeypatch.setattr(simhash, "_rest", counted)
+    for block, tile, uses in ((256, 64, 16), (5, 64, 16), (3, 2, 1), (1, 3, 2)):
+        for name, value in (("BLOCK", block), ("TILE_BLOCKS", tile), ("USES", uses)):
+            monkeypatch.setattr(simhash, name, value)
+        found = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs, **args).collect()}
+        assert found == wanted, (block, tile, uses)
+    assert len(met) == 3 and all(0 < pairs < blocks * (blocks + 1) // 2 for pairs, blocks in met), met
+
+
 def test_simhash_several_tiles_agree_with_one(spark, monkeypatch):
     rng = np.random.default_rng(3)
     values = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
