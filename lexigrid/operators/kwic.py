@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from lexigrid.functions.shared import durable
 from lexigrid.functions.text import is_empty, literal, unicode_pattern
+from lexigrid.operators.order import numbered
 
 #: Scripts written without spaces have no word edges.
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}"
@@ -249,8 +250,17 @@ def combined(pages: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def sort_matches(rows: DataFrame, column: str, ordinal: str, descending: bool = False, fold_case: bool = True) -> DataFrame:
-    """By one column, empties last; ties by row, then place, always upwards."""
+def _sort_keys(column: str, ordinal: str, descending: bool, fold_case: bool) -> list[Column]:
     key = F.lower(column) if fold_case and column in ("l1", "r1", "matched_text") else F.col(column)
     key = F.nullif(key, F.lit("")) if column in ("l1", "r1", "matched_text") else key
-    return rows.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), ordinal, "match_index")
+    return [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col(ordinal).asc(), F.col("match_index").asc()]
+
+
+def sort_matches(rows: DataFrame, column: str, ordinal: str, descending: bool = False, fold_case: bool = True) -> DataFrame:
+    """By one column, empties last; ties by row, then place, always upwards."""
+    return rows.orderBy(*_sort_keys(column, ordinal, descending, fold_case))
+
+
+def place_matches(rows: DataFrame, column: str, ordinal: str, descending: bool = False, fold_case: bool = True) -> DataFrame:
+    """rows with their place, from 0, in the order of ``sort_matches``, so that any page is a range of places."""
+    return numbered(rows, _sort_keys(column, ordinal, descending, fold_case), "place")

@@ -251,8 +251,10 @@ def kwic_add_match(spark, d):
     return kwic.sort_matches(kwic.match_rows(_hits(spark, d)), "matched_text", "doc_id").select("doc_id", "match_index", "matched_text")
 
 
-ORACLE_SQL["result_sort"] = ORACLE_SQL["kwic_add_match"]
-QUERIES["result_sort"] = lambda spark, d: kwic.sort_matches(kwic.match_rows(_hits(spark, d)), "l1", "doc_id", descending=True).select("doc_id", "match_index", "matched_text")
+@query("result_sort", f"WITH {_CONTEXTS} SELECT doc_id, match_index, matched_text, row_number() OVER (ORDER BY nullif(lower(l1), '') DESC NULLS LAST, doc_id, match_index) - 1 AS place FROM q")
+def result_sort(spark, d):
+    rows = kwic.match_rows(_hits(spark, d)).select("doc_id", "match_index", "matched_text", "l1")
+    return kwic.place_matches(rows, "l1", "doc_id", descending=True).drop("l1")
 
 
 # Windows
