@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexigrid.functions.shared import durable
+from lexigrid.functions.shared import durable, written
 from lexigrid.functions.text import is_empty, literal, unicode_pattern
 from lexigrid.operators.order import numbered
 
@@ -199,10 +199,10 @@ def match_rows(result: DataFrame) -> DataFrame:
     """One row for each hit, with its position in the document and the frequencies of l1 and r1, case folded.
 
     The frequencies are counted apart and joined back, so a common neighbour is
-    no window group in one task.
+    no window group in one task. Of the result, used three times, a table is
+    written before hits become rows: each row has its document's columns.
     """
-    rows = result.select("*", F.posexplode("hits").alias("match_index", "hit")).select(*(c for c in result.columns if c != "hits"), F.col("match_index").cast("bigint").alias("match_index"), "hit.*")
-    rows = durable(rows)  # used three times
+    rows = written(result).select("*", F.posexplode("hits").alias("match_index", "hit")).select(*(c for c in result.columns if c != "hits"), F.col("match_index").cast("bigint").alias("match_index"), "hit.*")
     for side in ("l1", "r1"):
         freq = rows.select(F.lower(side).alias("__word")).where("__word <> ''").groupBy("__word").agg(F.count("*").alias(f"{side}_freq"))
         rows = rows.join(freq, F.lower(side) == freq["__word"], "left").drop("__word")

@@ -253,7 +253,7 @@ def kwic_add_match(spark, d):
 
 @query("result_sort", f"WITH {_CONTEXTS} SELECT doc_id, match_index, matched_text, row_number() OVER (ORDER BY nullif(lower(l1), '') DESC NULLS LAST, doc_id, match_index) - 1 AS place FROM q")
 def result_sort(spark, d):
-    rows = kwic.match_rows(_hits(spark, d)).select("doc_id", "match_index", "matched_text", "l1")
+    rows = kwic.match_rows(_hits(spark, d).select("doc_id", "hits")).select("doc_id", "match_index", "matched_text", "l1")
     return kwic.place_matches(rows, "l1", "doc_id", descending=True).drop("l1")
 
 
