@@ -57,6 +57,12 @@ def test_tokens_of_a_batch_are_not_all_objects_at_once(spark, monkeypatch):
     assert peak_mb(monkeypatch, (kwic, lambda: kwic.concordance_tokens(df, "t", "tokens", "the", 2, 2)), LONG, listed) < 8
 
 
+def test_hits_of_a_batch_are_not_all_objects_at_once(spark, monkeypatch):
+    df = spark.createDataFrame([("a",)], "t string")
+    for contexts in (True, False):
+        assert peak_mb(monkeypatch, (kwic, lambda c=contexts: kwic.concordance(df, "t", "the", 3, 3, contexts=c)), LONG) < 8
+
+
 def test_tokens_beside_nulls_and_other_rows(spark, monkeypatch):
     """By batches of one row and of all, null and empty texts and token lists among them."""
     for piece in (1, 1 << 18):
