@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexigrid.functions.text import pieces
 from lexigrid.operators.quotes import VERBS
 
 #: The 13 fields of a quotation, in their order.
@@ -141,8 +142,10 @@ def extract(df: DataFrame, text: str, column: str = "quotation") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([parse(t) if t else [] for t in batch.column(at).to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*(f.name for f in kept), column])
+            for a, b in pieces(batch.column(at)):
+                some = batch.slice(a, b - a)
+                found = pa.array([parse(t) if t else [] for t in some.column(at).to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([*some.columns, found], [*(f.name for f in kept), column])
 
     shape = T.StructType([*kept, T.StructField(column, T.ArrayType(T.StructType.fromDDL(FIELDS)))])
     return df.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, shape)

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from lexigrid.functions import text
-from lexigrid.operators import frequency, kwic
+from lexigrid.operators import frequency, kwic, quotations
 
 
 def test_pieces_hold_all_rows_in_order(monkeypatch):
@@ -74,3 +74,19 @@ def test_tokens_beside_nulls_and_other_rows(spark, monkeypatch):
             (1, [("", "The", " end", 0, 3, "", "end")]),
             (4, [("", "of", " the", 0, 2, "", "the"), ("of ", "the", " of", 3, 6, "of", "of"), ("the ", "of", "", 7, 9, "the", "")]),
         ]
+
+
+def test_quotations_leave_a_batch_in_pieces(spark, monkeypatch):
+    """Batches that leave Python hold a piece of text each, and all rows in their order."""
+    monkeypatch.setattr(text, "PIECE", 1 << 10, raising=False)
+    texts = [None, "", *(f'"Number {i} is here, and so is this," said Anna Berg.' for i in range(200))]
+    taken = []
+    df = spark.createDataFrame([(1, "a")], "id bigint, t string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, shape: taken.append(f))
+    quotations.extract(df, "t")
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "t"])
+    out = list(taken[0](iter([batch])))
+    assert max(b.num_rows for b in out) < 40
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert [(r["id"], r["t"]) for r in rows] == list(enumerate(texts))
+    assert [len(r["quotation"]) for r in rows] == [0, 0] + [1] * 200
