@@ -4,9 +4,9 @@ Distances are whole numbers: components are rounded to steps so fine that every
 squared distance is exact in a double, so results do not depend on the order of
 work. Equal vectors are one point with a weight from the start.
 
-Steps: core distances from nearest neighbours and a spanning tree by Borůvka
-rounds, both over pairs of tiles of points of which only the few best rows per
-point or component leave a task; the tree is cut by weight into parts of bounded
+Steps: core distances from nearest neighbours and the edges of spanning trees of
+any two blocks of points, each in one pass over pairs of groups of points; a
+spanning tree of these edges by Borůvka rounds; the tree is cut by weight into parts of bounded
 size, each of which is turned into a piece of the condensed tree by itself; the
 pieces are joined by their names.
 """
@@ -25,6 +25,8 @@ from lexigrid.operators.order import numbered
 
 #: Points of a tile, tiles that a tile meets in one task, and edges that are turned into a tree in one task.
 TILE, SPAN, PART = 512, 16, 200_000
+#: Tiles of a block, whose points and another's get a tree at once, and blocks of a group, of which a task has two.
+BLOCK, GROUP = 4, 8
 
 
 def _steps(vectors: DataFrame, vector: str) -> tuple[DataFrame, int]:
@@ -59,26 +61,45 @@ def _by_tiles(points: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], sc
     return left.groupBy("i", "g").cogroup(right.groupBy("i", "g")).applyInArrow(f, schema)
 
 
+def _by_pairs(points: DataFrame, f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """f of the points of each two groups (g <= h, with ``mine`` the one of a point) of up to GROUP blocks of tiles.
+
+    All points meet, also those of one group (g = h). A point is sent to as many
+    tasks as there are groups: some eight, or more where groups are full.
+    """
+    tiles = (points.agg(F.max("tile")).first()[0] or 0) + 1
+    per = BLOCK * min(GROUP, -(-tiles // (8 * BLOCK)))
+    groups = -(-tiles // per)
+    met = points.withColumn("mine", F.floor(F.col("tile") / per).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    met = met.withColumns({"g": F.least("mine", "other"), "h": F.greatest("mine", "other")}).drop("other")
+    # the work is far larger than what is read, so small partitions are not put together
+    return met.repartition(min(2 * groups * (groups + 1), 4000), "g", "h").groupBy("g", "h").applyInArrow(f, schema)
+
+
 def core_distances(points: DataFrame, width: int, neighbours: int) -> DataFrame:
     """(idx, core): squared distance to the ``neighbours``-th nearest other row, or to the furthest where there are fewer.
 
     points: idx, n (rows that share the vector), steps, tile.
     """
 
-    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = left["idx"].to_numpy(), right["idx"].to_numpy()
-        found = {"idx": [], "d": [], "n": []}
-        if len(a) and len(b):
-            distance = _squared(_matrix(left["steps"], width), _matrix(right["steps"], width))
-            distance[a[:, None] == b] = np.inf
-            k = min(neighbours, len(b))
-            place = np.argpartition(distance, k - 1, axis=1)[:, :k]
-            d = np.take_along_axis(distance, place, axis=1)
-            other = np.isfinite(d)
-            found = {"idx": np.repeat(a, k)[other.ravel()], "d": d[other].astype(np.int64), "n": right["n"].to_numpy()[place][other]}
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in found.items()})
-
-    near = _by_tiles(points.select("idx", "n", "steps", "tile"), nearest, "idx bigint, d bigint, n bigint")
+    def nearest(met: pa.Table) -> pa.Table:
+        idx, n, steps, mine = met["idx"].to_numpy(), met["n"].to_numpy(), _matrix(met["steps"], width), met["mine"].to_numpy()
+        g, h = met["g"][0].as_py(), met["h"][0].as_py()
+        found = [[np.zeros(0, np.int64)] for _ in range(3)]
+        for one, two in {(g, h), (h, g)}:
+            rows, others = np.flatnonzero(mine == one), np.flatnonzero(mine == two)
+            k = min(neighbours, len(others))
+            for some in np.array_split(rows, -(-len(rows) // TILE)) if k and len(rows) else ():
+                distance = _squared(steps[some], steps[others])
+                distance[idx[some][:, None] == idx[others]] = np.inf
+                place = np.argpartition(distance, k - 1, axis=1)[:, :k]
+                d = np.take_along_axis(distance, place, axis=1)
+                other = np.isfinite(d)
+                for at, x in enumerate((np.repeat(idx[some], k)[other.ravel()], d[other].astype(np.int64), n[others][place][other])):
+                    found[at].append(x)
+        return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in found], ["idx", "d", "n"])
+
+    near = _by_pairs(points.select("idx", "n", "steps", "tile"), nearest, "idx bigint, d bigint, n bigint")
     lists = near.groupBy("idx").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", F.col("n").alias("m")))), 1, neighbours).alias("near"))
     walk = F.aggregate(
         "near",
@@ -100,43 +121,72 @@ def _jump(links: DataFrame) -> DataFrame:
         roots = jumped.select("node", "root")
 
 
+def _local_tree(idx: np.ndarray, steps: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, w): the minimum spanning tree of some points, by rising idx; edges are ordered by weight, then by their ends."""
+    square = (steps * steps).sum(1)
+    weight = steps @ steps.T
+    weight *= -2
+    weight += square[:, None]
+    weight += square
+    np.maximum(weight, core[:, None], out=weight)
+    np.maximum(weight, np.maximum(core, 1), out=weight)
+    # of each point the best edge to the tree: its weight (below all once it is in), the same (above all), its end
+    best = weight[0].copy()
+    open_, end = best.copy(), np.zeros(len(idx), np.int64)
+    best[0], open_[0] = -1, np.inf
+    one, two, w = (np.zeros(len(idx) - 1, np.int64) for _ in range(3))
+    for i in range(len(idx) - 1):
+        least = open_.min()
+        at = np.flatnonzero(open_ == least)
+        at = at[0] if len(at) == 1 else at[np.lexsort((np.maximum(at, end[at]), np.minimum(at, end[at])))[0]]
+        one[i], two[i], w[i] = end[at], at, least
+        best[at], open_[at] = -1, np.inf
+        row = weight[at]
+        better = (row < best) | ((row == best) & (at < end))
+        for kept, new in ((best, row), (open_, row), (end, at)):
+            np.copyto(kept, new, where=better)
+    return idx[np.minimum(one, two)], idx[np.maximum(one, two)], w
+
+
 def spanning_tree(points: DataFrame, width: int) -> DataFrame:
     """(a, b, w): a minimum spanning tree of mutual reachability, the largest of the squared distance and both cores, at least 1.
 
     points: idx, core, steps, tile. Edges are ordered by weight, then by their
-    ends, so each component of a round has one best edge, and two components
-    that choose each other choose the same one.
+    ends, so there is just one such tree. An edge of it between two blocks of
+    points, or within one, is in the tree of these two blocks alone: all pairs
+    are looked at once for these trees, and Borůvka rounds go over their edges.
     """
-    state = written(points.select("idx", "core", "steps", "tile", F.col("idx").alias("comp")))
-    edges = None
-
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = left["idx"].to_numpy(), right["idx"].to_numpy()
-        own, other = left["comp"].to_numpy(), right["comp"].to_numpy()
-        found = [np.zeros(0, np.int64)] * 5
-        if len(a) and len(b) and (other[:, None] != own[0]).any() | (own != own[0]).any():
-            weight = np.maximum(np.maximum(_squared(_matrix(left["steps"], width), _matrix(right["steps"], width)), left["core"].to_numpy()[:, None]), np.maximum(right["core"].to_numpy(), 1))
-            weight[own[:, None] == other] = np.inf
-            least = weight.min(axis=1)
-            rows, columns = np.nonzero((weight == least[:, None]) & np.isfinite(least)[:, None])
-            low, high = np.minimum(a[rows], b[columns]), np.maximum(a[rows], b[columns])
-            order = np.lexsort((high, low, least[rows], own[rows]))
-            _, first = np.unique(own[rows][order], return_index=True)
-            take = order[first]
-            found = [own[rows][take], least[rows][take].astype(np.int64), low[take], high[take], other[columns][take]]
-        return pa.table([pa.array(x, pa.int64()) for x in found], ["comp", "w", "a", "b", "other"])
 
+    def trees(met: pa.Table) -> pa.Table:
+        met = met.sort_by("idx")
+        idx, core, steps = met["idx"].to_numpy(), met["core"].to_numpy().astype(float), _matrix(met["steps"], width)
+        mine, block = met["mine"].to_numpy(), met["tile"].to_numpy() // BLOCK
+        g, h = met["g"][0].as_py(), met["h"][0].as_py()
+        ours, theirs = (np.unique(block[mine == x]) for x in (g, h))
+        pairs = [(i, j) for i in ours for j in theirs if i < j] or [(i, i) for i in ours if g == h]
+        found = [(np.zeros(0, np.int64),) * 3]
+        for i, j in pairs:
+            some = np.flatnonzero((block == i) | (block == j))
+            if len(some) > 1:
+                found.append(_local_tree(idx[some], steps[some], core[some]))
+        return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], ["a", "b", "w"])
+
+    left = _by_pairs(points.select("idx", "core", "steps", "tile"), trees, "a bigint, b bigint, w bigint")
+    left = written(left.withColumns({"ca": F.col("a"), "cb": F.col("b")}))
+    edges = None
     while True:
-        chosen = _by_tiles(state, best, "comp bigint, w bigint, a bigint, b bigint, other bigint")
-        chosen = written(chosen.groupBy("comp").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("comp", "e.*"))
+        both = left.select(F.col("ca").alias("comp"), "w", "a", "b", F.col("cb").alias("other")).union(left.select("cb", "w", "a", "b", "ca"))
+        chosen = written(both.groupBy("comp").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("comp", "e.*"))
         if chosen.isEmpty():
             return edges if edges is not None else chosen.select("a", "b", "w")
         new = chosen.select("a", "b", "w").distinct()
         edges = new if edges is None else edges.union(new)
         back = chosen.select(F.col("comp").alias("other"), F.col("other").alias("back"))
         links = chosen.join(back, "other").where((F.col("back") != F.col("comp")) | (F.col("comp") > F.col("other"))).select(F.col("comp").alias("node"), F.col("other").alias("up"))
-        roots = _jump(links).withColumnRenamed("node", "comp")
-        state = written(state.join(roots, "comp", "left").select("idx", "core", "steps", "tile", F.coalesce("root", "comp").alias("comp")))
+        roots = _jump(links)
+        for end in ("ca", "cb"):
+            left = left.join(roots.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        left = written(left.where("ca <> cb"))
 
 
 def _components(edges: DataFrame) -> DataFrame:

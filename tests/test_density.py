@@ -193,3 +193,20 @@ def test_terms_skip_nothing(spark):
     found = {(r.topic_id, r.place): r.term for r in topic_tree.terms(words, 2).collect()}
     assert found == {(0, 1): "a", (0, 2): "b", (1, 1): "c", (1, 2): "b"}
     assert topic_tree.terms(words.where(F.lit(False)), 2).count() == 0
+
+
+@pytest.mark.parametrize(("n", "tile", "grid"), [(1, 4, 3), (2, 4, 3), (90, 1, 3), (150, 2, 2), (150, 64, 50)])
+def test_spanning_tree_looks_at_all_pairs_once(spark, monkeypatch, n, tile, grid):
+    """By one pass over the pairs, the one tree that the order of edges leaves, with many equal weights and several blocks."""
+    rng = np.random.default_rng(n + grid)
+    steps, core = rng.integers(0, grid, (n, 3)), rng.integers(0, 4, n)
+    passes, by_pairs = [], density._by_pairs
+    monkeypatch.setattr(density, "_by_pairs", lambda *x: passes.append(1) or by_pairs(*x))
+    points = spark.createDataFrame([(i, int(core[i]), steps[i].tolist(), i // tile) for i in range(n)], "idx bigint, core bigint, steps array<int>, tile int")
+    found = sorted((r.w, r.a, r.b) for r in density.spanning_tree(points, 3).collect())
+    root, want = list(range(n)), []
+    for w, a, b in sorted((max(int(((steps[a] - steps[b]) ** 2).sum()), core[a], core[b], 1), a, b) for a in range(n) for b in range(a + 1, n)):
+        if root[a] != root[b]:
+            want.append((w, a, b))
+            root = [root[a] if x == root[b] else x for x in root]
+    assert found == want and len(passes) == 1
