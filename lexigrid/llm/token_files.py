@@ -22,6 +22,7 @@ from __future__ import annotations
 import bisect
 import json
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 from uuid import uuid4
@@ -42,6 +43,8 @@ MAGIC = b"DACTOK01"
 CHUNK_BITS, BLOCK = 8, 512
 #: Tokens of a segment, which ends with the document that fills it; bytes of text sorted into one file.
 SEGMENT_TOKENS, FILE_BYTES = 1 << 20, 32 << 20
+#: Bytes of text that Spark hands to Python at once, and of those encoded together.
+BATCH_BYTES, PIECE_BYTES = 8 << 20, 4 << 20
 #: Words whose ids a task remembers, and the longest of them.
 REMEMBERED, LONGEST = 3 << 18, 64
 SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
@@ -227,16 +230,21 @@ class FilePart(InputPartition):
 
 
 class TokenWriter(DataSourceArrowWriter):
-    """A file for each task's rows; the manifest lists those of the attempts that were committed."""
+    """A file for each task's rows; the manifest lists those of the attempts that were committed.
 
-    def __init__(self, place: str, segment_tokens: int):
+    Rows are (key, ids) or, where a tokenizer is named, (key, text): then one
+    Python worker encodes and writes, and ids do not pass through Spark.
+    """
+
+    def __init__(self, place: str, segment_tokens: int, tokenizer: str | None = None, end_id: int | None = None):
         self.place, self.segment_tokens = place, segment_tokens
+        self.tokenizer, self.end_id = tokenizer, end_id
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, path = _place(self.place)
         part = TaskContext.get().partitionId()
         name, builder, first, last, docs, tokens = f"part-{part:06d}-{uuid4().hex}.dac", None, None, None, 0, 0
-        for batch in iterator:
+        for batch in encoded(iterator, self.tokenizer, self.end_id) if self.tokenizer else iterator:
             if builder is None and batch.num_rows:
                 system.create_dir(path, recursive=True)
                 builder = FileBuilder(system.open_output_stream(f"{path}/{name}"), self.segment_tokens)
@@ -298,7 +306,11 @@ class TokenReader(DataSourceReader):
 
 
 class TokenTable(DataSource):
-    """``spark.read.format("dac_tokens").load(place)``: (doc_id, start, n_tokens, ids), ids as unsigned 32-bit integers."""
+    """``spark.read.format("dac_tokens").load(place)``: (doc_id, start, n_tokens, ids), ids as unsigned 32-bit integers.
+
+    Written are (key, ids); with the option ``tokenizer``, a file, (key, text),
+    and the id of the option ``endid``, if there is one, behind each text.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -311,7 +323,8 @@ class TokenTable(DataSource):
         return TokenReader(self.options["path"])
 
     def writer(self, schema: T.StructType, overwrite: bool) -> TokenWriter:
-        return TokenWriter(self.options["path"], int(self.options.get("segmenttokens", SEGMENT_TOKENS)))
+        end = self.options.get("endid")
+        return TokenWriter(self.options["path"], int(self.options.get("segmenttokens", SEGMENT_TOKENS)), self.options.get("tokenizer"), None if end is None else int(end))
 
 
 # encoding
@@ -386,6 +399,29 @@ def _coder(file: str, end_id: int | None) -> WordCoder:
     return WordCoder(file, end_id)
 
 
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int | None, budget: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) for batches of (key, text), in pieces of ``budget`` bytes of text."""
+    coder = _coder(tokenizer, end_id)
+    for batch in batches:
+        for a, b in pieces(batch.column(1), budget):
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], coder.encode(batch.column(1)[a:b])], ["doc_id", "ids"])
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """What runs meanwhile hands rows to Python in batches of about ``size`` bytes, a longer row alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def tokenizer_file(spark: SparkSession) -> str:
     """The tokenizer's place on every machine: ``lexigrid.tokens.tokenizer``, else the public one."""
     named = spark.conf.get("lexigrid.tokens.tokenizer", None)
@@ -396,7 +432,7 @@ def tokenizer_file(spark: SparkSession) -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_texts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 1, budget: int = 4 << 20) -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 1, budget: int = PIECE_BYTES) -> DataFrame:
     """(key, ids) of each row of docs, in its order: ids as unsigned 32-bit integers, null texts as empty ones, ``end_id`` behind each.
 
     tokenizer: the file of one that drops white space and begins a piece at a
@@ -406,10 +442,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(tokenizer, end_id)
-        for batch in batches:
-            for a, b in pieces(batch.column(1), budget):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], coder.encode(batch.column(1)[a:b])], ["doc_id", "ids"])
+        return encoded(batches, tokenizer, end_id, budget)
 
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id bigint, ids binary")
 
@@ -419,9 +452,10 @@ def write_tokens(docs: DataFrame, place: str, tokenizer: str, key: str = "doc_id
 
     Keys are whole numbers; null keys come last, rows with equal keys in the
     order of a hash of their texts. Texts are sorted by ranges of keys, some
-    ``file_bytes`` in each; rows with one key may be of several ranges. Null and
-    empty texts have the end id alone; an empty table gives a manifest without
-    files; other columns are not read.
+    ``file_bytes`` in each; rows with one key may be of several ranges. The
+    task that writes a file also encodes its texts. Null and empty texts have
+    the end id alone; an empty table gives a manifest without files; other
+    columns are not read.
     """
     spark = docs.sparkSession
     spark.dataSource.register(TokenTable)
@@ -429,8 +463,9 @@ def write_tokens(docs: DataFrame, place: str, tokenizer: str, key: str = "doc_id
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     order = [F.col("doc_id").asc_nulls_last(), F.col("hash"), F.col("row")]
     ranged = rows.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(max(1, -(-size // file_bytes)), *order)
-    ids = encode_texts(ranged.sortWithinPartitions(*order), tokenizer, "doc_id", "text", end_id)
-    ids.write.format("dac_tokens").mode("append").save(place)
+    options = {"tokenizer": tokenizer} | ({} if end_id is None else {"endid": end_id})
+    with small_batches(spark):
+        ranged.sortWithinPartitions(*order).select("doc_id", "text").write.format("dac_tokens").options(**options).mode("append").save(place)
 
 
 def read_tokens(spark: SparkSession, place: str) -> DataFrame:

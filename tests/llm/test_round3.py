@@ -75,6 +75,34 @@ def test_files_give_all_ids_back(spark, file):
     assert len(token_files.read_manifest(place)) > 1
 
 
+def test_texts_reach_the_writer_in_small_batches(spark, file, monkeypatch):
+    most = 2 * token_files.BATCH_BYTES if hasattr(token_files, "BATCH_BYTES") else 16 << 20
+
+    class Watched(token_files.TokenTable):
+        def writer(self, schema, overwrite):
+            writer = super().writer(schema, overwrite)
+            write = writer.write
+
+            def watch(batches):
+                for b in batches:
+                    if b.schema.types[1] != pa.string() or b.nbytes > most:
+                        raise ValueError(f"a batch of {b.nbytes} bytes, {b.schema}")
+                    yield b
+
+            writer.write = lambda batches: write(watch(batches))
+            return writer
+
+    monkeypatch.setattr(token_files, "TokenTable", Watched)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab cd. "), 1500).alias("text"))
+    place, name = f"{shared_folder(spark)}/tokens-batches", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    token_files.write_tokens(docs, place, file)
+    assert spark.conf.get(name, None) == before
+    assert [f["docs"] for f in token_files.read_manifest(place)] == [3000]
+    whole = token_files.encode_texts(docs, file).withColumnRenamed("ids", "whole")
+    assert token_files.read_tokens(spark, place).join(whole, "doc_id").where("ids = whole").count() == 3000
+
+
 def test_no_documents_no_files(spark, file):
     place = f"{shared_folder(spark)}/tokens-none"
     token_files.write_tokens(spark.createDataFrame([], "doc_id bigint, text string"), place, file)
