@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from lexigrid.operators import kwic
+from lexigrid.plans import analyses
 
 
 def hits(spark, text, search, *args, **options):
@@ -31,3 +32,13 @@ def test_contexts_longer_than_the_first_look(spark, gap):
 def test_whole_words_and_punctuation(spark):
     assert len(hits(spark, "the other the", "the", whole_word=True)) == 2
     assert hits(spark, "a, b ! c", "b", 2, 2, ignore_punctuation=False)[0][:3] == ("a, ", "b", " ! c")
+
+
+def test_a_search_of_text_brings_the_contexts_of_its_hits(spark, tmp_path):
+    spark.createDataFrame([(1, "Of all, the best - and The"), (2, None), (3, "other")], "doc_id bigint, text string").withColumn("lang", analyses.F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    found = analyses.kwic_text(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "match_index", "left_context", "matched_text", "right_context", "start_idx", "end_idx", "l1", "r1"]
+    assert sorted(map(tuple, found.collect())) == [
+        (1, 0, "Of all, ", "the", " best - and The", 8, 11, "all", "best"),
+        (1, 1, "the best - and ", "The", "", 23, 26, "and", ""),
+    ]
