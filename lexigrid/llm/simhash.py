@@ -19,6 +19,10 @@ from lexigrid.llm.textbytes import mix
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
 #: A tile is meant for at least and at most so many fingerprints, and in between grows with their number. They are dealt by hash, so it can hold more.
 TILE_MIN, TILE_MAX, TILES_WANTED = 4096, 65536, 64
+#: Above so many fingerprints those that are close are met by equal parts, if these have at least so many bits.
+PARTED, PART_BITS = 1 << 17, 10
+#: Signs that are met in one task, runs of equal signs that are met in strips, and what rounding may add.
+SIGNS, RUN, EPS = 1 << 21, 64, 1e-6
 #: Texts in a block whose similarity is confirmed.
 BLOCK = 256
 #: Blocks whose fingerprints are compared together to find which of them meet, and pairs of blocks for which one copy of a block is sent.
@@ -52,10 +56,32 @@ def _shingles(texts: list[bytes], words_per_shingle: int, repeats: bool = True)
             starts = [0, *ends[: n - 1].tolist()]
             hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words_per_shingle - 1 :] - 1).tolist(), strict=True)]
         values = np.array(hashes, dtype=np.uint64)
-        out.append(values if repeats else np.unique(values))
+        out.append(values if repeats else _different(values))
     return out
 
 
+def _different(values: np.ndarray) -> np.ndarray:
+    """The different values, rising."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
+def _bit_counts(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """For each run of values, of which firsts are the places, how many have each of the 64 bits.
+
+    A word counts one bit of each of its eight bytes, for up to 255 values.
+    """
+    sizes = np.diff(np.append(firsts, len(values)))
+    words = -(-sizes // 255)
+    first = np.cumsum(words) - words
+    starts = np.repeat(firsts, words) + 255 * (np.arange(words.sum()) - np.repeat(first, words))
+    out = np.empty((len(starts), 8, 8), dtype=np.int32)
+    for bit in range(8):
+        sums = np.add.reduceat((values >> np.uint64(bit)) & np.uint64(0x0101010101010101), starts)
+        out[:, :, bit] = sums.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return np.add.reduceat(out.reshape(-1, 64), first, axis=0)
+
+
 def _fingerprints(shingles: list[np.ndarray], lanes: int) -> np.ndarray:
     """For each text ``lanes`` words of 64 bits; all zero for a text without words.
 
@@ -69,9 +95,7 @@ def _fingerprints(shingles: list[np.ndarray], lanes: int) -> np.ndarray:
         firsts = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
         for lane in range(lanes):
             lane_values = values if lane == 0 else mix(values ^ np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64)))
-            bits = np.unpackbits(lane_values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, firsts, axis=0, dtype=np.int32)
-            over = (2 * ones > sizes[some, None]).astype(np.uint8)
+            over = (2 * _bit_counts(lane_values, firsts) > sizes[some, None]).astype(np.uint8)
             out[some, lane] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
     return out
 
@@ -87,18 +111,38 @@ def _matrix(column: list[bytes] | pa.Array, lanes: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=">u8").astype(np.uint64).reshape(-1, lanes)
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = SHINGLE_WORDS, lanes: int = 1, repeats: bool = True) -> DataFrame:
-    """(key, fp binary, ones int): the SimHash of each whole text and its bit count, one row for each row of docs."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = SHINGLE_WORDS, lanes: int = 1, similarity: float | None = None) -> DataFrame:
+    """(key, fp binary, ones int): the SimHash of each whole text and its bit count, one row for each row of docs.
+
+    similarity: with it, fingerprints are of the different shingles, and there
+    are also size, how many 32-bit hashes these have, and head, see ``_head``.
+    """
     kind = docs.schema[key].dataType.simpleString()
+    names = ["k", "fp", "ones", "size", "head"][: 3 if similarity is None else 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in pieces(batch.column(1)):
                 texts = [x or b"" for x in batch.column(1)[a:b].cast(pa.binary()).to_pylist()]
-                rows = _fingerprints(_shingles(texts, words_per_shingle, repeats), lanes)
-                yield pa.record_batch([batch.column(0)[a:b], _binary(rows), pa.array(_ones(rows).astype(np.int32))], ["k", "fp", "ones"])
+                shingles = _shingles(texts, words_per_shingle, similarity is None)
+                rows = _fingerprints(shingles, lanes)
+                columns = [batch.column(0)[a:b], _binary(rows), pa.array(_ones(rows).astype(np.int32))]
+                if similarity is not None:
+                    sets = [_different(x.astype(np.uint32)) for x in shingles]
+                    columns += [pa.array([len(x) for x in sets], pa.int32()), pa.array([_head(x, similarity).tobytes() for x in sets], pa.binary())]
+                yield pa.record_batch(columns, names)
+
+    shape = f"k {kind}, fp binary, ones int" + ", size int, head binary" * (similarity is not None)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, shape).withColumnRenamed("k", key)
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, fp binary, ones int").withColumnRenamed("k", key)
+
+def _head(rising: np.ndarray, similarity: float) -> np.ndarray:
+    """The first values of a set, so many that sets of this Jaccard similarity have one of them in common.
+
+    They have at least ``similarity`` of either's values in common, so the least
+    common one has that many less one behind it.
+    """
+    return rising[: len(rising) - max(1, math.ceil(similarity * len(rising) - EPS)) + 1]
 
 
 def _ones(rows: np.ndarray) -> np.ndarray:
@@ -117,17 +161,19 @@ def _centres(fps: np.ndarray, label: np.ndarray) -> np.ndarray:
     return out
 
 
-def _close(a: np.ndarray, b: np.ndarray, radius: int, triangle: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _close(a: np.ndarray, b: np.ndarray, radius: int, triangle: bool, sizes: tuple[np.ndarray, np.ndarray] | None = None, similarity: float | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of positions within the radius, a strip of rows at a time.
 
     Both sides are ordered by bit count, so of each strip only the columns whose
-    counts are within the radius are compared.
+    counts are within the radius are compared. With a similarity they are ordered
+    by the sizes of their sets, and those of which it can be are compared.
     """
-    counts_a, counts_b = _ones(a), _ones(b)
+    counts_a, counts_b = sizes or (_ones(a), _ones(b))
     columns = [np.ascontiguousarray(b[:, lane]) for lane in range(b.shape[1])]
+    lows = np.searchsorted(counts_b, counts_a - radius if similarity is None else counts_a * similarity - EPS, "left")
+    highs = np.searchsorted(counts_b, _reach(counts_a, radius, similarity), "right")
     for r in range(0, len(a), 16):
-        lo = np.searchsorted(counts_b, counts_a[r] - radius, "left")
-        hi = np.searchsorted(counts_b, counts_a[r : r + 16][-1] + radius, "right")
+        lo, hi = lows[r], highs[r : r + 16][-1]
         lo = max(lo, r) if triangle else lo
         if lo < hi:
             apart = np.bitwise_count(a[r : r + 16, 0, None] ^ columns[0][None, lo:hi])
@@ -140,6 +186,11 @@ def _close(a: np.ndarray, b: np.ndarray, radius: int, triangle: bool) -> Iterato
                 yield x + r, y + lo
 
 
+def _reach(counts: np.ndarray, radius: int, similarity: float | None) -> np.ndarray:
+    """Up to which bit count, or size of a set, others can be close."""
+    return counts + radius if similarity is None else counts / similarity + EPS
+
+
 def _tile(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """The fingerprints ordered by bit count, and for each the position of its component's centre."""
     fps = fps[np.lexsort((*fps.T, _ones(fps)))]
@@ -154,10 +205,145 @@ def _tile(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return fps, _centres(fps, label)
 
 
+def _parts(fps: DataFrame, radius: int, lanes: int) -> DataFrame:
+    """fps as (fp, size, head): their bits in radius + 1 parts, of which two within the radius have one alike; size is the bit count."""
+    ends = [64 * lanes * i // (radius + 1) for i in range(radius + 2)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _matrix(batch.column(0).to_pylist(), lanes)
+            signs = np.empty((len(rows), radius + 1), dtype=np.uint64)
+            for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+                bits = np.zeros(len(rows), dtype=np.uint64)
+                for lane in range(a // 64, (b - 1) // 64 + 1):
+                    x, y = max(a - 64 * lane, 0), min(b - 64 * lane, 64)
+                    bits = mix(bits) ^ (rows[:, lane] >> np.uint64(x)) & np.uint64((1 << y - x) - 1)
+                signs[:, i] = mix(bits ^ np.uint64(i << 56)) >> np.uint64(32)
+            heads = pa.array([x.tobytes() for x in signs.astype(np.uint32)], pa.binary())
+            yield pa.record_batch([batch.column(0), batch.column(1), heads], ["fp", "size", "head"])
+
+    return fps.select("fp", "ones").mapInArrow(run, "fp binary, size int, head binary")
+
+
+def _trees(fps: np.ndarray, sizes: np.ndarray, signs: np.ndarray, at: np.ndarray, radius: int, similarity: float | None) -> np.ndarray:
+    """For each fingerprint one that it is tied to by close pairs with a sign in common, the same for all of a tree.
+
+    fps are ordered by size; signs and at: a sign, and whose it is.
+    """
+    tree, many = np.arange(len(fps)), np.uint64(32)
+    both = _different(signs.astype(np.uint64) << many | at.astype(np.uint64))
+    signs, at = both >> many, (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    reach = np.searchsorted(sizes, _reach(sizes, radius, similarity), "right")
+
+    def tops(x: np.ndarray) -> np.ndarray:
+        up = tree[x]
+        while (up != (further := tree[up])).any():
+            up = further
+        tree[x] = up
+        return up
+
+    def tie(x: np.ndarray, y: np.ndarray) -> None:
+        x, y = tops(x), tops(y)
+        ends = np.unique(x[x != y] << 32 | y[x != y])
+        for a, b in zip((ends >> 32).tolist(), (ends & 0xFFFFFFFF).tolist(), strict=True):
+            while tree[a] != a:
+                a = tree[a]
+            while tree[b] != b:
+                b = tree[b]
+            tree[max(a, b)] = min(a, b)
+
+    edges = np.flatnonzero(np.append(True, signs[1:] != signs[:-1])) if len(signs) else np.zeros(0, np.int64)
+    lengths = np.diff(np.append(edges, len(signs)))
+    # short runs all at once: each with the one behind it, then the one behind that
+    last = np.repeat(edges + lengths, lengths)
+    i = np.flatnonzero(np.repeat((lengths > 1) & (lengths <= RUN), lengths))
+    for step in range(1, RUN):
+        i = i[i + step < last[i]]
+        i = i[at[i + step] < reach[at[i]]]
+        if not len(i):
+            break
+        x, y = at[i], at[i + step]
+        apart = tops(x) != tops(y)
+        x, y = x[apart], y[apart]
+        near = np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1, dtype=np.int64) <= radius
+        tie(x[near], y[near])
+
+    def strips(a: np.ndarray, b: np.ndarray, triangle: bool) -> None:
+        for x, y in _close(fps[a], fps[b], radius, triangle, (sizes[a], sizes[b]), similarity):
+            tie(a[x], b[y])
+
+    for k in np.flatnonzero(lengths > RUN).tolist():
+        run = at[edges[k] : edges[k] + lengths[k]]
+        if len(run) > 16 * RUN:  # some meet all, so that a dense group is a tree
+            strips(run[:: len(run) // 16], run, False)
+        names, number, count = np.unique(tops(run), return_inverse=True, return_counts=True)
+        most = number == count.argmax()
+        if len(names) > 1:  # those of the largest tree need not meet each other
+            few = run[~most]
+            strips(few, few, True)
+            strips(few, run[most], False)
+    return tops(np.arange(len(fps)))
+
+
+def sharing(rows: DataFrame, radius: int, lanes: int, similarity: float | None = None) -> DataFrame:
+    """(node, root): fingerprints that are within the radius of another that has a sign in common, by connected component.
+
+    rows: fp, size (the bit count, or, with a similarity, how many values the
+    text's set has) and head, the signs as 32-bit numbers. Signs are dealt by
+    value, those of a batch and a share in one row with the fingerprints that
+    have them. Each share gives a spanning forest.
+    """
+    count = rows.agg(F.coalesce(F.sum(F.octet_length("head")), F.lit(0))).first()[0] // 4
+    shares = max(rows.sparkSession.sparkContext.defaultParallelism, -(-count // SIGNS))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in pieces(batch.column(2), 4 << 20):
+                part = batch.slice(a, b - a)
+                heads = part.column(2).to_pylist()
+                signs = np.frombuffer(b"".join(heads), np.uint32)
+                at = np.repeat(np.arange(len(heads)), [len(x) // 4 for x in heads])
+                share = (mix(signs.astype(np.uint64)) >> np.uint64(32)) * np.uint64(shares) >> np.uint64(32)
+                order = np.argsort(share.astype(np.uint16 if shares < 1 << 16 else np.uint32), kind="stable")
+                fps, sizes = _matrix(part.column(0).to_pylist(), lanes), part.column(1).to_numpy().astype(np.int32)
+                names, first = np.unique(share[order], return_index=True)
+                out = []
+                for name, places in zip(names.tolist(), np.split(order, first[1:]), strict=True):
+                    own, new = np.unique(at[places], return_inverse=True)
+                    out.append((name, fps[own].tobytes(), sizes[own].tobytes(), signs[places].tobytes(), new.astype(np.uint32).tobytes()))
+                if out:
+                    yield pa.record_batch(list(map(pa.array, zip(*out, strict=True))), ["share", "fps", "sizes", "signs", "at"])
+
+    def met(share: pa.Table) -> pa.Table:
+        def read(name: str, kind: type) -> list[np.ndarray]:
+            return [np.frombuffer(x, kind) for x in share[name].to_pylist()]
+
+        sizes = read("sizes", np.int32)
+        starts = np.cumsum([0, *map(len, sizes)])
+        fps, sizes = np.concatenate(read("fps", np.uint64)).reshape(-1, lanes), np.concatenate(sizes)
+        at = np.concatenate([x.astype(np.int64) + y for x, y in zip(read("at", np.uint32), starts.tolist(), strict=False)])
+        order = np.argsort(sizes.astype(np.uint64) << np.uint64(40) | fps[:, 0] >> np.uint64(24))  # equal ones lie together
+        fps, sizes = fps[order], sizes[order]
+        new = np.append(True, (fps[1:] != fps[:-1]).any(axis=1) | (sizes[1:] != sizes[:-1]))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        fps, sizes = fps[new], sizes[new]
+        tree = _trees(fps, sizes, np.concatenate(read("signs", np.uint32)), place[at], radius, similarity)
+        some = np.flatnonzero(np.bincount(tree, minlength=len(tree))[tree] > 1)
+        centre = _centres(fps[some], tree[some])
+        off = centre != np.arange(len(some))
+        return pa.table([_binary(fps[some[off]]), _binary(fps[some[centre[off]]])], ["a", "b"])
+
+    dealt = rows.select("fp", "size", "head").mapInArrow(deal, "share bigint, fps binary, sizes binary, signs binary, at binary")
+    return connected_components(dealt.repartition(shares, "share").groupBy("share").applyInArrow(met, "a binary, b binary"))
+
+
 def linked(fps: DataFrame, radius: int = RADIUS, lanes: int = 1) -> DataFrame:
     """(node, root): fingerprints that are within the radius of another, by connected component.
 
-    fps: distinct values in fp, with ones. Fingerprints are dealt to tiles of
+    fps: distinct values in fp, with ones. Of many, only those that have one of
+    radius + 1 parts alike are compared, as all within the radius have; where
+    such parts would be short, or of few, all are. Those are dealt to tiles of
     like size in the order of their bit counts; a tile is compared with itself
     and with those whose bit counts can be within the radius, and with no other.
     Inside a tile only a spanning forest is kept, and between tiles one edge for
@@ -167,6 +353,8 @@ def linked(fps: DataFrame, radius: int = RADIUS, lanes: int = 1) -> DataFrame:
     histogram = {r.ones: r["count"] for r in fps.groupBy("ones").count().collect()}  # bits + 1 rows at most
     counts = [histogram.get(i, 0) for i in range(bits + 1)]
     total = sum(counts)
+    if total > PARTED and bits // (radius + 1) >= PART_BITS:
+        return sharing(_parts(fps, radius, lanes), radius, lanes)
     size = min(TILE_MAX, max(TILE_MIN, total // TILES_WANTED))
     offsets = [0]
     for i in range(bits + 1 + radius):
@@ -342,7 +530,7 @@ def confirmed(docs: DataFrame, candidates: DataFrame, key: str, text: str, words
                 own = part.column(2).to_pylist()
                 again = _binary(_fingerprints(shingles, lanes)).to_pylist()
                 same = [i for i, (x, y) in enumerate(zip(own, again, strict=True)) if x == y]
-                hashes = [np.unique(shingles[i].astype(np.uint32)).tobytes() for i in same]
+                hashes = [_different(shingles[i].astype(np.uint32)).tobytes() for i in same]
                 yield pa.record_batch([part.column(1).take(pa.array(same, pa.int64())), pa.array([own[i] for i in same], pa.binary()), pa.array(hashes, pa.binary())], ["root", "fp", "shingles"])
 
     texts = docs.select(key, F.col(text).alias("t")).join(wanted, key).select("t", "root", "fp")
@@ -426,7 +614,7 @@ def near_duplicates(
     hashes); equal fingerprints are linked without. Fingerprints that only rows
     with null keys have are then linked to no other.
     """
-    per_row = durable(fingerprints(docs, key, text, words_per_shingle, lanes, repeats=similarity is None))
+    per_row = (durable if similarity is None else written)(fingerprints(docs, key, text, words_per_shingle, lanes, similarity))
     distinct = durable(per_row.groupBy("fp").agg(F.min(key).alias("first"), F.first("ones").alias("ones"), F.count("*").alias("n")))
     nodes = linked(distinct.select("fp", "ones"), radius, lanes)
     if similarity is not None:
@@ -436,7 +624,7 @@ def near_duplicates(
     least = nodes.join(firsts, "root").select(F.col("node").alias("fp"), "least", F.lit(True).alias("tied"))
     component = F.when(F.col("tied"), F.col("least")).otherwise(F.col("first")).alias("component_id")
     classes = durable(distinct.join(least, "fp", "left").select("fp", "n", component))
-    return meet(per_row, classes, "fp").select(key, F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    return meet(per_row.select(key, "fp"), classes, "fp").select(key, F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
