@@ -616,7 +616,7 @@ def near_duplicates(
     """
     per_row = (durable if similarity is None else written)(fingerprints(docs, key, text, words_per_shingle, lanes, similarity))
     distinct = durable(per_row.groupBy("fp").agg(F.min(key).alias("first"), F.first("ones").alias("ones"), F.count("*").alias("n")))
-    nodes = linked(distinct.select("fp", "ones"), radius, lanes)
+    nodes = linked(distinct.select("fp", "ones"), radius, lanes) if not similarity else sharing(per_row.where(f"`{key}` is not null"), radius, lanes, similarity)
     if similarity is not None:
         candidates = nodes.join(distinct, nodes.node == distinct.fp).select("fp", "root", "first")
         nodes = confirmed(docs, candidates, key, text, words_per_shingle, radius, lanes, similarity)

@@ -93,6 +93,18 @@ def test_parts_of_many_fingerprints_lose_no_pair(spark, monkeypatch):
     assert called and found == {int(every[i]): least for least, g in wanted.items() for i in g}
 
 
+def test_heads_of_similar_sets_share_a_value():
+    rng = np.random.default_rng(4)
+    for n in (1, 4, 5, 6, 20, 300):
+        for _ in range(20):
+            union = rng.choice(1 << 32, n, replace=False).astype(np.uint32)
+            common = -(-4 * n // 5)
+            split = common + int(rng.integers(0, n - common + 1))
+            a, b = np.sort(union[:split]), np.sort(np.concatenate((union[:common], union[split:])))
+            assert len(a) and set(simhash._head(a, 0.8)) & set(simhash._head(b, 0.8))
+    assert len(simhash._head(np.zeros(0, np.uint32), 0.8)) == 0
+
+
 def test_fingerprints_of_long_texts_are_majorities():
     rng = np.random.default_rng(6)
     shingles = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (1, 255, 0, 256, 511, 3000)]
