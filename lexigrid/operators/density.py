@@ -8,12 +8,13 @@ Steps: core distances from nearest neighbours and the edges of spanning trees of
 any two blocks of points, each in one pass over pairs of groups of points; a
 spanning tree of these edges by Borůvka rounds; the tree is cut by weight into parts of bounded
 size, each of which is turned into a piece of the condensed tree by itself; the
-pieces are joined by their names.
+pieces are joined by their names. A condensed tree of bounded size is gone through
+at once, a larger one level by level.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from lexigrid.functions.shared import written
 from lexigrid.operators.order import numbered
 
-#: Points of a tile, tiles that a tile meets in one task, and edges that are turned into a tree in one task.
+#: Points of a tile, tiles that a tile meets in one task, and edges, or clusters, that are turned into a tree in one task.
 TILE, SPAN, PART = 512, 16, 200_000
 #: Tiles of a block, whose points and another's get a tree at once, and blocks of a group, of which a task has two.
 BLOCK, GROUP = 4, 8
@@ -372,13 +373,103 @@ def condensed_tree(edges: DataFrame, least: int, bound: int = PART) -> tuple[Dat
     return written(clusters), written(named(held, "cluster").where(~F.col("vertex").startswith("part ")))
 
 
-def select_clusters(clusters: DataFrame) -> DataFrame:
+def _tree(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, list[int], list[list[int]], list[int]]:
+    """The clusters that batches hold, the place of each one's parent (-1 for none), those of its children, and all places, parents first and a cluster's own together."""
+    rows = pa.Table.from_batches(list(batches))
+    at = {name: i for i, name in enumerate(rows["name"].to_pylist())}
+    parents = [-1 if p is None else at[p] for p in rows["parent"].to_pylist()]
+    children: list[list[int]] = [[] for _ in parents]
+    for i, p in enumerate(parents):
+        if p >= 0:
+            children[p].append(i)
+    order, open_ = [], [i for i, p in enumerate(parents) if p < 0]
+    while open_:
+        order.append(open_.pop())
+        open_ += children[order[-1]]
+    return rows, parents, children, order
+
+
+def _select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``select_clusters``, of all clusters in one task."""
+    rows, parents, children, order = _tree(batches)
+    stability, below = rows["stability"].to_pylist(), [0.0] * len(order)
+    for i in reversed(order):
+        if parents[i] >= 0:
+            below[parents[i]] += max(stability[i], below[i])
+    topic: list[int | None] = [None] * len(order)
+    for i in order:
+        if parents[i] >= 0:
+            above = topic[parents[i]]
+            topic[i] = above if above is not None else i if stability[i] >= below[i] else None
+    some = [i for i in order if topic[i] is not None]
+    names = rows["name"].combine_chunks()
+    yield pa.record_batch([names.take(pa.array(some, pa.int64())), names.take(pa.array([topic[i] for i in some], pa.int64()))], ["name", "topic"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch], piece: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """(name, topic, parts) of each cluster and each topic below the same child of the root: the birth of the cluster below the last one that holds both, null if one holds the other.
+
+    batches: name, parent, birth, topic (is it one), of all clusters.
+    """
+    rows, parents, children, order = _tree(batches)
+    order = np.array(order, np.int64)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    size = np.ones(len(order), np.int64)
+    for i in order[::-1].tolist():
+        if parents[i] >= 0:
+            size[parents[i]] += size[i]
+    names, birth = rows["name"].combine_chunks(), rows["birth"].to_numpy()
+    topics = order[rows["topic"].to_numpy(zero_copy_only=False)[order]]
+    starts = np.searchsorted(place[topics], place)
+    ends = np.searchsorted(place[topics], place + size)
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+        for i in order.tolist():
+            of = topics[starts[i] : ends[i]]
+            if parents[i] < 0 or not len(of):
+                continue
+            if of[0] == i:
+                yield order[place[i] : place[i] + size[i]], of, np.nan
+                continue
+            yield np.array([i]), of, np.nan
+            for c in children[i]:
+                others = np.concatenate((topics[starts[i] : starts[c]], topics[ends[c] : ends[i]]))
+                inside = order[place[c] : place[c] + size[c]]
+                step = max(1, piece // max(1, len(others)))
+                for k in range(0, len(inside) if len(others) else 0, step):
+                    yield inside[k : k + step], others, birth[c]
+
+    def batch(held: list[tuple[np.ndarray, np.ndarray, float]]) -> pa.RecordBatch:
+        a = np.concatenate([np.repeat(x, len(y)) for x, y, _ in held])
+        b = np.concatenate([np.tile(y, len(x)) for x, y, _ in held])
+        parts = np.repeat([p for *_, p in held], [len(x) * len(y) for x, y, _ in held])
+        return pa.record_batch([names.take(pa.array(a)), names.take(pa.array(b)), pa.array(parts, pa.float64(), from_pandas=True)], ["name", "topic", "parts"])
+
+    held, n = [], 0
+    for pair in pairs():
+        held.append(pair)
+        n += len(pair[0]) * len(pair[1])
+        if n >= piece:
+            yield batch(held)
+            held, n = [], 0
+    if held:
+        yield batch(held)
+
+
+def _small(clusters: DataFrame, bound: int) -> bool:
+    return clusters.count() <= bound
+
+
+def select_clusters(clusters: DataFrame, bound: int = PART) -> DataFrame:
     """(name, topic): of each cluster the selected one it is in or is; the root and what is above all selected ones are left out.
 
     From the leaves up, a cluster is chosen over those below it if its
     stability is at least the sum of theirs; of those on a path the topmost
-    chosen counts.
+    chosen counts. Up to ``bound`` clusters are looked at in one task.
     """
+    if _small(clusters, bound):
+        return written(clusters.select("name", "parent", "stability").repartition(1).mapInArrow(_select, "name string, topic string"))
     inner = clusters.where("parent is not null")
     below = inner.groupBy(F.col("parent").alias("name")).agg(F.count("*").alias("children"))
     wait = written(inner.join(below, "name", "left").select("name", "parent", "stability", F.coalesce("children", F.lit(0)).alias("children"), F.lit(0.0).alias("sum")))
@@ -429,18 +520,33 @@ def cluster(vectors: DataFrame, key: str, vector: str, least: int = 5, neighbour
     if edges.isEmpty():
         return every.select(key, F.lit(-1).cast("bigint").alias("topic_id"), F.lit(1.0).alias("membership"))
     clusters, members = condensed_tree(edges, least, part)
-    shares = _shares(clusters, members, select_clusters(clusters), points)
+    shares = _shares(clusters, members, select_clusters(clusters, part), points, part)
     rows = written(usable.join(points.select("steps", F.concat(F.lit("point "), F.col("idx")).alias("vertex")), "steps").join(shares, "vertex").select(key, "topic_id", "membership"))
     outside = rows.groupBy(key).agg(F.sum("membership").alias("in"))
     rest = every.join(outside, key, "left").select(key, F.lit(-1).cast("bigint").alias("topic_id"), F.greatest(1 - F.coalesce("in", F.lit(0.0)), F.lit(0.0)).alias("membership"))
     return rows.union(rest.where("membership > 1e-12"))
 
 
-def _shares(clusters: DataFrame, members: DataFrame, topics: DataFrame, points: DataFrame) -> DataFrame:
+def _shares(clusters: DataFrame, members: DataFrame, topics: DataFrame, points: DataFrame, bound: int = PART) -> DataFrame:
     """(vertex, topic_id, membership) of the topics in which a vertex has a share."""
     heights = members.join(topics.withColumnRenamed("name", "cluster"), "cluster").groupBy("topic").agg(F.max("lambda").alias("peak"), F.min(F.substring("vertex", 7, 20).cast("bigint")).alias("least"))
     sized = heights.join(clusters.select(F.col("name").alias("topic"), F.col("n")), "topic")
     named = written(numbered(sized, [F.desc("n"), F.asc("least")], "topic_id").select("topic", "topic_id", "peak"))
+    met = written(_met_at_once(clusters, named) if _small(clusters, bound) else _met_by_level(clusters, named))
+    raw = written(members.join(met.withColumnRenamed("name", "cluster"), "cluster").select("vertex", "topic_id", F.least(F.lit(1.0), F.coalesce("parts", "lambda") / F.col("peak")).alias("raw")))
+    sums = raw.groupBy("vertex").agg(F.sum("raw").alias("sum"), F.max("raw").alias("most"))
+    return raw.join(sums, "vertex").select("vertex", "topic_id", (F.col("raw") / F.col("sum") * F.col("most")).alias("membership"))
+
+
+def _met_at_once(clusters: DataFrame, named: DataFrame) -> DataFrame:
+    """As ``_met_by_level``, in one task."""
+    marked = clusters.select("name", "parent", "birth").join(named.select(F.col("topic").alias("name"), F.lit(True).alias("topic")), "name", "left")
+    pairs = marked.withColumn("topic", F.coalesce("topic", F.lit(False))).repartition(1).mapInArrow(_meet, "name string, topic string, parts double")
+    return pairs.join(named, "topic").select("name", "topic_id", "peak", "parts")
+
+
+def _met_by_level(clusters: DataFrame, named: DataFrame) -> DataFrame:
+    """(name, topic_id, peak, parts): each cluster with the topics that share something above it below the root, and where it parts from them, null if one holds the other."""
     # all clusters below the root above each cluster, itself included, and where the path to it parts from them
     parents = clusters.where("parent is not null").select("name", "parent", "birth")
     below_root = parents.join(clusters.where("parent is null").select(F.col("name").alias("parent")), "parent", "left_anti")
@@ -452,7 +558,4 @@ def _shares(clusters: DataFrame, members: DataFrame, topics: DataFrame, points:
         paths = paths.union(step)
     to = paths.join(named, paths["name"] == named["topic"]).select("above", "topic", "topic_id", "peak")
     within = F.col("above") == F.col("topic")  # a row of the topic itself stays until it leaves the last of its clusters
-    met = written(paths.join(to, "above").groupBy("name", "topic_id", "peak").agg(F.min_by(F.when(~within, F.col("parts")), "far").alias("parts")))
-    raw = written(members.join(met.withColumnRenamed("name", "cluster"), "cluster").select("vertex", "topic_id", F.least(F.lit(1.0), F.coalesce("parts", "lambda") / F.col("peak")).alias("raw")))
-    sums = raw.groupBy("vertex").agg(F.sum("raw").alias("sum"), F.max("raw").alias("most"))
-    return raw.join(sums, "vertex").select("vertex", "topic_id", (F.col("raw") / F.col("sum") * F.col("most")).alias("membership"))
+    return paths.join(to, "above").groupBy("name", "topic_id", "peak").agg(F.min_by(F.when(~within, F.col("parts")), "far").alias("parts"))
